@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, sharding, simhash
+from . import bpe, exact, media, mixing, sharding, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,26 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "position")
 
 
+def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = substring.repeated_units(docs)
+    found = docs.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(spans, "doc_id", "left")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).alias("removed_chars"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("removed_spans"),
+    )
+
+
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.pfair_mix(table(spark, sf_dir, "documents").select("doc_id", "source"), text_col=None)
     return found.select("doc_id", "source", "__mix.*")
@@ -34,12 +54,21 @@ def op9_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"), with_media=False, with_codes=False)
+    feature = F.concat_ws(":", "n_peaks", "n_codes", "codes_sha256")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_stratified_shards": op2_stratified_shards,
+        "op4_prefix_bpe": op4_prefix_bpe,
+        "op5_unit_dedup": op5_unit_dedup,
         "op7_pfair_mix": op7_pfair_mix,
         "op8_simhash_links": op8_simhash_links,
         "op9_stream_dedup": op9_stream_dedup,
+        "op10_wav_landmarks": op10_wav_landmarks,
     }
 
 
