@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, mixing, sharding, simhash, substring
+from . import bpe, exact, media, mixing, quality, sharding, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.build_derivatives(warc.responses_of(pages, warc_date="2024-01-01T00:00:00Z"))
+
+
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.stratified_shards(table(spark, sf_dir, "documents"), n_shards=40)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "position")
@@ -62,6 +71,8 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_derivatives": op1_warc_derivatives,
+        "op3_weak_labels": op3_weak_labels,
         "op2_stratified_shards": op2_stratified_shards,
         "op4_prefix_bpe": op4_prefix_bpe,
         "op5_unit_dedup": op5_unit_dedup,
