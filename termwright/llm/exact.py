@@ -54,6 +54,8 @@ def keyed_state(log: DataFrame, log_path: str, files_per_batch: int) -> tuple[Da
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    # Many small stores: files that are allocated ahead would take more room than the state.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     at = scratch_path(spark, "dedup-state")
     entries = (
         session.readStream.schema(log.schema)
