@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, mixing, quality, sharding, simhash, substring, warc
+from . import bpe, exact, media, mixing, quality, sharding, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score_documents(docs, model, threshold=0.7)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.pfair_mix(table(spark, sf_dir, "documents").select("doc_id", "source"), text_col=None)
     return found.select("doc_id", "source", "__mix.*")
@@ -76,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_stratified_shards": op2_stratified_shards,
         "op4_prefix_bpe": op4_prefix_bpe,
         "op5_unit_dedup": op5_unit_dedup,
+        "op6_bigru_toxicity": op6_bigru_toxicity,
         "op7_pfair_mix": op7_pfair_mix,
         "op8_simhash_links": op8_simhash_links,
         "op9_stream_dedup": op9_stream_dedup,
