@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans.queries import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
