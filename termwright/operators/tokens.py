@@ -63,8 +63,7 @@ def with_lexicon(utterances: DataFrame, lexicon: DataFrame, text_col: str = "tex
 
     patterns = (KATAKANA, HIRAGANA, KANJI, ASCII_WORD)
 
-    @F.pandas_udf(TOKENS)
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(texts):
         import re
 
         katakana, hiragana, kanji, ascii_word = patterns
@@ -112,7 +111,8 @@ def with_lexicon(utterances: DataFrame, lexicon: DataFrame, text_col: str = "tex
         for series in texts:
             yield series.map(tokens)
 
-    return utterances.withColumn("tokens", cut(F.col(text_col)))
+    cut.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return utterances.withColumn("tokens", F.pandas_udf(cut, TOKENS)(F.col(text_col)))
 
 
 def class_of(token: Column) -> Column:
