@@ -322,7 +322,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 600, batch: int = 1
             second[name][rows] += (g * g).mean(axis=1)
             getattr(model, name)[rows] -= (0.02 * g / np.sqrt(second[name][rows])[:, None]).astype(np.float32)
     logits = all_logits()
-    judged = np.flatnonzero(aside) if aside.any() else np.arange(len(parts))
+    judged = np.flatnonzero(aside) if labels[aside].sum() >= 30 else np.arange(len(parts))
     model.document = calibrate(np.array([summary(logits[first[k] : first[k + 1]]) for k in judged]), labels[judged])
     model.key = f"{zlib.crc32(model.gram.tobytes()):08x}{zlib.crc32(model.dense['Wx'].tobytes()):08x}"
     return model
