@@ -69,15 +69,14 @@ def ascii_forms(chunk_rows: DataFrame, cfg: ExtractConfig) -> DataFrame:
 def canonical_forms(forms: DataFrame) -> DataFrame:
     """lower, word, count, projects, first_seq: the known spelling, or the form with the most
     weight (count, half as much again with a capital inside), then count, then the first seen."""
+    # Both branches need all columns of the counts below them, so that their shuffle is made
+    # once and read twice.
     by_form = forms.groupBy("lower", "form").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
     weight = F.col("n") * F.when(words.has_inner_capital(F.col("form")), 1.5).otherwise(1.0)
-    chosen = by_form.groupBy("lower").agg(
-        F.min_by("form", F.struct(-weight, -F.col("n"), "first_seq")).alias("usual"),
-        F.sum("n").alias("count"),
-        F.min("first_seq").alias("first_seq"),
-    )
-    projects = forms.groupBy("lower", "project").agg(F.lit(1).alias("x")).groupBy("lower").agg(F.count(F.lit(1)).alias("projects"))
-    return chosen.join(projects, "lower").select(
+    chosen = by_form.groupBy("lower").agg(F.min_by("form", F.struct(-weight, -F.col("n"), "first_seq")).alias("usual"))
+    by_project = forms.groupBy("lower", "project").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+    totals = by_project.groupBy("lower").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("projects"), F.min("first_seq").alias("first_seq"))
+    return chosen.join(totals, "lower").select(
         "lower", F.coalesce(words.canonical_spelling(F.col("lower")), F.col("usual")).alias("word"), "count", "projects", "first_seq"
     )
 
@@ -159,27 +158,36 @@ def ambiguous_surfaces(utterances: DataFrame) -> DataFrame:
 
 def with_confidence(candidates: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """low where a part is read in several ways, else ok."""
-    low = candidates.select("word", "reading", F.explode("parts").alias("surface")).join(ambiguous, "surface", "left_semi").select("word", "reading").distinct().withColumn("low", F.lit(True))
-    return candidates.join(low, ["word", "reading"], "left").withColumn("confidence", F.when(F.col("low"), "low").otherwise("ok")).drop("low")
+    names = candidates.columns
+    parts = candidates.select("word", "reading", F.struct(*names).alias("c"), F.explode_outer("parts").alias("surface"))
+    marked = parts.join(ambiguous.withColumn("low", F.lit(True)), "surface", "left")
+    found = marked.groupBy("word", "reading").agg(F.any_value("c").alias("c"), F.coalesce(F.max("low"), F.lit(False)).alias("low"))
+    return found.select("c.*", F.when(F.col("low"), "low").otherwise("ok").alias("confidence"))
 
 
 def drop_subsumed(candidates: DataFrame) -> DataFrame:
     """Without words that stand inside a longer one at least as frequent.
 
-    The proper substrings of each word are listed (a few hundred at most) with the greatest
-    count of a word that holds them, and anti-joined by equality: no pairs of words are compared.
+    Each word is listed with its proper substrings (a few hundred at most): itself with its row,
+    those with its count. Grouped by that text, a row meets the greatest count of a word that
+    holds it. No pairs are compared, and the candidates are computed once.
     """
-    words_ = candidates.groupBy("word").agg(F.max("count").alias("n"))
-    size = F.length("word")
-    starts = F.flatten(
+    size, names = F.length("word"), candidates.columns
+    row = F.struct(*names)
+    nothing = F.when(F.lit(False), row)
+    inner = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), size - 1),
+            F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))),
             lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring(F.col("word"), i, k)),
         )
     )
-    inner = F.array_distinct(F.when(size > 1, starts).otherwise(F.array().cast("array<string>")))
-    held = words_.select(F.explode(inner).alias("word"), "n").groupBy("word").agg(F.max("n").alias("longer"))
-    return candidates.join(held.join(words_, "word", "left_semi"), "word", "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("count"))).drop("longer")
+    inner = F.when(size > 1, F.array_distinct(inner)).otherwise(F.array().cast("array<string>"))
+    own = F.struct(F.col("word").alias("text"), F.lit(None).cast("long").alias("n"), row.alias("row"))
+    held = F.transform(inner, lambda t: F.struct(t.alias("text"), F.col("count").cast("long").alias("n"), nothing.alias("row")))
+    listed = candidates.select(F.explode(F.concat(F.array(own), held)).alias("x")).select("x.*")
+    met = listed.groupBy("text").agg(F.max("n").alias("longer"), F.collect_list("row").alias("rows"))
+    kept = met.where(F.size("rows") > 0).select("longer", F.explode("rows").alias("row"))
+    return kept.where(F.col("longer").isNull() | (F.col("longer") < F.col("row.count"))).select("row.*")
 
 
 def drop_subsumed_by_pairs(candidates: DataFrame) -> DataFrame:
