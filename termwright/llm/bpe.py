@@ -13,7 +13,6 @@ import base64
 import hashlib
 import re
 import sys
-import types
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: Bound of the broadcast vocabulary file; a larger one is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces whose encodings a worker remembers; as many older ones are looked up before they go.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 #: Characters that are split into pieces at once.
 LONG_TEXT = 1 << 22
 
@@ -40,7 +41,8 @@ class Vocabulary:
         #: For a token that is merged from two: those two.
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self._neighbours: dict[tuple[int, int], bool] = {}
+        #: Known answers, by left << 32 | right.
+        self._neighbours: dict[int, bool] = {}
         #: All tokens that end at a place, longest first; bytes stand as characters.
         self.suffixes = ahocorasick.Automaton()
         for token, i in ranks.items():
@@ -80,7 +82,7 @@ class Vocabulary:
         Undo merges from the last one back: it must not be that, just before a token was
         made, a part of it and what stands at the seam would have merged first.
         """
-        key = (left, right)
+        key = left << 32 | right
         found = self._neighbours.get(key)
         if found is not None:
             return found
@@ -136,7 +138,7 @@ class Prefixes:
                 if not start:
                     if v.whole(token):
                         last[end] = token
-                elif (ok := fits((last[start], token))) or (ok is None and v.neighbours(last[start], token)):
+                elif (ok := fits(last[start] << 32 | token)) or (ok is None and v.neighbours(last[start], token)):
                     last[end] = token
         if -1 in last[old + 1 :]:
             raise ValueError("the vocabulary lacks a single byte")
@@ -260,10 +262,22 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str, blank_starts: bool | None = None):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.blank_starts = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern if blank_starts is None else blank_starts
-        self.pieces = _Memo(lambda piece: ",".join(map(str, Prefixes(vocabulary, piece.encode("utf-8", "surrogatepass")).tokens())))
-        self.words = _Memo(lambda word: self._by_pattern(" " + word))
+        self.pieces = _Memo(self._piece)
+        self.words = _Memo(self._word)
         self.bytes_of = {str(i): b for i, b in vocabulary.bytes_of.items()}
 
+    def _piece(self, piece: str) -> str:
+        return ",".join(map(str, Prefixes(self.vocabulary, piece.encode("utf-8", "surrogatepass")).tokens()))
+
+    def _word(self, word: str) -> str:
+        """Ids of a blank and what stands up to the next one: letters are one piece with the blank,
+        and a mark after them is another; anything else is left to the pattern."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return f"{self.words[word[:-1]]},{self.pieces[word[-1]]}"
+        return self._by_pattern(" " + word)
+
     def _by_pattern(self, text: str) -> str:
         get = self.pieces.__getitem__
         if len(text) <= LONG_TEXT:
@@ -289,13 +303,7 @@ class Encoder:
 
 def worker_encoder(data: bytes, pattern: str) -> Encoder:
     """The encoder of this worker process, which serves all its tasks."""
-    store = sys.modules.setdefault("_termwright_worker", types.ModuleType("_termwright_worker"))
-    key = (hashlib.sha256(data).digest(), pattern)
-    held = store.__dict__.setdefault("encoders", {})
-    if key not in held:
-        held.clear()
-        held[key] = Encoder(Vocabulary.from_file(data), pattern)
-    return held[key]
+    return worker_cache(f"bpe-{hashlib.sha256(data).hexdigest()}-{pattern}", lambda: Encoder(Vocabulary.from_file(data), pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,8 +4,12 @@ a distributed rank that never gathers a group into one task."""
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +50,16 @@ def unlink(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between tasks under ``name``. Anything kept under another
+    name is dropped: a worker that has served one operator doesn't hold its memory in the next."""
+    store = sys.modules.setdefault("_termwright_worker", types.ModuleType("_termwright_worker"))
+    if store.__dict__.get("name") != name:
+        store.__dict__.update(name=name, kept=None)
+        store.__dict__["kept"] = make()
+    return store.__dict__["kept"]
+
+
 def source_key(source: Column) -> Column:
     """A non-null key of a nullable label: null and the empty label stay apart."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))

@@ -3,8 +3,6 @@ the votes, and a hashed linear scorer learns from the posterior labels."""
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_cache, written
 
 #: Frequent words of four languages, for the share of function words.
 FUNCTION_WORDS = frozenset(
@@ -24,7 +22,7 @@ FUNCTION_WORDS = frozenset(
 )
 
 SIZE = 1 << 10  # places of the hashed vector
-REMEMBERED = 250_000  # words whose traits a worker remembers
+REMEMBERED = 150_000  # words whose traits a worker remembers
 
 #: The heuristics, each with the statistic that it reads, and the bounds up to which it votes
 #: for one class and from which it votes for the other; between them it abstains.
@@ -88,8 +86,7 @@ class _Words:
 
 
 def _worker_words() -> _Words:
-    store = sys.modules.setdefault("_termwright_worker", types.ModuleType("_termwright_worker"))
-    return store.__dict__.setdefault("quality_words", _Words())
+    return worker_cache("quality", _Words)
 
 
 CHUNK = 1 << 20  # words of a text that are looked up at once

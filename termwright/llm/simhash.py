@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unlink, written
+from .common import unlink, worker_cache, written
 
 #: The constants of XXH64.
 P1, P2, P3, P4, P5 = (
@@ -145,6 +145,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     words is one shingle; one without words, or null, has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash", dict)  # keeps nothing itself
         for batch in batches:
             found = fingerprints_of((x.as_py() for x in batch.column(1)), width, seed)
             signed = np.array(found, dtype=np.uint64).view(np.int64)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 WINDOW, STRIDE = 32, 24  # words of a window, and from one window's start to the next
 WORDS, GRAMS = 1 << 12, 1 << 14  # rows of the hashed word and character tables
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
@@ -393,12 +393,7 @@ class Scorer:
 
 def worker_scorer(state: dict) -> Scorer:
     """The scorer of this worker process, which serves all its tasks."""
-    store = sys.modules.setdefault("_termwright_worker", types.ModuleType("_termwright_worker"))
-    held = store.__dict__.setdefault("toxicity", {})
-    if state["key"] not in held:
-        held.clear()
-        held[state["key"]] = Scorer(Model.restored(state))
-    return held[state["key"]]
+    return worker_cache(f"toxicity-{state['key']}", lambda: Scorer(Model.restored(state)))
 
 
 def held_out(id_col: str = "doc_id"):
