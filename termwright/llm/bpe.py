@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 #: Bound of the broadcast vocabulary file; a larger one is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -321,6 +321,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to broadcast")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(data)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
 

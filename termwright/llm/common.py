@@ -50,6 +50,14 @@ def unlink(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send 1,000 rows at a time to Python workers, unless the session asks for another number
+    than Spark's own: rows are whole texts here, and a batch of 10,000 is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     """What this Python worker keeps between tasks under ``name``. Anything kept under another
     name is dropped: a worker that has served one operator doesn't hold its memory in the next."""

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK = 64  # the payload is a positive multiple of this many bytes
 RATE = 8000  # samples a second, as the stored form names it
 FRAME, HOP = 256, 128
@@ -123,5 +125,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [one(i.as_py(), t.as_py()) for i, t in zip(batch.column(0), batch.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)

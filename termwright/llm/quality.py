@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache, written
+from .common import small_batches, worker_cache, written
 
 #: Frequent words of four languages, for the share of function words.
 FUNCTION_WORDS = frozenset(
@@ -203,6 +203,7 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

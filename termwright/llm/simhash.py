@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unlink, worker_cache, written
+from .common import small_batches, unlink, worker_cache, written
 
 #: The constants of XXH64.
 P1, P2, P3, P4, P5 = (
@@ -151,6 +151,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
             signed = np.array(found, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

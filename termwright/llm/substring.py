@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 _LINE = re.compile("[^\r\n\x0b\x0c\x85\u2028\u2029]+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+(?=\s)|$)")
@@ -66,6 +66,7 @@ def _digests(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
                             column.clear()
             yield flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "hi long, lo long, doc_id long, start int, end int, again boolean")
 

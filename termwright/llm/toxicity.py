@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 WINDOW, STRIDE = 32, 24  # words of a window, and from one window's start to the next
 WORDS, GRAMS = 1 << 12, 1 << 14  # rows of the hashed word and character tables
@@ -418,6 +418,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, id_co
 
     Null and empty texts are scored as one window of padding. Null ids and repeated rows are
     kept; other columns may have any name and are not read; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.state())  # fixed size: the tables above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The name space of record ids that are made from other ids (RFC 4122's for URLs).
 NAMES = uuid.NAMESPACE_URL
 
@@ -172,6 +174,7 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
                     out += derivatives(row["record_id"] or derived_id(row["target_uri"] or "", sha1_digest(block)), row["target_uri"], row["warc_date"], block)
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
+    small_batches(responses.sparkSession)
     return responses.select(F.col("record_id").cast("string").alias("record_id"), F.col("target_uri").cast("string").alias("target_uri"), F.col("warc_date").cast("string").alias("warc_date"), F.col("block").cast("binary").alias("block")).mapInArrow(run, RECORD)
 
 
