@@ -287,6 +287,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, light: int =
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
     labels = linked.join(best, "root").select("fp", F.col("best").alias("reached"))
     alone = points.join(labels, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
+    # A table of its own: a fingerprint of very many copies can then be split in the join.
+    alone = written(alone, "simhash-labels")
     return prints.join(alone, "fp").select("doc_id", "fp", "component_id")
 
 
