@@ -39,3 +39,14 @@ def test_op9_equals_sql(spark):
     want = con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({queries.oracle_sql()['op9_stream_dedup']})").fetchall()
     found = [tuple(r) for r in queries.queries()["op9_stream_dedup"](spark, SF).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
     assert sorted(found) == sorted(want)
+
+
+def test_encoding_keeps_the_schedule(spark, make_docs, tmp_path):
+    """Rows that come in any order leave at the places that the target weights give them."""
+    docs = make_docs([(i, f"text {i}", "b" if i % 5 == 0 else "a") for i in range(600)])
+    want = {r["doc_id"]: r["position"] for r in corpus_pipeline.mixing.pfair_mix(docs).select("doc_id", "__mix.position").collect()}
+    corpus_pipeline.encode(spark, docs.orderBy("text").repartition(3), SF).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(600)) and all(want[r["doc_id"]] == r["position"] for r in rows)
+    share = sum(r["doc_id"] % 5 == 0 for r in rows[:120]) / 120
+    assert abs(share - 1 / 3) < 0.1  # square roots of 120 and 480 rows
