@@ -3,6 +3,9 @@ a distributed rank that never gathers a group into one task."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import logging
 import math
 import sys
 import tempfile
@@ -11,51 +14,126 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
+    """Folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    Only on one machine (a local master), where it is unset, is a temporary folder made and
+    set. A cluster without the setting is refused: executors would write to folders of their
+    own, and later reads would miss those files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             root = current.get()
-        else:
+        elif context.master.split("[")[0] == "local":
             root = tempfile.mkdtemp(prefix="termwright-")
-            spark.sparkContext.setCheckpointDir(root)
+            context.setCheckpointDir(root)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
+BATCH = 1000  # rows at a time that Python workers get while a scratch table is made
+_used: set[str] = set()  # applications that have a scratch folder
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/termwright/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/termwright/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's scratch folder, which goes when the driver ends."""
+    root = _scratch_root(spark)
+    if root not in _used:
+        _used.add(root)
+        atexit.register(_forget, spark, root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        unlink(spark, root)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application. Results that read them must be written
+    or collected before."""
+    unlink(spark, _scratch_root(spark))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, is
     computed once, and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    return _written(df, scratch_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, min(int(before), BATCH) if int(before) > 0 else BATCH)  # for this job only: rows may be whole texts
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only the inside of an operator reads: they go at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            unlink(self.spark, path)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, label))
+        return _written(df, self.paths[-1])
+
+
 def unlink(spark: SparkSession, path: str) -> None:
     """Remove a superseded scratch table."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send 1,000 rows at a time to Python workers, unless the session asks for another number
-    than Spark's own: rows are whole texts here, and a batch of 10,000 is held several times."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+def located(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` and the locator of its rows: file and row number. Ids may be null or repeat;
+    a locator is one row's own. A frame that isn't a plain file scan is written to the
+    shared folder first, so that locators are stable."""
+    where = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index"))
+    if "_metadata" in docs.columns:
+        raise ValueError("a column named _metadata hides the place of rows")
+    quiet = logging.getLogger("DataFrameQueryContextLogger")
+    level = quiet.level
+    quiet.setLevel(logging.CRITICAL)
+    try:
+        docs.select(where.alias("w")).schema  # noqa: B018
+    except AnalysisException:
+        docs = written(docs, "located")
+    finally:
+        quiet.setLevel(level)
+    return docs, where
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (see ``located``) whose locator isn't in ``gone`` (column locator)."""
+    names = docs.columns
+    docs, where = located(docs)
+    gone = gone.select(F.col("locator").alias("__gone"))
+    return docs.withColumn("__at", where).join(gone, F.col("__at") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
 
 
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
@@ -73,6 +151,16 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def shuffled_hash(seed: int, row_id: Column, text: Column | None, where: Column) -> Column:
+    """A signed 64-bit key of a seeded shuffle: the head of the SHA-256 of seed, id and text. A row
+    without an id takes its place in the files instead, so that such rows don't all meet."""
+    parts = [F.lit(f"{seed}|"), F.coalesce(row_id.cast("string"), where), F.lit("|")]
+    if text is not None:
+        parts.append(F.coalesce(text.cast("string"), F.lit("")))
+    head = F.substring(F.sha2(F.concat(*parts).cast("binary"), 256), 1, 16)
+    return F.conv(head, 16, -10).cast("long")
+
+
 def bucket_bits(rows: int, per_bucket: int = 128, most: int = 16) -> int:
     """Bits of the hash that number the buckets of a distributed rank."""
     return min(most, max(4, math.ceil(math.log2(max(rows, 1) / per_bucket + 1))))

@@ -3,24 +3,31 @@ the votes, and a hashed linear scorer learns from the posterior labels."""
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache, written
+from .common import worker_cache, written
 
-#: Frequent words of four languages, for the share of function words.
+#: Frequent words of languages in Latin script, for the share of function words.
 FUNCTION_WORDS = frozenset(
     "the and of to in is that it for was on are as with his they at be this from have or by one had not but what "
     "le la les de des un une et est en que qui dans pour pas sur avec au aux du par ce il elle "
     "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an dem "
-    "el los las del y que se por con para una su al lo como más pero sus".split()
+    "el los las del y que se por con para una su al lo como más pero sus "
+    "il di che non per sono della nel gli ma o os da em não uma com mais no na "
+    "het een van niet op te dat zijn er i och att det som på är av med til og ikke w z na się nie do jest".split()
 )
 
+#: First and last characters of scripts that put no blanks between words.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
 SIZE = 1 << 10  # places of the hashed vector
 REMEMBERED = 150_000  # words whose traits a worker remembers
 
@@ -42,26 +49,47 @@ RULES = (
 _SYMBOLS = frozenset("#$%&*^~@=<>\\{}[]_+|")
 
 
-def _traits(word: str) -> tuple[int, ...]:
-    """symbol, pipe, upper, exclaim, sentence end, function word, odd length, hashed shape."""
-    bare = word.strip(".,;:!?\"'()")
-    letters = [c for c in word if c.isalpha()]
-    upper = len(letters) > 1 and all(c.isupper() for c in letters)
+@lru_cache(4096)
+def _place(shape: str) -> int:
+    return zlib.crc32(shape.encode("utf-8", "surrogatepass")) % (SIZE // 2)
+
+
+def _shape(word: str) -> int:
+    """Place of the word's shape: runs of capitals, other letters, digits, and each mark once."""
     shape, last = [], ""
     for c in word:
         k = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if k != last:
             shape.append(k)
             last = k
+    return _place("".join(shape[:12]))
+
+
+_short = lru_cache(4096)(_shape)
+TRAITS = 8  # of a word, before the place of its shape
+
+
+def _traits(word: str) -> tuple[int, ...]:
+    """symbol, pipe, upper, exclaim, sentence end, function word, odd length, Latin letters, hashed shape."""
+    core = word.rstrip(".,")
+    if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # most words: Latin letters, with a point or comma
+        low = core.lower()
+        case = "x" if core == low else "Xx" if core[1:] == low[1:] and len(core) > 1 else "X" if core.isupper() else ""
+        if case:
+            return (False, False, case == "X" and len(core) > 1, False, word[-1] == ".", low in FUNCTION_WORDS, len(core) > 20, True, _short(case + word[len(core) :]))
+    bare = word.strip(".,;:!?\"'()")
+    letters = [c for c in word if c.isalpha()]
+    upper = len(letters) > 1 and all(c.isupper() for c in letters)
     return (
         sum(c in _SYMBOLS for c in word) >= 2 or (len(word) == 1 and word in _SYMBOLS),
         word == "|",
         upper,
         word.rstrip(".,").endswith("!"),
-        word[-1] in ".!?…",
+        word[-1] in ".!?…。！？؟।",
         bare.lower() in FUNCTION_WORDS,
-        not 1 <= len(bare) <= 20,
-        zlib.crc32("".join(shape[:12]).encode("utf-8", "surrogatepass")) % (SIZE // 2),
+        not 1 <= len(bare) <= 20 and not UNSPACED.search(word),
+        not letters or all(c < "\u0250" for c in letters),
+        _shape(word),
     )
 
 
@@ -70,66 +98,108 @@ class _Words:
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.table = np.zeros((4096, 8), dtype=np.int32)
+        self.table = np.zeros((4096, TRAITS + 1), dtype=np.int32)
 
-    def look_up(self, words: list[str], kinds: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and traits of the words; ``kinds``: the same words, each once."""
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The words' numbers, which hold until the next call."""
         if len(self.numbers) > REMEMBERED:
             self.__init__()
-        for word in kinds.difference(self.numbers):
-            n = self.numbers[word] = len(self.numbers)
-            if n == len(self.table):
+        fresh = list(set(words).difference(self.numbers))
+        if fresh:
+            low = len(self.numbers)
+            while low + len(fresh) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[n] = _traits(word)
-        codes = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        return codes, self.table[codes]
+            self.table[low : low + len(fresh)] = list(map(_traits, fresh))
+            self.numbers.update(zip(fresh, range(low, low + len(fresh))))
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
 
 def _worker_words() -> _Words:
     return worker_cache("quality", _Words)
 
 
-CHUNK = 1 << 20  # words of a text that are looked up at once
-
-
-def statistics(text: str, words_of: _Words) -> tuple[dict[str, float], np.ndarray]:
-    """The statistics that the heuristics read, and the hashed vector, of a whole text."""
-    words = text.split()
-    n = len(words)
-    vector = np.zeros(SIZE, dtype=np.float32)
-    if not n:
-        return {}, vector
-    sums = np.zeros(7)
-    stutters, kinds, last = 0, set(), None
+CHUNK, TEXTS = 1 << 15, 128  # words, and texts, that are looked up together
+
+
+def _pieces(texts: Iterator[str | None]) -> Iterator[tuple[list[str], list[tuple[int, int]], bool]]:
+    """Words of several short texts, or of a part of a long one, with the number and size of each
+    text, and whether the (last) text goes on in the next piece."""
+    words: list[str] = []
+    sizes: list[tuple[int, int]] = []
+    for k, text in enumerate(texts):
+        own = (text or "").split()
+        if sizes and (len(words) + len(own) > CHUNK or len(sizes) >= TEXTS):
+            yield words, sizes, False
+            words, sizes = [], []
+        for at in range(0, len(own) - CHUNK, CHUNK):
+            yield own[at : at + CHUNK], [(k, CHUNK)], True
+        rest = own[(len(own) - 1) // CHUNK * CHUNK :] if own else own
+        words += rest
+        sizes.append((k, len(rest)))
+        if len(own) > CHUNK:
+            yield words, sizes, False
+            words, sizes = [], []
+    if sizes:
+        yield words, sizes, False
+
+
+def statistics(texts: Iterator[str | None], words_of: _Words) -> Iterator[tuple[dict[str, float], np.ndarray, np.ndarray]]:
+    """Of each whole text: the statistics that the heuristics read (none of an empty one), and the
+    places and values of its hashed vector that aren't zero.
+
+    Shares that the length of a text makes coarse are smoothed by a few words of the usual kind,
+    so that a short text moves a heuristic little; no length switches one off.
+    """
     half = SIZE // 2
-    for at in range(0, n, CHUNK):
-        own = set(words[at : at + CHUNK])
-        codes, traits = words_of.look_up(words[at : at + CHUNK], own)
-        sums += traits[:, :7].sum(axis=0)
-        shapes = traits[:, 7]
-        same = codes[1:] == codes[:-1]
-        stutters += int(same.sum()) + (last == words[at])
-        last = words[min(at + CHUNK, n) - 1]
-        kinds |= own
-        vector[:half] += np.bincount(shapes, minlength=half).astype(np.float32)
-        pairs = (shapes[:-1].astype(np.int64) * 31 + shapes[1:] + 17 * same) % (half - 8)
-        vector[half : SIZE - 8] += np.bincount(pairs, minlength=half - 8).astype(np.float32)
-    # Square roots of shares: a trait of a few words still counts in a long text.
-    vector = np.sqrt(vector / n)
-    vector[SIZE - 8] = np.sqrt(stutters / n)
-    vector[SIZE - 7 : SIZE] = np.sqrt(sums / n)
-    found = {
-        "symbol_share": sums[0] / n,
-        "pipe_share": sums[1] / n,
-        "upper_share": sums[2] / n,
-        "exclaim_share": sums[3] / n,
-        "stutter_share": stutters / n,
-        "repeat_share": 1 - len(kinds) / n if n >= 20 else 0.0,
-        "sentence_words": n / max(1.0, sums[4]),
-        "content_share": 1 - sums[5] / n if n >= 10 else 0.93,
-        "odd_share": sums[6] / n,
-    }
-    return found, vector
+    held = None  # of a text that goes on: counts, sums, stutters, distinct words, size, last word
+    for words, sizes, more in _pieces(texts):
+        codes = words_of.look_up(words)
+        traits = words_of.table[codes]
+        n = np.array([size for _, size in sizes])
+        owner = np.repeat(np.arange(len(n)), n)
+        shapes = traits[:, TRAITS].astype(np.int64)
+        counts = np.zeros((len(n), SIZE))
+        counts[:, :half] = np.bincount(owner * half + shapes, minlength=len(n) * half).reshape(-1, half)
+        inside = owner[1:] == owner[:-1]
+        same = (codes[1:] == codes[:-1]) & inside
+        pairs = (shapes[:-1] * 31 + shapes[1:] + 17 * same) % (half - TRAITS) + owner[1:] * (half - TRAITS)
+        counts[:, half : SIZE - TRAITS] = np.bincount(pairs[inside], minlength=len(n) * (half - TRAITS)).reshape(-1, half - TRAITS)
+        sums = np.stack([np.bincount(owner, traits[:, k], len(n)) for k in range(TRAITS)], axis=1)
+        stutters = np.bincount(owner[1:][same], minlength=len(n))
+        latin = traits[:, 7] == 1
+        functions = np.bincount(owner[latin], traits[latin, 5], len(n))
+        distinct = np.bincount(np.unique(owner << 32 | codes) >> 32, minlength=len(n))
+        if held is not None or more:
+            kinds = set(words)
+            if held is not None:
+                counts[0] += held[0]
+                sums[0] += held[1]
+                stutters[0] += held[2] + (held[5] == words[0])
+                kinds |= held[3]
+                n[0] += held[4]
+                functions[0] += held[6]
+                distinct[0] = len(kinds)
+            held = (counts[0], sums[0], stutters[0], kinds, n[0], words[-1], functions[0]) if more else None
+            if more:
+                continue
+        # Square roots of shares: a trait of a few words still counts in a long text.
+        counts[:, SIZE - TRAITS] = stutters
+        counts[:, SIZE - 7 :] = sums[:, :7]
+        vectors = np.sqrt(counts / np.maximum(n, 1)[:, None]).astype(np.float32)
+        for k, m in enumerate(n.tolist()):
+            places = np.flatnonzero(vectors[k])
+            found = {
+                "symbol_share": sums[k, 0] / m,
+                "pipe_share": sums[k, 1] / m,
+                "upper_share": sums[k, 2] / m,
+                "exclaim_share": sums[k, 3] / m,
+                "stutter_share": stutters[k] / m,
+                "repeat_share": max(0.0, 1 - (distinct[k] + 5) / (m + 5)),
+                "sentence_words": m / max(1.0, sums[k, 4]),
+                "content_share": 1 - (functions[k] + 0.7) / (sums[k, 7] + 10),
+                "odd_share": sums[k, 6] / m,
+            } if m else {}
+            yield found, places.astype(np.int32), vectors[k, places]
 
 
 def votes(found: dict[str, float]) -> list[int]:
@@ -202,88 +272,86 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.
     return w
 
 
-def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+FEATURES = "pattern int, h long, places array<int>, values array<float>"
 
 
-def fit(docs: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Weights of the scorer and what was learnt of the heuristics.
-
-    All documents vote, and the label model is fitted on all their patterns (3 ** 9 at most).
-    The scorer is fitted on the posterior labels of a bounded sample: the ``sample`` documents
-    whose hashed texts are lowest.
-    """
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One pass over the texts: doc_id (or, if ``whole``, the row itself as ``doc``), pattern (of
+    the votes), h (hash of the text), and the places and values of the scorer's vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _worker_words()
         for batch in batches:
-            codes, vectors = [], []
-            for value, chosen in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                found, vector = statistics(value.as_py() or "", words)
+            texts = batch.column(0).field(at) if whole else batch.column(2)
+            codes, places, values = [], [], []
+            for found, p, v in statistics((t.as_py() for t in texts), words):
                 codes.append(pattern_code(votes(found)))
-                vectors.append(vector.tobytes() if chosen else None)
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), batch.column(3), pa.array(vectors, pa.binary())], ["pattern", "h", "vector"])
+                places.append(p)
+                values.append(v)
+            columns = [pa.array(codes, pa.int32()), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc" if whole else "doc_id", "pattern", "h", "places", "values"])
 
-    total = docs.count()
-    # About twice the sample is kept as candidates, then the lowest hashes are taken.
-    share = min(1.0, 2.0 * sample / max(total, 1))
-    h = F.xxhash64(F.lit(3), F.coalesce(F.col("text"), F.lit("")))
-    rows = _narrow(docs, id_col, text_col).withColumn("h", h).select("doc_id", "text", (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).alias("chosen"), "h")
-    found = written(rows.mapInArrow(run, "pattern int, h long, vector binary"), "quality-votes")
-    patterns = {r["pattern"]: r["n"] for r in found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    text = F.col(f"`{text_col}`").cast("string")
+    h = F.xxhash64(F.lit(3), F.coalesce(text, F.lit(""))).alias("h")
+    if not whole:
+        return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), h, text.alias("text")).mapInArrow(run, f"doc_id long, {FEATURES}")
+    at = docs.columns.index(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(row, h)
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {FEATURES}")
+
+
+def fit(table: DataFrame, sample: int = 8000) -> dict:
+    """Weights of the scorer and what was learnt of the heuristics, from written ``features``.
+
+    All documents vote, and the label model is fitted on all their patterns (3 ** 9 at most).
+    The scorer is fitted on the posterior labels of a bounded sample: the ``sample`` distinct
+    texts whose hashes are lowest, so that copies neither fill nor empty it.
+    """
+    patterns, kinds = {}, 0
+    for r in table.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect():
+        patterns[r["pattern"]] = r["n"]
+    kinds = table.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
     posterior, accuracy, good = fit_labellers(patterns)
-    chosen = found.where("vector is not null").orderBy("h", "pattern").limit(sample).select("pattern", "vector").collect()
+    # About twice the sample is kept as candidates, then the lowest hashes are taken.
+    share = min(1.0, 2.0 * sample / max(kinds, 1))
+    lowest = table.where(F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    lowest = lowest.groupBy("h").agg(F.min(F.struct("pattern", "places", "values")).alias("f")).orderBy("h").limit(sample)
+    chosen = lowest.select("f.*").collect()
+    weights = np.zeros(SIZE + 1, dtype=np.float32)
     if chosen:
-        x = np.frombuffer(b"".join(r["vector"] for r in chosen), dtype=np.float32).reshape(-1, SIZE)
+        x = np.zeros((len(chosen), SIZE), dtype=np.float32)
+        for k, r in enumerate(chosen):
+            x[k, r["places"]] = r["values"]
         weights = fit_scorer(x, np.array([posterior[r["pattern"]] for r in chosen], dtype=np.float32))
-    else:
-        weights = np.zeros(SIZE + 1, dtype=np.float32)
     return {"weights": weights, "posterior": posterior, "accuracy": {name: float(a) for (name, *_), a in zip(RULES, accuracy, strict=True)}, "good_share": good}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (chance of being good), posterior (of the label model) and pattern."""
-    weights, posterior = model["weights"], model["posterior"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _worker_words()
-        for batch in batches:
-            scores, labels, codes = [], [], []
-            for value in batch.column(1):
-                found, vector = statistics(value.as_py() or "", words)
-                z = float(vector @ weights[:-1] + weights[-1])
-                code = pattern_code(votes(found))
-                scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))) if found else 0.0)
-                labels.append(posterior.get(code, 0.5))
-                codes.append(code)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(labels, pa.float64()), pa.array(codes, pa.int32())], ["doc_id", "score", "posterior", "pattern"])
-
-    return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, posterior double, pattern int")
+def _score(model: dict) -> Column:
+    """The scorer as an expression over places and values; a text without words scores 0."""
+    weights = F.expr("array(" + ",".join(f"{float(w)!r}D" for w in model["weights"][:-1]) + ")")
+    z = F.aggregate(F.zip_with("places", "values", lambda p, v: F.get(weights, p) * v), F.lit(float(model["weights"][-1])), lambda a, x: a + x)
+    return F.when(F.size("places") > 0, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).otherwise(0.0)
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, posterior, pattern and keep (score at or above ``threshold``), a row per
-    input row. Null and empty texts score 0. Null ids and repeated rows are kept; other
-    columns may have any name; an empty table gives no rows."""
-    model = fit(docs, sample, id_col, text_col)
-    return score(docs, model, id_col, text_col).withColumn("keep", F.col("score") >= threshold)
+    """doc_id, score (chance of being good), posterior (of the label model), pattern and keep (score
+    at or above ``threshold``), a row per input row.
+
+    Texts are read once; the scorer reads the written features. Null and empty texts score 0.
+    Null ids and repeated rows are kept, equal texts get equal scores; other columns may have
+    any name; an empty table gives no rows."""
+    table = written(features(docs, id_col, text_col), "quality")
+    model = fit(table, sample)
+    chances = F.expr("map(" + ",".join(f"{k},{v!r}D" for k, v in model["posterior"].items()) + ")") if model["posterior"] else F.lit(None).cast("map<int,double>")
+    return table.select("doc_id", _score(model).alias("score"), F.coalesce(F.try_element_at(chances, F.col("pattern")), F.lit(0.5)).alias("posterior"), "pattern").withColumn("keep", F.col("score") >= threshold)
 
 
 def drop_rejected(docs: DataFrame, threshold: float = 0.5, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with its columns: one scan, no shuffle."""
-    model = fit(docs, sample, id_col, text_col)
-    weights = model["weights"]
-
-    @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
-
-        words, out = _worker_words(), []
-        for text in texts:
-            found, vector = statistics(text or "", words)
-            z = float(vector @ weights[:-1] + weights[-1])
-            out.append(bool(found) and 1 / (1 + np.exp(-max(-30.0, min(30.0, z)))) >= threshold)
-        return pd.Series(out, dtype=bool)
-
-    return docs.where(kept(F.col(f"`{text_col}`")))
+    """The rows of ``docs`` that the classifier keeps, with its columns.
+
+    The rows are written once with their features and filtered on reading: one pass over the
+    texts, no shuffle, no join by an id that may repeat or be null. Null and empty texts go;
+    copies go or stay together; an empty table gives no rows."""
+    table = written(features(docs, id_col, text_col, whole=True), "quality-rows")
+    return table.where(_score(fit(table, sample)) >= threshold).select("doc.*")

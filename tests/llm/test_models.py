@@ -30,20 +30,97 @@ def test_label_model_finds_accuracies():
     assert ((q > 0.5) == good[:5000]).mean() > 0.95
 
 
+def dense(places, values):
+    out = np.zeros(quality.SIZE)
+    out[places] = values
+    return out
+
+
+def brute_statistics(text):
+    """Word by word, from the definitions."""
+    words = text.split()
+    n, half = len(words), quality.SIZE // 2
+    if not n:
+        return {}, np.zeros(quality.SIZE)
+    traits = [quality._traits(w) for w in words]
+    vector = np.zeros(quality.SIZE)
+    for t in traits:
+        vector[t[8]] += 1
+        vector[-7:] += t[:7]
+    stutter = 0
+    for (a, b), (x, y) in zip(zip(traits, traits[1:]), zip(words, words[1:])):
+        vector[half + (a[8] * 31 + b[8] + 17 * (x == y)) % (half - 8)] += 1
+        stutter += x == y
+    vector[-8] = stutter
+    share = [sum(t[k] for t in traits) / n for k in range(7)]
+    latin = [t for t in traits if t[7]]
+    found = dict(zip(("symbol_share", "pipe_share", "upper_share", "exclaim_share"), share))
+    found |= {"stutter_share": stutter / n, "repeat_share": max(0, 1 - (len(set(words)) + 5) / (n + 5)), "sentence_words": n / max(1, share[4] * n)}
+    return found | {"content_share": 1 - (sum(t[5] for t in latin) + 0.7) / (len(latin) + 10), "odd_share": share[6]}, np.sqrt(vector / n)
+
+
 def test_statistics_by_definition():
-    words = quality._Words()
-    found, vector = quality.statistics("GOOD!! day | the day day. ab### x", words)
-    n = 8
-    assert found["pipe_share"] == 1 / n and found["upper_share"] == 1 / n and found["exclaim_share"] == 1 / n
-    assert found["symbol_share"] == 2 / n and found["sentence_words"] == n / 2 and vector.shape == (quality.SIZE,)
-    assert quality.statistics("a a a b", words)[0]["stutter_share"] == 2 / 4
+    rng = np.random.default_rng(5)
+    parts = ["The", "day", "day.", "|", "GOOD!!", "ab###", "été,", "привет", "日本語の文", "x" * 30, "Ok?", "12,5", "naïveté", "—"]
+    texts = ["", None, "x", "day day day", *[" ".join(rng.choice(parts, rng.integers(1, 90))) for _ in range(300)], " \n\t "]
+    for (found, places, values), text in zip(quality.statistics(texts, quality._Words()), texts, strict=True):
+        want, vector = brute_statistics(text or "")
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+        assert np.allclose(dense(places, values), vector, atol=1e-6)
     assert quality.votes({}) == [0] * len(quality.RULES)
-    long = " ".join(f"w{i % 50}" for i in range(5000))
-    whole = quality.statistics(long, words)
-    saved, quality.CHUNK = quality.CHUNK, 700
-    parts = quality.statistics(long, words)
-    quality.CHUNK = saved
-    assert whole[0] == parts[0]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    texts = ["short text", " ".join(f"w{i % 50}" for i in range(5000)), "a a b", "x " * 700]
+    whole = list(quality.statistics(texts, quality._Words()))
+    monkeypatch.setattr(quality, "CHUNK", 700)
+    for (a, p, v), (b, q, u) in zip(whole, quality.statistics(texts, quality._Words()), strict=True):
+        assert a == b and np.abs(dense(p, v) ** 2 - dense(q, u) ** 2).max() < 0.002  # pairs over a cut are left out
+
+
+def test_other_scripts_get_no_bad_votes():
+    texts = [
+        "Вчера вечером мы долго гуляли по старому городу и говорили о том, что будет дальше. Потом пошёл дождь, и мы вернулись домой.",
+        "昨日の夜、私たちは古い町を長い間歩いて、これからのことを話しました。その後雨が降り始めたので家に帰りました。",
+        "Ieri sera abbiamo camminato a lungo per la città vecchia e abbiamo parlato di che cosa sarebbe successo dopo.",
+        "어제 저녁 우리는 오래된 도시를 오랫동안 걸었다. 그리고 비가 와서 집으로 돌아왔다.",
+    ]
+    for found, _, _ in quality.statistics(texts, quality._Words()):
+        assert 0 not in quality.votes(found)
+
+
+def test_copies_neither_fill_nor_empty_the_sample(spark, make_docs):
+    """Many copies of two texts beside others: the scorer still tells good from bad."""
+    good = [f"The {a} of the house is on the hill, and it was {a}." for a in ("door", "roof", "wall", "yard", "gate", "path")]
+    bad = ["BUY NOW!! $$$ ### BUY NOW!! | | | FREE FREE FREE ###" for _ in range(1)]
+    rows = [(i, good[0], "s") for i in range(300)] + [(300 + i, bad[0], "s") for i in range(100)] + [(400 + i, t, "s") for i, t in enumerate(good[1:])]
+    model = quality.fit(quality.written(quality.features(make_docs(rows)), "t"), sample=7)
+    assert np.abs(model["weights"]).max() > 0
+    found = quality.classify(make_docs(rows), sample=7).collect()
+    assert len(found) == len(rows) and all(r["keep"] == (not 300 <= r["doc_id"] < 400) for r in found)
+
+
+def test_em_by_hand():
+    """Two rounds of expectation and maximisation over three patterns, written out in loops."""
+    counts = {quality.pattern_code([1] * 9): 60, quality.pattern_code([0] * 9): 25, quality.pattern_code([1, 0, -1] * 3): 15}
+    posterior, accuracy, share = quality.fit_labellers(counts, rounds=2)
+    q = {c: {18: 0.97, 0: 0.02}.get(sum(v + 1 for v in quality.pattern_votes(c)) if -1 not in quality.pattern_votes(c) else -5, 0.02) for c in counts}
+    for _ in range(2):
+        table = {}
+        for side in (0, 1):
+            for k in range(9):
+                sums = {-1: 0.5, 0: 0.5, 1: 0.5}
+                for c, n in counts.items():
+                    sums[quality.pattern_votes(c)[k]] += n * (q[c] if side else 1 - q[c])
+                table[side, k] = {v: x / sum(sums.values()) for v, x in sums.items()}
+        prior = sum(n * q[c] for c, n in counts.items()) / 100
+        for c in counts:
+            both = [prior if side else 1 - prior for side in (0, 1)]
+            for side in (0, 1):
+                for k, v in enumerate(quality.pattern_votes(c)):
+                    both[side] *= table[side, k][v]
+            q[c] = both[1] / sum(both)
+    assert all(abs(posterior[c] - q[c]) < 1e-9 for c in counts) and abs(share - prior) < 1e-9
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
