@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, unlink, worker_cache, written
+from .common import Scratch, located, unlink, without, worker_cache, written
 
 #: The constants of XXH64.
 P1, P2, P3, P4, P5 = (
@@ -139,8 +139,8 @@ def fingerprints_of(texts: Iterator[str | None], width: int = 3, seed: int = 42)
     return out + _majorities(held, width, seed)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the 64-bit SimHash of the text's shingles of ``width`` words (A-Z in
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", locator: Column | None = None) -> DataFrame:
+    """doc_id, locator (null unless given) and fp, the 64-bit SimHash of the text's shingles of ``width`` words (A-Z in
     lower case; words stand between ASCII white space; repeats count). A text with fewer
     words is one shingle; one without words, or null, has fingerprint zero."""
 
@@ -149,10 +149,11 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
         for batch in batches:
             found = fingerprints_of((x.as_py() for x in batch.column(1)), width, seed)
             signed = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signed, pa.int64())], ["doc_id", "locator", "fp"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    where = F.lit(None).cast("string") if locator is None else locator
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), where.alias("locator"))
+    return rows.mapInArrow(run, "doc_id long, locator string, fp long")
 
 
 #: Segments as (mask, shift) of the fingerprint, from the high bits.
@@ -181,23 +182,28 @@ def _probes(index: DataFrame) -> DataFrame:
     return index.select("seg", "fp", F.explode(F.concat(F.array(key), F.filter(ball, lambda k: k.isNotNull()))).alias("key"))
 
 
-def _stars(points: DataFrame, widths: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
-    """Edges that connect all pairs at distance 3 or less without listing the pairs.
+def _stars(points: DataFrame, most: int = 3) -> DataFrame:
+    """Edges that connect all pairs at distance ``most`` or less without listing the pairs.
 
-    A point z that is at distance 1 or less from x, and reached from y by clearing two set
-    bits, is shared by such a pair (of three differing bits one side has two set). Points at z
-    by one flip are within 2 of each other, and points at z by two are within 3 of those, so
-    all of them hang on the least one-flip point: 65 + C(set bits, 2) rows a point, however
-    dense the group is.
+    Each pair shares a point z that the one is near to and the other reaches by clearing set bits:
+
+    * most 3: near is 1 flip or none; the other clears two (of three differing bits one side has two set);
+    * most 2: both are 1 flip or none away; * most 1: z is the one itself, the other clears one bit.
+
+    Points near z are within 2 flips (1 or 2 for smaller radii) of each other, and the others
+    within ``most`` of those, so all of them hang on the least near point: at most
+    65 + C(set bits, 2) rows a point, some 560 on average, however dense the group is.
     """
     fp = F.col("fp")
     bits = [1 << b for b in range(63)] + [-(1 << 63)]
-    flips = F.transform(F.array(F.lit(0), *[F.lit(b) for b in bits]), lambda m: fp.bitwiseXOR(m))
-    one = points.select("fp", F.explode(flips).alias("z"), F.lit(True).alias("near"))
+    flips = F.transform(F.array(F.lit(0), *[F.lit(b) for b in bits] * (most >= 2)), lambda m: fp.bitwiseXOR(m))
+    at = points.select("fp", F.explode(flips).alias("z"), F.lit(True).alias("near"))
     cleared = F.filter(F.array(*[F.lit(b) for b in bits]), lambda m: fp.bitwiseAND(m) != 0)
-    pairs = F.flatten(F.transform(cleared, lambda m, i: F.transform(F.slice(cleared, i + 2, F.size(cleared)), lambda k: fp.bitwiseXOR(m).bitwiseXOR(k))))
-    two = points.select("fp", F.explode(pairs).alias("z"), F.lit(False).alias("near"))
-    at = one.unionByName(two)
+    if most == 1:
+        at = at.unionByName(points.select("fp", F.explode(F.transform(cleared, lambda m: fp.bitwiseXOR(m))).alias("z"), F.lit(False).alias("near")))
+    if most == 3:
+        pairs = F.flatten(F.transform(cleared, lambda m, i: F.transform(F.slice(cleared, i + 2, F.size(cleared)), lambda k: fp.bitwiseXOR(m).bitwiseXOR(k))))
+        at = at.unionByName(points.select("fp", F.explode(pairs).alias("z"), F.lit(False).alias("near")))
     hubs = at.groupBy("z").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1 and hub is not null")
     return at.join(hubs, "z").where(F.col("fp") != F.col("hub")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
@@ -226,11 +232,9 @@ def links(points: DataFrame, most: int = 3, light: int = 64) -> DataFrame:
         .select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b"))
         .distinct()
     )
-    if dense:
-        if most != 3:
-            raise ValueError("dense table rows are only served at distance 3")
+    if dense and most:
         some = probes.join(heavy, ["seg", "key"], "left_semi").select("fp").distinct()
-        pairs = pairs.unionByName(_stars(some)).distinct()
+        pairs = pairs.unionByName(_stars(some, most)).distinct()
     return pairs
 
 
@@ -270,6 +274,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _labelled(docs: DataFrame, width: int, most: int, light: int, id_col: str, text_col: str, locator: Column | None = None) -> DataFrame:
+    """doc_id, locator, fp and best: the first row (null ids last, then id, then locator) of the
+    row's component."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")
+    prints = written(fingerprints(docs, width, id_col=id_col, text_col=text_col, locator=locator), "simhash")
+    with Scratch(docs.sparkSession) as scratch:
+        points = scratch.written(prints.groupBy("fp").agg(F.min(order).alias("least")), "simhash-points")
+        roots = scratch.written(components(links(points.select("fp"), most, light)), "simhash-roots")
+        linked = points.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
+        best = linked.groupBy("root").agg(F.min("least").alias("best"))
+        labels = linked.join(best, "root").select("fp", F.col("best").alias("reached"))
+        alone = points.join(labels, "fp", "left").select("fp", F.coalesce("reached", "least").alias("best"))
+        # A table of its own: a fingerprint of very many copies can then be split in the join.
+        alone = written(alone, "simhash-labels")
+    return prints.join(alone, "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, light: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (64-bit, signed) and component_id, the smallest id that can be reached over
     links between fingerprints that differ in ``most`` bits or fewer.
@@ -280,21 +301,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, light: int =
     component_id. Rows that repeat are returned as often as they come. Other columns may have any
     name. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, width, id_col=id_col, text_col=text_col), "simhash")
-    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
-    roots = written(components(links(points.select("fp"), most, light)), "simhash-roots")
-    linked = points.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
-    best = linked.groupBy("root").agg(F.min("least").alias("best"))
-    labels = linked.join(best, "root").select("fp", F.col("best").alias("reached"))
-    alone = points.join(labels, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    # A table of its own: a fingerprint of very many copies can then be split in the join.
-    alone = written(alone, "simhash-labels")
-    return prints.join(alone, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: the one with the smallest id of each component, with
-    all rows of a null id. Returns the columns of ``docs``."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone, "near-gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return _labelled(docs, width, most, light, id_col, text_col).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, light: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component: the one with the smallest id (null
+    ids last), of rows that share it the first in the files. Rows are told apart by their
+    place, so ids may repeat or be null. Returns the columns of ``docs``."""
+    rows, where = located(docs)
+    found = _labelled(rows, width, most, light, id_col, text_col, where)
+    gone = written(found.where(F.col("locator") != F.col("best.locator")).select("locator"), "near-gone")
+    return without(rows, gone)
