@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, unlink, written
+from .common import Scratch, located, scratch_path, without, written
 
 #: White space that doesn't count in a comparison, U+0020 and U+0009 to U+000D.
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -28,19 +27,9 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """``docs`` and the content locator of its rows: file and row number. A frame that isn't
-    a plain file scan is written to the shared folder first, so that locators are stable."""
-    where = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index"))
-    try:
-        docs.select(where.alias("w")).schema  # noqa: B018
-    except AnalysisException:
-        docs = written(docs, "located")
-    return docs, where
-
-
-def keyed_state(log: DataFrame, log_path: str, files_per_batch: int) -> tuple[DataFrame, str]:
-    """Run the digest log through a stream whose state is keyed by digest.
+def keyed_state(log: DataFrame, log_path: str, state_path: str, files_per_batch: int) -> DataFrame:
+    """Run what is new in the digest log through a stream whose state is keyed by digest, and
+    return the state's entries.
 
     State is kept on disk (RocksDB, with its change files in the shared folder) and never
     expires. A digest's entry is its best row so far (most code points, then smallest id,
@@ -56,7 +45,6 @@ def keyed_state(log: DataFrame, log_path: str, files_per_batch: int) -> tuple[Da
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     # Many small stores: files that are allocated ahead would take more room than the state.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    at = scratch_path(spark, "dedup-state")
     entries = (
         session.readStream.schema(log.schema)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -67,25 +55,52 @@ def keyed_state(log: DataFrame, log_path: str, files_per_batch: int) -> tuple[Da
             F.count(F.lit(1)).alias("group_size"),
         )
     )
-    query = entries.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()
+    query = entries.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_path).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    if query.lastProgress is None and not query.recentProgress:
-        return log.sparkSession.createDataFrame([], "digest string, best struct<shorter:int,no_id:boolean,doc_id:bigint,locator:string>, group_size bigint"), at
-    state = spark.read.format("statestore").load(at)
+    state = spark.read.format("statestore").load(state_path)
     # Only final digests are kept in the value: its fields stand in the order of the aggregates.
     best, size = [f.name for f in state.schema["value"].dataType.fields]
-    return state.select(F.col("key.digest").alias("digest"), F.col(f"value.{best}").alias("best"), F.col(f"value.{size}").alias("group_size")), at
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int = 64) -> DataFrame:
+    found = state.select(F.col("key.digest").alias("digest"), F.col(f"value.{best}").alias("best"), F.col(f"value.{size}").alias("group_size"))
+    if found.isEmpty():
+        raise RuntimeError(f"no state was found in {state_path}, though the digest log holds rows")
+    return found
+
+
+#: Digests that may be sent to all executors, by their 64-bit hashes (8 bytes each, some 32 in the hash table).
+MOST_BROADCAST = 1_000_000
+
+
+def _of_digests(rows: DataFrame, digests: DataFrame, digest: Column) -> DataFrame:
+    """The rows (with ``digest``) whose digest is listed. A list of a checked size goes to the
+    rows, so that no other text is moved; a longer one meets them by a shuffle."""
+    rows = rows.withColumn("digest", digest)
+    keys = digests.select(F.xxhash64("digest").alias("__k")).distinct()
+    if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        rows = rows.withColumn("__k", F.xxhash64("digest")).join(F.broadcast(keys), "__k", "left_semi").drop("__k")
+    return rows.join(digests, "digest", "left_semi")
+
+
+def exact_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest: Callable[[Column], Column] = sha256_hex,
+    files_per_batch: int = 64,
+    state_path: str | None = None,
+) -> DataFrame:
     """Find documents whose texts agree in all but ASCII white space.
 
     Of equal texts the row with the most code points stays, then the one with the smallest
-    id. A log of digests is streamed through keyed state (see ``keyed_state``); then the full
-    bytes of all rows of a digest are compared, and where a digest has more than one text
-    (``digest`` may be weak) those rows are grouped by their texts instead.
+    id. A log of digests is streamed through keyed state (see ``keyed_state``). On hits, that is
+    for digests that several rows have, the full bytes are compared; where a digest has more
+    than one text (``digest`` may be weak) those rows are grouped by their texts instead.
+
+    ``state_path``: a shared folder that keeps log and state. A later batch of documents with
+    the same path is held against all batches before it: its rows' keep_id, keep_locator and
+    group_size tell of them too, and the earlier texts of hits are read where their locators
+    say, so those files must stay and name the text alike. Without it the state is scratch data.
 
     Returns doc_id, locator, digest, keep_id, keep_locator, group_size and kept, a row per
     input row. Null and white-space-only texts are equal to the empty text. A null id comes
@@ -94,43 +109,61 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark: SparkSession = docs.sparkSession
     docs, where = located(docs)
-    text = F.col(text_col)
-    path = scratch_path(spark, "digest-log")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), where.alias("locator"), squeezed(text).alias("norm"), (-F.length(F.coalesce(text, F.lit("")))).alias("shorter"))
-    rows.select("doc_id", "locator", "shorter", digest(F.col("norm")).alias("digest")).write.parquet(path)
+    text = F.col(f"`{text_col}`")
+
+    def narrowed(frame: DataFrame) -> DataFrame:
+        at = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index"))
+        return frame.select(at.alias("locator"), squeezed(text).alias("norm"), (-F.length(F.coalesce(text, F.lit("")))).alias("shorter"))
+
+    base = state_path.rstrip("/") if state_path else scratch_path(spark, "dedup")
+    path = f"{base}/log"
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), where.alias("locator"), squeezed(text).alias("norm"), (-F.length(F.coalesce(text, F.lit("")))).alias("shorter"))
+    fresh = rows.select("doc_id", "locator", "shorter", digest(F.col("norm")).alias("digest"))
+    own = written(fresh, "digest-batch") if state_path else None
+    (fresh if own is None else own).write.mode("append").parquet(path)
     log = spark.read.parquet(path)
-    if log.isEmpty():
-        entries = spark.createDataFrame([], "digest string, best struct<shorter:int,no_id:boolean,doc_id:bigint,locator:string>, group_size bigint")
-    else:
-        entries, _ = keyed_state(log, path, files_per_batch)
-    # Full bytes: a digest's texts are the same if the least equals the greatest. Each task
-    # sends one row per digest at most, so a group of any size is compared without skew.
-    torn = (
-        rows.select(digest(F.col("norm")).alias("digest"), "norm")
-        .groupBy("digest")
-        .agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-        .where(F.col("least") != F.col("most"))
-        .select("digest")
-    )
-    torn = written(torn, "torn-digests")
+    own = log if own is None else own
+    none = spark.createDataFrame([], "digest string, best struct<shorter:int,no_id:boolean,doc_id:bigint,locator:string>, group_size bigint")
+    entries = none if log.isEmpty() else keyed_state(log, path, f"{base}/state", files_per_batch)
+    if state_path:
+        entries = written(entries.join(own.select("digest").distinct(), "digest", "left_semi"), "entries")
     columns = ["doc_id", "locator", "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size"]
-    if torn.isEmpty():
-        found = log.join(entries, "digest").select(*columns)
-    else:
-        whole = log.join(torn, "digest", "left_anti").join(entries, "digest").select(*columns)
-        split = rows.withColumn("digest", digest(F.col("norm"))).join(torn, "digest", "left_semi")
-        groups = split.groupBy("digest", "norm").agg(
-            F.min(F.struct("shorter", F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("best"),
-            F.count(F.lit(1)).alias("group_size"),
-        )
-        found = whole.unionByName(split.join(groups, ["digest", "norm"]).select(*columns))
-    return found.withColumn("kept", F.col("locator") == F.col("keep_locator"))
+    with Scratch(spark) as scratch:
+        hits = scratch.written(entries.where("group_size > 1").select("digest"), "hits")
+        # Full bytes: a digest's texts are the same if the least equals the greatest. Each task
+        # sends one row per digest at most, so a group of any size is compared without skew.
+        met = _of_digests(rows.select("norm"), hits, digest(F.col("norm")))
+        if state_path:
+            met = met.unionByName(_earlier(spark, log, own, hits, narrowed).select("norm", "digest"))
+        torn = met.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where(F.col("least") != F.col("most")).select("digest")
+        torn = written(torn, "torn-digests")
+        if torn.isEmpty():
+            return own.join(entries, "digest").select(*columns).withColumn("kept", F.col("locator") == F.col("keep_locator"))
+        split = _of_digests(rows, torn, digest(F.col("norm")))
+        every = split.select("digest", "norm", "shorter", "doc_id", "locator")
+        if state_path:
+            every = every.unionByName(_earlier(spark, log, own, torn, narrowed).select("digest", "norm", "shorter", "doc_id", "locator"))
+        best = F.min(F.struct("shorter", F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("best")
+        groups = every.groupBy("digest", "norm").agg(best, F.count(F.lit(1)).alias("group_size"))
+        parted = written(split.join(groups, ["digest", "norm"]).select(*columns), "torn-rows")
+    whole = own.join(torn, "digest", "left_anti").join(entries, "digest").select(*columns)
+    return whole.unionByName(parted).withColumn("kept", F.col("locator") == F.col("keep_locator"))
+
+
+def _earlier(spark: SparkSession, log: DataFrame, own: DataFrame, digests: DataFrame, narrowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """digest, doc_id, locator, shorter and norm of earlier batches' rows with these digests, their
+    texts read from the files that the log names. One row per file comes to the driver."""
+    old = log.join(digests, "digest", "left_semi").join(own.select("locator"), "locator", "left_anti")
+    old = written(old.select("digest", "doc_id", "locator"), "earlier")
+    files = [r[0] for r in old.select(F.url_decode(F.replace(F.regexp_replace("locator", "#[0-9]+$", ""), F.lit("+"), F.lit("%2B"))).alias("f")).distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "digest string, doc_id bigint, locator string, shorter int, norm string")
+    return narrowed(spark.read.parquet(*files)).join(old, "locator")
 
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with its own columns."""
-    names = docs.columns
-    docs, where = located(docs)
-    gone = exact_duplicates(docs, **options).where(~F.col("kept")).select(F.col("locator").alias("__gone"))
-    gone = written(gone, "exact-gone")
-    return docs.withColumn("__at", where).join(gone, F.col("__at") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    """The rows of ``docs`` that stay, with its own columns: of each group of equal texts the
+    one that ``exact_duplicates`` keeps. Rows are told apart by their place in the files."""
+    docs, _ = located(docs)
+    gone = exact_duplicates(docs, **options).where(~F.col("kept")).select("locator")
+    return without(docs, written(gone, "exact-gone"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, shuffled_rank, source_key, written
+from .common import Scratch, bucket_bits, located, shuffled_hash, shuffled_rank, source_key, written
 
-MAX_SOURCES = 256  # rows of the weight table; bounds the schedule that is broadcast
+WHOLE = 1 << 40  # units that the target weights are rounded to: far finer than one block of any corpus
+LANE = 1 << 14  # slots that one task schedules
+STRIP = 128  # slots whose choices are gathered before they join the others
 
 
 def _let(value: Column, body) -> Column:
@@ -15,128 +17,97 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _long(value: Column | int) -> Column:
+    return (F.lit(value) if isinstance(value, int) else value).cast("long")
+
+
+def _wide(value: Column) -> Column:
+    return value.cast("decimal(19,0)")
+
+
 def _div(a: Column, b: Column) -> Column:
-    """Whole division of non-negative longs."""
+    """Whole division of non-negative numbers."""
     return F.call_function("div", a, b)
 
 
-def _ceil_div(a: Column, b: Column) -> Column:
-    return _div(a + b - 1, b)
+def _moment(stretches: Column, units: Column, blocks: Column, up: bool) -> Column:
+    """When an even flow of the sources has given ``blocks`` blocks of a source with ``units``: the
+    slot, rounded down or up. Whole numbers throughout.
 
+    A stretch ends when a source runs out: ``done`` blocks of such sources lie before it, and the
+    sources that flow in it have ``all`` units. Stretches stand in the order in which the
+    sources run out; the one looked for is the first whose own source lasts as long.
+    """
+    stretch = F.get(F.filter(stretches, lambda s: _wide(blocks) * _wide(s["units"]) <= _wide(s["blocks"]) * _wide(units)), F.lit(0))
 
-def _period(units: Column, alive: Column, width: Column) -> Column:
-    """The source (index) of each slot of one period, by earliest deadline first.
+    def at(s: Column) -> Column:
+        over = _wide(s["all"]) * _wide(blocks)
+        return s["done"] + _div(over + _wide(units - 1) if up else over, _wide(units))
 
-    Block c of a source with u of ``width`` units is released at floor(c w / u) and due at
-    ceil((c + 1) w / u). Loads add up to one, so some block is always released and none is
-    late; hence every source stays within one block of its share at every slot.
-    """
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.transform(units, lambda u: zero).alias("given"), F.array().cast("array<int>").alias("seq"))
-
-    def step(state: Column, t: Column) -> Column:
-        due = F.array_min(
-            F.transform(
-                state["given"],
-                lambda c, i: F.when(
-                    F.get(alive, i) & (_div(c * width, F.get(units, i)) <= t),
-                    F.struct(_ceil_div((c + 1) * width, F.get(units, i)).alias("deadline"), i.alias("i")),
-                ),
+    return _let(stretch, at)
+
+
+def _given(stretches: Column, sources: Column, t: Column) -> Column:
+    """Of each source at slot ``t`` of the even flow: its whole blocks, and whether a part of one more."""
+    stretch = F.get(F.filter(stretches, lambda s: _wide(t - s["done"]) * _wide(s["units"]) <= _wide(s["blocks"]) * _wide(s["all"])), F.lit(0))
+
+    def at(s: Column) -> Column:
+        def own(x: Column) -> Column:
+            flows = _wide(x["blocks"]) * _wide(s["units"]) >= _wide(s["blocks"]) * _wide(x["units"])
+            over = _wide(t - s["done"]) * _wide(x["units"])
+            return F.struct(
+                F.when(flows, F.least(_div(over, _wide(s["all"])), x["blocks"])).otherwise(x["blocks"]).alias("whole"),
+                (flows & (over % _wide(s["all"]) != 0)).alias("part"),
             )
-        )
-        return _let(
-            due["i"],
-            lambda pick: F.struct(
-                F.transform(state["given"], lambda c, i: F.when(i == pick, c + 1).otherwise(c)).alias("given"),
-                F.concat(state["seq"], F.array(pick)).alias("seq"),
-            ),
-        )
 
-    return F.aggregate(F.sequence(zero, width - 1), start, step)["seq"]
+        return F.transform(sources, own)
 
+    return _let(stretch, at)
 
-def _phases(units: Column, blocks: Column) -> Column:
-    """All phases of the schedule; a phase lasts until a source has no blocks left, whose
-    share then goes to the others in proportion."""
-    phase = "struct<start:bigint,width:bigint,before:array<bigint>,after:array<bigint>,slots:array<array<int>>>"
-    zero = F.lit(0).cast("long")
-    start = F.struct(
-        F.transform(blocks, lambda b: zero).alias("taken"),
-        zero.alias("at"),
-        F.array().cast(f"array<{phase}>").alias("phases"),
-    )
 
-    def step(state: Column, _: Column) -> Column:
-        alive = F.zip_with(state["taken"], blocks, lambda t, b: t < b)
-
-        def run(alive: Column) -> Column:
-            width = F.aggregate(F.zip_with(alive, units, lambda a, u: F.when(a, u).otherwise(zero)), zero, lambda x, y: x + y)
-
-            def scheduled(width: Column) -> Column:
-                def placed(seq: Column) -> Column:
-                    slots = F.transform(units, lambda u, i: F.filter(F.transform(seq, lambda x, j: F.when(x == i, j)), lambda j: j.isNotNull()))
-
-                    def ended(slots: Column) -> Column:
-                        last = F.array_min(
-                            F.transform(
-                                slots,
-                                lambda s, i: F.when(
-                                    F.get(alive, i),
-                                    _let(
-                                        F.get(blocks, i) - F.get(state["taken"], i) - 1,
-                                        lambda r: _div(r, F.get(units, i)) * width + F.get(s, (r % F.get(units, i)).cast("int")),
-                                    ),
-                                ),
-                            )
-                        )
-
-                        def closed(length: Column) -> Column:
-                            after = F.transform(
-                                slots,
-                                lambda s, i: F.get(state["taken"], i)
-                                + F.when(
-                                    F.get(alive, i),
-                                    _div(length, width) * F.get(units, i) + F.size(F.filter(s, lambda j: j < length % width)),
-                                ).otherwise(zero),
-                            )
-                            return _let(
-                                after,
-                                lambda after: F.struct(
-                                    after.alias("taken"),
-                                    (state["at"] + length).alias("at"),
-                                    F.concat(
-                                        state["phases"],
-                                        F.array(
-                                            F.struct(
-                                                state["at"].alias("start"),
-                                                width.alias("width"),
-                                                state["taken"].alias("before"),
-                                                after.alias("after"),
-                                                slots.alias("slots"),
-                                            ).cast(phase)
-                                        ),
-                                    ).alias("phases"),
-                                ),
-                            )
-
-                        return _let(last + 1, closed)
-
-                    return _let(slots, ended)
-
-                return F.when(width > 0, _let(_period(units, alive, width), placed)).otherwise(state)
-
-            return _let(width, scheduled)
-
-        return _let(alive, run)
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(blocks)), start, step)["phases"]
-
-
-def schedule(counts: DataFrame, block_rows: int, resolution: int, weights: DataFrame | None, alpha: float) -> DataFrame:
-    """One row per source: its units, its phases and the deficits of short last blocks.
-
-    ``counts``: __src, __n. ``weights``: columns source and weight (above 0; sources that
-    it doesn't name get the least share). Without weights a source's target is its row
+def _borders(stretches: Column, sources: Column, total: Column, lane: int) -> Column:
+    """Blocks that each source has given at the borders of the lanes, an array for each border.
+
+    At a border a source has its whole blocks of the even flow, or one more: those that are due
+    first get it, and a block that was given before stays given.
+    """
+    lanes = _div(total + lane - 1, _long(lane))
+
+    def step(state: Column, m: Column) -> Column:
+        t = F.least(m * lane, total)
+        before = F.element_at(state, -1)
+
+        def after(given: Column) -> Column:
+            base = F.zip_with(given, before, lambda g, b: F.greatest(g["whole"], b))
+
+            def settled(base: Column) -> Column:
+                extra = t - F.aggregate(base, _long(0), lambda a, x: a + x)
+                more = F.filter(
+                    F.transform(given, lambda g, i: F.when(g["part"] & (F.get(base, i) == g["whole"]), F.struct(_moment(stretches, F.get(sources, i)["units"], g["whole"] + 1, True).alias("due"), i.alias("i")))),
+                    lambda x: x.isNotNull(),
+                )
+                # Where more was given before than the flow leaves room for, the last due wait for the next lane.
+                less = F.filter(
+                    F.transform(given, lambda g, i: F.when(F.get(base, i) > F.get(before, i), F.struct((-_moment(stretches, F.get(sources, i)["units"], F.get(base, i), True)).alias("due"), i.alias("i")))),
+                    lambda x: x.isNotNull(),
+                )
+                up = F.transform(F.slice(F.array_sort(more), F.lit(1), F.greatest(extra, _long(0)).cast("int")), lambda x: x["i"])
+                down = F.transform(F.slice(F.array_sort(less), F.lit(1), F.greatest(-extra, _long(0)).cast("int")), lambda x: x["i"])
+                return _let(F.struct(up.alias("up"), down.alias("down")), lambda c: F.transform(base, lambda b, i: b + F.array_contains(c["up"], i).cast("long") - F.array_contains(c["down"], i).cast("long")))
+
+            return F.concat(state, F.array(_let(base, settled)))
+
+        return _let(_given(stretches, sources, t), after)
+
+    start = F.array(F.transform(sources, lambda x: _long(0)))
+    return F.aggregate(F.when(lanes > 0, F.sequence(_long(1), lanes)).otherwise(F.array().cast("array<bigint>")), start, step)
+
+
+def plan_of(counts: DataFrame, block_rows: int, lane: int, weights: DataFrame | None, alpha: float) -> DataFrame:
+    """One row: ``sources`` (key, rows, units, blocks), ``stretches`` and ``borders`` (see above).
+
+    ``counts``: __src, __n. ``weights``: columns source and weight; a source without one, or
+    with none above 0, comes after all others. Without weights a source's target is its row
     count to the power ``alpha``.
     """
     if weights is None:
@@ -144,69 +115,104 @@ def schedule(counts: DataFrame, block_rows: int, resolution: int, weights: DataF
     else:
         named = weights.select(source_key(F.col("source")).alias("__src"), F.col("weight").cast("double").alias("__w")).groupBy("__src").agg(F.max("__w").alias("__w"))
         targets = counts.join(named, "__src", "left").fillna(0.0, ["__w"])
-    rows = targets.select(F.struct("__src", "__n", F.greatest("__w", F.lit(0.0)).alias("__w")).alias("s"))
-    # One row holds the weight table: MAX_SOURCES entries at most, or the plan fails.
-    table = rows.groupBy().agg(F.array_sort(F.collect_list("s")).alias("s"))
-    table = table.where(F.size("s") > 0).withColumn(
-        "s",
-        F.when(F.size("s") <= MAX_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MAX_SOURCES} sources; group them first"))),
-    )
+    # A row holds the table of sources: it grows with their number, not with the rows.
+    one = targets.groupBy().agg(F.array_sort(F.collect_list(F.struct("__src", "__n", F.greatest("__w", F.lit(0.0)).alias("__w")))).alias("s"))
     total = F.aggregate("s", F.lit(0.0), lambda a, s: a + s["__w"])
-    table = (
-        table.withColumn("__total", F.when(total > 0, total).otherwise(F.lit(1.0)))
-        .withColumn("units", F.transform("s", lambda s: F.greatest(F.lit(1).cast("long"), F.round(s["__w"] / F.col("__total") * resolution).cast("long"))))
-        .withColumn("blocks", F.transform("s", lambda s: _ceil_div(s["__n"], F.lit(block_rows).cast("long"))))
-    )
-    table = table.withColumn("phases", _phases(F.col("units"), F.col("blocks")))
-    each = table.select(
-        F.posexplode("s").alias("i", "s"),
-        "units",
-        "blocks",
-        "phases",
-    )
-    own = F.filter(
+    blocks = lambda s: _div(s["__n"] + block_rows - 1, _long(block_rows))
+    one = one.withColumn("w", F.when(total > 0, total).otherwise(F.lit(1.0))).select(
         F.transform(
-            "phases",
-            lambda p: F.struct(
-                p["start"].alias("start"),
-                p["width"].alias("width"),
-                F.get(p["before"], F.col("i")).alias("before"),
-                F.get(p["after"], F.col("i")).alias("after"),
-                F.get(p["slots"], F.col("i")).alias("slots"),
+            "s",
+            lambda s: F.struct(
+                s["__src"].alias("key"),
+                s["__n"].alias("rows"),
+                F.greatest(_long(1), F.round(s["__w"] / F.col("w") * WHOLE).cast("long")).alias("units"),
+                blocks(s).alias("blocks"),
             ),
-        ),
-        lambda p: p["before"] < p["after"],
+        ).alias("sources")
     )
-    return each.select(
-        F.col("s.__src").alias("__src"),
-        F.get("units", "i").alias("units"),
-        F.col("s.__n").alias("__rows"),
-        F.get("blocks", "i").alias("__blocks"),
-        own.alias("__phases"),
+    ends = F.array_sort(F.transform("sources", lambda x, i: F.struct((x["blocks"].cast("double") / x["units"]).alias("end"), i.alias("i"), x["units"].alias("units"), x["blocks"].alias("blocks"))))
+    one = one.withColumn("ends", ends)
+    start = F.struct(
+        F.aggregate("ends", _long(0), lambda a, x: a + x["units"]).alias("all"),
+        _long(0).alias("done"),
+        F.array().cast("array<struct<units:bigint,blocks:bigint,all:bigint,done:bigint>>").alias("out"),
     )
-
-
-def _slot(phases: Column, block: Column, units: Column) -> Column:
-    """slot, release and deadline of a source's block."""
-    phase = F.get(F.filter(phases, lambda p: (p["before"] <= block) & (block < p["after"])), F.lit(0))
-    return _let(
-        phase,
-        lambda p: _let(
-            block - p["before"],
-            lambda b: F.struct(
-                (p["start"] + _div(b, units) * p["width"] + F.get(p["slots"], (b % units).cast("int"))).alias("slot"),
-                (p["start"] + _div(b * p["width"], units)).alias("release"),
-                (p["start"] + _ceil_div((b + 1) * p["width"], units)).alias("deadline"),
-            ),
+    walked = F.aggregate(
+        "ends",
+        start,
+        lambda a, x: F.struct(
+            (a["all"] - x["units"]).alias("all"),
+            (a["done"] + x["blocks"]).alias("done"),
+            F.concat(a["out"], F.array(F.struct(x["units"].alias("units"), x["blocks"].alias("blocks"), a["all"].alias("all"), a["done"].alias("done")))).alias("out"),
         ),
     )
+    one = one.withColumn("stretches", walked["out"]).withColumn("total", F.aggregate("sources", _long(0), lambda a, x: a + x["blocks"]))
+    return one.withColumn("borders", _borders(F.col("stretches"), F.col("sources"), F.col("total"), lane)).drop("ends")
+
+
+def _lane_of(i: Column, block: Column, release: Column, deadline: Column, borders: Column, lane: int) -> Column:
+    """The lane that gives a block: the first at whose end the source has given it."""
+    last = F.size(borders).cast("long") - 2
+    tried = F.sequence(F.least(_div(release, _long(lane)), last), F.least(_div(deadline - 1, _long(lane)) + 2, last))
+    return F.coalesce(F.get(F.filter(tried, lambda m: F.get(F.get(borders, (m + 1).cast("int")), i) > block), F.lit(0)), last)
+
+
+def _earliest_deadline_first(jobs: Column, start: Column, slots: Column) -> Column:
+    """The jobs of a lane in the order of its slots: of each source's next block, released ones come
+    first, and of these the one that is due first."""
+    queues = F.transform(F.array_sort(F.array_distinct(F.transform(jobs, lambda j: j["i"]))), lambda i: F.array_sort(F.filter(jobs, lambda j: j["i"] == i)))
+
+    def run(queues: Column) -> Column:
+        def step(state: Column, t: Column) -> Column:
+            heads = F.zip_with(
+                queues,
+                state["next"],
+                lambda q, at: _let(F.get(q, at), lambda j: F.when(j.isNotNull(), F.struct((j["release"] > start + t).alias("waits"), j["deadline"].alias("deadline"), j["i"].alias("i"), j.alias("job")))),
+            )
+            return _let(
+                F.array_min(heads),
+                lambda pick: F.struct(
+                    F.zip_with(queues, state["next"], lambda q, at: at + (F.get(q, F.lit(0))["i"] == pick["i"]).cast("int")).alias("next"),
+                    F.concat(state["out"], F.array(pick["job"])).alias("out"),
+                ),
+            )
+
+        none = F.slice(jobs, 1, 0)
+        begin = F.struct(F.transform(queues, lambda q: F.lit(0)).alias("next"), F.array().cast("array<array<struct<i:int,block:bigint,release:bigint,deadline:bigint>>>").alias("out"))
+
+        def strip(state: Column, s: Column) -> Column:
+            inner = F.aggregate(
+                F.sequence(s * STRIP, F.least((s + 1) * STRIP, slots) - 1),
+                F.struct(state["next"].alias("next"), none.alias("out")),
+                step,
+            )
+            return _let(inner, lambda x: F.struct(x["next"].alias("next"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
+        return F.flatten(F.aggregate(F.sequence(_long(0), _div(slots + STRIP - 1, _long(STRIP)) - 1), begin, strip)["out"])
+
+    return _let(queues, run)
+
+
+def schedule(blocks: DataFrame, plan: DataFrame, lane: int) -> DataFrame:
+    """i, block, release, deadline and slot of each block (``blocks``: i, block).
+
+    A block's release and deadline are the slots in which an even flow at the target weights
+    begins and ends it. Lanes of ``lane`` slots are scheduled side by side, earliest deadline first.
+    """
+    jobs = blocks.withColumn("__one", F.lit(1)).join(F.broadcast(plan.select(F.lit(1).alias("__one"), "sources", "stretches", "borders")), "__one")
+    units = F.get("sources", "i")["units"]
+    jobs = jobs.withColumn("release", _moment(F.col("stretches"), units, F.col("block"), False)).withColumn("deadline", _moment(F.col("stretches"), units, F.col("block") + 1, True))
+    jobs = jobs.select(_lane_of(F.col("i"), F.col("block"), F.col("release"), F.col("deadline"), F.col("borders"), lane).alias("lane"), F.struct(F.col("i").cast("int").alias("i"), "block", "release", "deadline").alias("job"))
+    lanes = jobs.groupBy("lane").agg(F.collect_list("job").alias("jobs"))  # as many as a lane has slots
+    order = _earliest_deadline_first(F.col("jobs"), F.col("lane") * lane, F.size("jobs").cast("long"))
+    return lanes.select("lane", F.posexplode(order).alias("at", "job")).select("job.*", (F.col("lane") * lane + F.col("at")).alias("slot"))
 
 
 def pfair_mix(
     docs: DataFrame,
     weights: DataFrame | None = None,
     block_rows: int = 8,
-    resolution: int = 1000,
+    lane: int = LANE,
     alpha: float = 0.5,
     seed: int = 7,
     id_col: str = "doc_id",
@@ -216,58 +222,55 @@ def pfair_mix(
 ) -> DataFrame:
     """Interleave the sources block by block at their target weights; every row is kept.
 
-    Rows of a source are shuffled by the seed and cut into blocks of ``block_rows``. Weights
-    are rounded to whole units of about ``resolution``. The k-th block of a source with
-    share w may run from floor((k - 1) / w) and is due by ceil(k / w); at each slot the
-    released block with the earliest deadline runs. In a phase (the time until some source
-    has given all it has) each source is less than one block away from its share at every
-    slot; then its share passes to the others in proportion.
-
-    Returns ``keep`` (all columns of ``docs`` if None) plus __mix, a struct of units, block,
-    slot, release, deadline, offset (row in the block) and position (place in the whole
-    order, gapless from 0). A null source is a source of its own. Null ids and texts are
-    kept; rows that agree in id, text and source are interchangeable. Other columns may
-    have any name but __mix. An empty table gives no rows. Over 256 sources are refused: group them
-    under fewer names first.
+    Rows of a source are shuffled by the seed and cut into blocks of ``block_rows``. In an even
+    flow each source gives its blocks at its weight's share of the slots until it has none
+    left; its share then passes to the others in proportion. Block k of a source is released
+    in the slot in which that flow begins it and due at the end of the slot in which the flow ends it;
+    at each slot the released block with the earliest deadline runs. So at every slot each
+    source is less than one block from its target. Targets are weights in units of 2^-40, and all
+    reckoning is in whole numbers: nothing drifts, whatever the length of the schedule.
+
+    Slots are scheduled in lanes of ``lane``, each by itself. At a lane's end every source has
+    its target rounded down or up; where two lanes meet a source may so be off by a little more
+    than a block in rare cases. A corpus of ``lane`` blocks or fewer is one lane.
+
+    Returns ``keep`` (all columns of ``docs`` if None) plus __mix, a struct of block, slot, release,
+    deadline, offset (row in the block) and position (place in the whole order, gapless from 0).
+    A null source is a source of its own; there may be any number of sources (a slot's cost
+    grows with those in its lane). Null texts are kept; null ids are told apart by their rows'
+    places; rows that agree in id, text and source are interchangeable. Other columns may have any name
+    but __mix. An empty table gives no rows.
     """
-    if block_rows < 1 or resolution < 1:
-        raise ValueError("block_rows and resolution must be 1 or more")
-    spark = docs.sparkSession
-    src, h = source_key(F.col(source_col)), F.xxhash64(F.lit(seed), F.col(id_col))
-    light = docs.select(src.alias("__src"), h.alias("__h"))
-    counts = light.groupBy("__src").agg(F.count(F.lit(1)).alias("__n"))
-    plan = schedule(counts, block_rows, resolution, weights, alpha)
-    end = F.struct(
-        _slot(F.col("__phases"), F.col("__blocks") - 1, F.col("units"))["slot"].alias("slot"),
-        (F.col("__blocks") * block_rows - F.col("__rows")).alias("short"),
-    )
-    plan = plan.withColumn("__ends", F.collect_list(end).over(Window.partitionBy(F.lit(0))))
-    # The plan has a row per source (MAX_SOURCES at most) and slots bounded by the resolution
-    # and the number of sources, whatever the size of the corpus: that bound is why it may be
-    # broadcast below.
-    plan = written(plan, "mix-plan")
-    rows = plan.groupBy().agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("n")).first()["n"]
-    names = docs.columns if keep is None else keep
-    payload = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), src.alias("__src"), h.alias("__h"), F.col(id_col).alias("__id"), *([F.xxhash64(F.col(text_col)).alias("__th")] if text_col else []))
-    ranked = shuffled_rank(payload, "__src", "__h", ["__id"] + (["__th"] if text_col else []), bucket_bits(rows), light)
-    per_block = F.lit(block_rows).cast("long")
-    placed = (
-        ranked.join(F.broadcast(plan.select("__src", "units", "__phases", "__ends")), "__src")
-        .withColumn("__block", _div(F.col("__rank"), per_block))
-        .withColumn("__at", _slot(F.col("__phases"), F.col("__block"), F.col("units")))
-        .drop("__phases")
-    )
-    offset = F.col("__rank") % per_block
-    lost = F.aggregate(F.filter("__ends", lambda e: e["slot"] < F.col("__at.slot")), F.lit(0).cast("long"), lambda a, e: a + e["short"])
-    return placed.select(
-        "__doc.*",
-        F.struct(
-            F.col("units"),
-            F.col("__block").alias("block"),
-            F.col("__at.slot").alias("slot"),
-            F.col("__at.release").alias("release"),
-            F.col("__at.deadline").alias("deadline"),
-            offset.alias("offset"),
-            (F.col("__at.slot") * per_block + offset - lost).alias("position"),
-        ).alias("__mix"),
+    if block_rows < 1 or lane < 1:
+        raise ValueError("block_rows and lane must be 1 or more")
+    names = docs.columns
+    docs, where = located(docs)
+    carried = [] if keep is None else keep
+    narrow = docs.select(
+        F.struct(where.alias("at"), *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(carried)]).alias("__doc"),
+        source_key(F.col(f"`{source_col}`")).alias("__src"),
+        shuffled_hash(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`") if text_col else None, where).alias("__h"),
+        where.alias("__at"),
     )
+    narrow = written(narrow, "mix-rows")
+    counts = narrow.groupBy("__src").agg(F.count(F.lit(1)).alias("__n"))
+    plan = written(plan_of(counts, block_rows, lane, weights, alpha), "mix-plan")
+    rows = plan.select(F.aggregate("sources", _long(0), lambda a, x: a + x["rows"]).alias("n")).first()["n"]
+    per_block = _long(block_rows)
+    ranked = shuffled_rank(narrow, "__src", "__h", ["__at"], bucket_bits(rows)).withColumn("__block", _div(F.col("__rank"), per_block)).withColumn("__offset", F.col("__rank") % per_block)
+    ranked = written(ranked.select("__doc", "__src", "__block", "__offset"), "mix-ranked")
+    index = plan.select(F.posexplode("sources").alias("i", "x")).select("i", F.col("x.key").alias("__src"), F.col("x.blocks").alias("blocks"), F.col("x.rows").alias("rows"))
+    # The table of sources is broadcast: it grows with their number only.
+    heads = ranked.where("__offset = 0").join(F.broadcast(index), "__src").select("i", F.col("__block").alias("block"))
+    slots = written(schedule(heads, plan, lane), "mix-slots")
+    short = slots.join(F.broadcast(index), "i").where(F.col("block") == F.col("blocks") - 1).select(F.struct("slot", (F.col("blocks") * block_rows - F.col("rows")).alias("short")).alias("e"))
+    short = short.groupBy().agg(F.collect_list("e").alias("__ends")).withColumn("__one", F.lit(1))
+    placed = slots.join(F.broadcast(index.select("i", "__src")), "i").select(F.lit(1).alias("__one"), "__src", F.col("block").alias("__block"), "slot", "release", "deadline")
+    lost = F.aggregate(F.filter("__ends", lambda e: e["slot"] < F.col("slot")), _long(0), lambda a, e: a + e["short"])
+    placed = placed.join(F.broadcast(short), "__one").withColumn("__first", F.col("slot") * per_block - lost).drop("__ends", "__one")
+    mix = F.struct(F.col("__block").alias("block"), "slot", "release", "deadline", F.col("__offset").alias("offset"), (F.col("__first") + F.col("__offset")).alias("position")).alias("__mix")
+    found = ranked.join(placed, ["__src", "__block"]).select("__doc", mix)
+    if keep is not None:
+        return found.select(*[F.col(f"__doc.k{n}").alias(c) for n, c in enumerate(keep)], "__mix")
+    found = found.select(F.col("__doc.at").alias("__at"), "__mix")
+    return docs.withColumn("__here", where).join(found, F.col("__here") == F.col("__at")).select(*[F.col(f"`{c}`") for c in names], "__mix")

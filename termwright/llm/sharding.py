@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, shuffled_rank, source_key, written
+from .common import bucket_bits, located, shuffled_hash, shuffled_rank, source_key, written
 
 
 def text_size(text: Column) -> Column:
@@ -23,22 +23,24 @@ def stratified_shards(docs: DataFrame, n_shards: int = 40, seed: int = 20, id_co
 
     Returns doc_id, source, size, text_crc32, shard, slot (place in the shard, from 0) and
     position (place in the whole order). Null texts count as empty; a null source is a
-    source of its own; null ids are kept. Rows that agree in id, text and source are
+    source of its own; null ids are kept, and shuffled by their rows' places. Rows that agree in id, text and source are
     interchangeable; each has a place of its own. Only the named columns are read, so
     others may have any name. An empty table gives no rows; with fewer rows than shards
     some shards stay empty.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs, where = located(docs)
+    row_id, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
     narrow = written(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            source_key(F.col(source_col)).alias("__src"),
-            text_size(F.col(text_col)).alias("size"),
-            F.crc32(text).alias("text_crc32"),
-        ).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")),
+            row_id.alias("doc_id"),
+            source.alias("source"),
+            source_key(source).alias("__src"),
+            text_size(text).alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+            shuffled_hash(seed, row_id, text, where).alias("__h"),
+        ),
         "shards",
     )
     rows = narrow.count()
