@@ -21,12 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_cache
+from .common import worker_cache
 
 #: Bound of the broadcast vocabulary file; a larger one is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces whose encodings a worker remembers; as many older ones are looked up before they go.
 REMEMBERED = 200_000
+LONGEST_KEY = 64  # characters of a piece that is remembered
 #: Characters that are split into pieces at once.
 LONG_TEXT = 1 << 22
 
@@ -229,7 +230,8 @@ class Text:
 
 
 class _Memo(dict):
-    """Results of ``make`` for the keys met lately; two generations bound its size."""
+    """Results of ``make`` for the keys met lately: two generations of REMEMBERED short keys at most.
+    Long keys seldom come again and are not kept, so that memory is bounded too."""
 
     def __init__(self, make):
         super().__init__()
@@ -239,10 +241,11 @@ class _Memo(dict):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -321,7 +324,6 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to broadcast")
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(data)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
 

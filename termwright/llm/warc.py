@@ -14,19 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 #: The name space of record ids that are made from other ids (RFC 4122's for URLs).
 NAMES = uuid.NAMESPACE_URL
 
-RECORD = "warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, source_block_digest string, source_headers array<struct<name:string,value:string>>, block string"
+RECORD = "warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, source_block_digest string, source_headers array<struct<name:string,value:string>>, block string, record_digest string"
+
+#: Markup of a page: a comment, a CDATA section, a tag (its slash, name and attributes, whose values may be
+#: quoted and hold any mark), or a declaration. Groups are atomic: nothing is tried twice.
+_MARKUP = re.compile(
+    r"""<(?:!--(?:>|->|(?s:.*?)(?:--!?>|\Z))|!\[CDATA\[((?s:.*?))(?:\]\]>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[\s/]+|[^\s/>][^\s/>=]*+(?>\s*=\s*(?>"[^"]*"|'[^']*'|[^\s>"'][^\s>]*|(?=>)))?)*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))"""
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+
+#: Elements whose content is no markup (its end is the next end tag of that name), elements
+#: that a reader doesn't see, elements that start and end a line, and the attributes that link.
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+UNSEEN = frozenset("noscript template".split())
+LINES = frozenset(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "frame": "src", "embed": "src", "source": "src"}
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<(a|img|link|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([\w-]+)", re.I)
-_BLOCK_TAG = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\s]*")
 
@@ -39,13 +48,76 @@ def derived_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, chr(10).join(parts))}>"
 
 
+class Page:
+    """What one pass over a page's markup finds: text, title, lang, base and links (tag, attribute, target).
+
+    End tags may be left out wherever HTML allows: nothing waits for ``</head>`` or ``</p>``. Text
+    is what a reader sees: no comments, scripts, styles or titles, nothing in templates and
+    ``noscript``; block elements stand on lines of their own; entities are resolved; runs of
+    white space are joined. A "<" that begins no markup is text; a tag that the page's end cuts off
+    is none. Time grows with the page's length only.
+    """
+
+    def __init__(self, page: str):
+        self.title: str | None = None
+        self.lang: str | None = None
+        self.base: str | None = None
+        self.links: list[tuple[str, str, str]] = []
+        parts: list[str] = []
+        at, unseen, low = 0, 0, ""
+        ends: dict[str, int] = {}  # where the next end tag of a name stands, as last looked up
+        while (m := _MARKUP.search(page, at)) is not None:
+            if not unseen and m.start() > at:
+                parts.append(page[at : m.start()])
+            at = m.end()
+            name = m[3]
+            if name is None:
+                if m[1] and not unseen:
+                    parts.append(html.escape(m[1], quote=False))
+                continue
+            name = name.lower()
+            if name in LINES:
+                parts.append("\n")
+            if m[2]:
+                unseen -= name in UNSEEN and unseen > 0
+                continue
+            if (attribute := LINKS.get(name)) or name in ("html", "base"):
+                self._attributes(name, attribute, m[4])
+            if name in RAW or name in UNSEEN:
+                low = low or page.lower()
+                if len(low) != len(page):  # a few capitals grow when they are lowered
+                    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+                end = ends.get(name, 0)
+                if 0 <= end < at:
+                    end = ends[name] = low.find(f"</{name}", at)
+                if name in UNSEEN:
+                    unseen += end >= 0
+                    continue
+                raw = page[at : end if end >= 0 else len(page)]
+                if name == "title" and self.title is None:
+                    self.title = " ".join(html.unescape(raw).split())
+                elif name == "textarea" and not unseen:
+                    parts.append(raw)
+                at = end if end >= 0 else len(page)
+        if not unseen:
+            parts.append(page[at:])
+        text = html.unescape("".join(parts))
+        self.text = _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
+
+    def _attributes(self, name: str, attribute: str | None, found: str) -> None:
+        values: dict[str, str] = {}
+        for key, *value in _ATTRIBUTE.findall(found):
+            values.setdefault(key.lower(), html.unescape(next((v for v in value if v), "")).strip())
+        if name == "html" and self.lang is None and values.get("lang"):
+            self.lang = values["lang"]
+        if name == "base" and self.base is None and values.get("href"):
+            self.base = values["href"]
+        if attribute and values.get(attribute):
+            self.links.append((name, attribute, values[attribute]))
+
+
 def plain_text(page: str) -> str:
-    """The text that a reader sees: no scripts, styles, comments or head; block elements on
-    lines of their own; entities resolved; runs of white space joined."""
-    text = _HIDDEN.sub(" ", page)
-    text = _BLOCK_TAG.sub("\n", text)
-    text = html.unescape(_TAG.sub("", text))
-    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
+    return Page(page).text
 
 
 def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
@@ -65,64 +137,76 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, payload
 
 
-def charset_of(fields: list[tuple[str, str]]) -> str:
+#: Names of charsets that pages use for another, wider one.
+WIDER = {"iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "x-gbk": "gb18030", "x-sjis": "cp932", "shift_jis": "cp932", "euc-kr": "cp949", "ks_c_5601-1987": "cp949"}
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+_META = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def _charset(label: str) -> str | None:
+    """The codec of a label, or None if no text has it."""
+    label = label.strip().lower()
+    label = WIDER.get(label, label)
+    try:
+        "".encode(label)  # no codec of that name, or none for text
+    except (LookupError, ValueError):
+        return None
+    return label
+
+
+def charset_of(fields: list[tuple[str, str]], payload: bytes = b"") -> str:
+    """By the payload's byte-order mark, the HTTP header, the page's own declaration in its first
+    1,024 bytes, or UTF-8; names of no known charset are passed over."""
+    for mark, name in MARKS:
+        if payload.startswith(mark):
+            return name
     for name, value in fields:
-        if name.lower() == "content-type" and (found := re.search(r"charset\s*=\s*\"?([\w.:-]+)", value, re.I)):
-            try:
-                "".encode(found[1])
-            except LookupError:
-                break
-            return found[1]
+        if name.lower() == "content-type" and (found := re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value, re.I)) and (known := _charset(found[1])):
+            return known
+    if (found := _META.search(payload, 0, 1024)) and (known := _charset(found[1].decode("latin-1"))):
+        return "utf-8" if known.startswith("utf-16") else known
     return "utf-8"
 
 
 def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes) -> list[dict]:
     """The metadata and the conversion record of one response record."""
     fields, payload = split_http(block)
-    page = payload.decode(charset_of(fields), "replace")
+    page = Page(payload.decode(charset_of(fields, payload), "replace"))
     source_payload, source_block = sha1_digest(payload), sha1_digest(block)
     ids = {kind: derived_id(record_id, kind) for kind in ("metadata", "conversion")}
-    text = plain_text(page)
-    title = _TITLE.search(page)
-    lang = _LANG.search(page)
     lines = [("source-record-id", record_id), ("source-payload-digest", source_payload), ("source-block-digest", source_block), ("conversion-record-id", ids["conversion"])]
     lines += [(f"source-header-{name.lstrip(':').lower()}", value) for name, value in fields]
-    if title:
-        lines.append(("title", " ".join(html.unescape(_TAG.sub("", title[1])).split())))
-    if lang:
-        lines.append(("language", lang[1]))
-    for tag, attribute, *values in _LINK.findall(_HIDDEN_COMMENTS.sub(" ", page)):
-        target = html.unescape(next((v for v in values if v), "")).strip()
-        if target:
-            lines.append(("outlink", f"{_joined(uri, target)} {tag.upper()}/@{attribute.lower()}"))
-    blocks = {"metadata": "".join(f"{name}: {' '.join(value.split())}\r\n" for name, value in lines), "conversion": text}
+    if page.title:
+        lines.append(("title", page.title))
+    if page.lang:
+        lines.append(("language", page.lang))
+    base = uri if page.base is None else _joined(uri, page.base)
+    lines += [("outlink", f"{_joined(base, target)} {tag.upper()}/@{attribute}") for tag, attribute, target in page.links]
+    blocks = {"metadata": "".join(f"{name}: {' '.join(value.split())}\r\n" for name, value in lines), "conversion": page.text}
     types = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     out = []
     for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
         data = blocks[kind].encode("utf-8", "replace")
-        out.append(
-            {
-                "warc_type": kind,
-                "record_id": ids[kind],
-                "refers_to": record_id,
-                "concurrent_to": ids[other],
-                "target_uri": uri,
-                "warc_date": date,
-                "content_type": types[kind],
-                "content_length": len(data),
-                "block_digest": sha1_digest(data),
-                "source_payload_digest": source_payload,
-                "source_block_digest": source_block,
-                "source_headers": [{"name": n, "value": v} for n, v in fields],
-                "block": data.decode(),
-            }
-        )
+        record = {
+            "warc_type": kind,
+            "record_id": ids[kind],
+            "refers_to": record_id,
+            "concurrent_to": ids[other],
+            "target_uri": uri,
+            "warc_date": date,
+            "content_type": types[kind],
+            "content_length": len(data),
+            "block_digest": sha1_digest(data),
+            "source_payload_digest": source_payload,
+            "source_block_digest": source_block,
+            "source_headers": [{"name": n, "value": v} for n, v in fields],
+            "block": data.decode(),
+        }
+        record["record_digest"] = sha1_digest(serialised(record))
+        out.append(record)
     return out
 
 
-_HIDDEN_COMMENTS = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-
-
 def _joined(uri: str | None, target: str) -> str:
     try:
         return urljoin(uri or "", target)
@@ -131,20 +215,26 @@ def _joined(uri: str | None, target: str) -> str:
 
 
 def serialised(record: dict) -> bytes:
-    """The record as it stands in a WARC/1.1 file."""
+    """The record as it stands in a WARC/1.1 file; the source's digests and HTTP header fields are
+    extension fields."""
     names = [
         ("WARC-Type", record["warc_type"]),
         ("WARC-Record-ID", record["record_id"]),
         ("WARC-Date", record["warc_date"]),
         ("WARC-Refers-To", record["refers_to"]),
+        ("WARC-Refers-To-Target-URI", record["target_uri"]),
+        ("WARC-Refers-To-Date", record["warc_date"]),
         ("WARC-Concurrent-To", record["concurrent_to"]),
         ("WARC-Target-URI", record["target_uri"]),
         ("WARC-Block-Digest", record["block_digest"]),
+        ("WARC-Source-Payload-Digest", record["source_payload_digest"]),
+        ("WARC-Source-Block-Digest", record["source_block_digest"]),
+        *[("WARC-Source-Header", f"{h['name']}: {h['value']}") for h in record["source_headers"]],
         ("Content-Type", record["content_type"]),
         ("Content-Length", str(record["content_length"])),
     ]
     head = "WARC/1.1\r\n" + "".join(f"{n}: {v}\r\n" for n, v in names if v is not None)
-    return head.encode() + b"\r\n" + record["block"].encode() + b"\r\n\r\n"
+    return head.encode("utf-8", "replace") + b"\r\n" + record["block"].encode() + b"\r\n\r\n"
 
 
 def http_response(page: str) -> bytes:
@@ -155,7 +245,8 @@ def http_response(page: str) -> bytes:
 
 def build_derivatives(responses: DataFrame) -> DataFrame:
     """Two records per response: metadata and conversion, which name the response
-    (refers_to), each other (concurrent_to), its digests and its HTTP header fields.
+    (refers_to), each other (concurrent_to), its digests and its HTTP header fields;
+    record_digest is that of the record as a WARC file holds it.
 
     ``responses``: record_id string, target_uri string, warc_date string, block binary (HTTP
     head and payload, or payload alone); other columns, of any name, are left aside. Ids of
@@ -174,7 +265,6 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
                     out += derivatives(row["record_id"] or derived_id(row["target_uri"] or "", sha1_digest(block)), row["target_uri"], row["warc_date"], block)
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    small_batches(responses.sparkSession)
     return responses.select(F.col("record_id").cast("string").alias("record_id"), F.col("target_uri").cast("string").alias("target_uri"), F.col("warc_date").cast("string").alias("warc_date"), F.col("block").cast("binary").alias("block")).mapInArrow(run, RECORD)
 
 
@@ -185,6 +275,7 @@ _ARROW = pa.schema(
         *[(n, pa.string()) for n in ("block_digest", "source_payload_digest", "source_block_digest")],
         ("source_headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))),
         ("block", pa.string()),
+        ("record_digest", pa.string()),
     ]
 )
 
