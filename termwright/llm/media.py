@@ -49,11 +49,13 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frame and frequency bin of the spectral peaks, in that order.
 
-    The samples stand between two hops of silence. In each frame of their short-time Fourier
+    The samples stand between two hops of silence; zero bytes, as the padding has them, count as
+    silence too, lest the step to them drown a short text. In each frame of their short-time Fourier
     transform the strongest bin of each band (the lowest of equal ones) is a peak if it is
     stronger than the same bin of the frame before and as strong as that of the frame behind.
     Silent frames have no peak. Frames are transformed in bounded chunks."""
-    x = np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128.0
+    x = np.frombuffer(samples, dtype=np.uint8).astype(np.float32)
+    x = np.where(x == 0, np.float32(0), x - 128)
     silence = np.zeros(HOP, dtype=np.float32)
     x = np.concatenate((silence, x, silence))
     n = 1 + (len(x) - FRAME) // HOP

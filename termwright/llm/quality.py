@@ -6,7 +6,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +48,6 @@ RULES = (
 _SYMBOLS = frozenset("#$%&*^~@=<>\\{}[]_+|")
 
 
-@lru_cache(4096)
-def _place(shape: str) -> int:
-    return zlib.crc32(shape.encode("utf-8", "surrogatepass")) % (SIZE // 2)
-
-
 def _shape(word: str) -> int:
     """Place of the word's shape: runs of capitals, other letters, digits, and each mark once."""
     shape, last = [], ""
@@ -62,10 +56,19 @@ def _shape(word: str) -> int:
         if k != last:
             shape.append(k)
             last = k
-    return _place("".join(shape[:12]))
+    return zlib.crc32("".join(shape[:12]).encode("utf-8", "surrogatepass")) % (SIZE // 2)
+
+
+def _short(word: str, known: dict[str, int] = {}) -> int:  # noqa: B006
+    """The same for the few shapes of most words; the worker remembers them."""
+    found = known.get(word)
+    if found is None:
+        found = _shape(word)
+        if len(known) < 4096:
+            known[word] = found
+    return found
 
 
-_short = lru_cache(4096)(_shape)
 TRAITS = 8  # of a word, before the place of its shape
 
 

@@ -156,12 +156,12 @@ SQL = {
                    ltrim(part, E' \t') AS own, regexp_extract_all(lower(part), '[\p{L}\p{N}_]+') AS words
             FROM parts
         ), numbered AS (
-            SELECT *, a + length(own) AS b, row_number() OVER d - 1 AS s, sum(len(words)) OVER d - len(words) AS w0, sum(len(words)) OVER d AS w1, count(*) OVER (PARTITION BY doc_id, k) AS in_line
+            SELECT *, a + length(rtrim(own, E' \t')) AS b, row_number() OVER d - 1 AS s, sum(len(words)) OVER d - len(words) AS w0, sum(len(words)) OVER d AS w1, count(*) OVER (PARTITION BY doc_id, k) AS in_line
             FROM sentences WHERE len(words) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
         ), units AS (
             SELECT doc_id, k, array_to_string(words, ' ') AS unit, false AS is_line, a, b, s AS s0, s AS s1, w0, w1 FROM numbered WHERE in_line > 1
             UNION ALL
-            SELECT doc_id, k, array_to_string(flatten(list(words ORDER BY j)), ' '), true, min(a), CASE WHEN count(*) = 1 THEN any_value(pos) + length(rtrim(any_value(line), E' \t')) ELSE max(b) END, min(s), max(s), min(w0), max(w1) FROM numbered GROUP BY doc_id, k
+            SELECT doc_id, k, array_to_string(flatten(list(words ORDER BY j)), ' '), true, min(a), max(b), min(s), max(s), min(w0), max(w1) FROM numbered GROUP BY doc_id, k
         ), ranked AS (
             SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, k, is_line, s0) AS r FROM units
         ), again AS (

@@ -31,12 +31,12 @@ def units(text: str) -> Iterator[tuple[bytes, bool, int, int, int, int, int, int
     no word is no unit."""
     number = total = 0
     for line in _LINE.finditer(text):
-        first, before, words, begin = number, total, [], None
+        first, before, words = number, total, []
         sentences = []
         for m in _SENTENCE.finditer(text, line.start(), line.end()):
             own = _WORD.findall(m[0].lower())
             if own:
-                sentences.append((own, m.start(), m.end(), number, total))
+                sentences.append((own, m.start(), m.start() + len(m[0].rstrip()), number, total))
                 words += own
                 number += 1
                 total += len(own)
@@ -46,8 +46,6 @@ def units(text: str) -> Iterator[tuple[bytes, bool, int, int, int, int, int, int
         if len(sentences) > 1:
             for own, a, b, k, n in sentences:
                 yield _digest(own), False, a, b, k, k, n, n + len(own)
-        else:
-            end = len(line[0].rstrip()) + line.start()
         yield _digest(words), True, begin, end, first, number - 1, before, total
 
 

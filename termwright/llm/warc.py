@@ -76,7 +76,7 @@ class Page:
                     parts.append(html.escape(m[1], quote=False))
                 continue
             name = name.lower()
-            if name in LINES:
+            if name in LINES and not unseen:
                 parts.append("\n")
             if m[2]:
                 unseen -= name in UNSEEN and unseen > 0

@@ -4,6 +4,8 @@ import base64
 import hashlib
 import itertools
 import random
+import re
+import time
 import uuid
 import wave
 import zlib
@@ -171,55 +173,108 @@ def test_simhash_odd_and_no_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).isEmpty() and simhash.drop_near_duplicates(no_docs).isEmpty()
 
 
-def brute_spans(rows, min_words=5):
-    seen, out = {}, {}
-    for i, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        own, spans = set(), []
-        for digest, a, b in substring.units(text or "", min_words):
-            if digest in own or seen.get(digest, i) != i:
-                spans.append((a, b))
-            own.add(digest)
-        for d in own:
-            seen.setdefault(d, i)
-        merged = []
-        for a, b in sorted(set(spans)):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+def brute_units(text):
+    """Normal form, whether a line, start, end, first and last sentence, and words before and after."""
+    out, number, words = [], 0, 0
+    for line in re.finditer("[^\r\n\x0b\x0c\x85\u2028\u2029]+", text):
+        own, start = [], line.start()
+        ends = [m.end(1) + line.start() for m in re.finditer(r"([.!?…]+)(?=\s)", line[0])] + [line.end()]
+        for end in ends:
+            part = text[start:end]
+            found = re.findall(r"\w+", part.lower())
+            if found:
+                a = start + len(part) - len(part.lstrip())
+                own.append((" ".join(found), a, start + len(part.rstrip()), len(found)))
+            start = end
+        for k, (unit, x, y, n) in enumerate(own):
+            if len(own) > 1:
+                before = words + sum(o[3] for o in own[:k])
+                out.append((unit, False, x, y, number + k, number + k, before, before + n))
+        if own:
+            total = sum(o[3] for o in own)
+            out.append((" ".join(o[0] for o in own), True, own[0][1], own[-1][2], number, number + len(own) - 1, words, words + total))
+            number += len(own)
+            words += total
+    return out
+
+
+def brute_spans(rows, passage):
+    """Of each row: the spans that go, and how many repeated units stay."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, out = set(), {}
+    for k in order:
+        again = []
+        own = set()
+        for u in brute_units(rows[k][1] or ""):
+            if u[0] in seen or u[0] in own:
+                again.append(u)
+            own.add(u[0])
+        seen |= own
+        again = [u for u in again if not any(v[4] <= u[4] and u[5] <= v[5] and v != u and (v[1] or not u[1]) for v in again if v[1])]
+        runs = []
+        for u in sorted(again, key=lambda u: u[4]):
+            if runs and u[4] <= runs[-1][-1][5] + 1:
+                runs[-1].append(u)
             else:
-                merged.append((a, b))
-        if merged:
-            out[i] = merged
+                runs.append([u])
+        gone = [u for r in runs if r[-1][7] - r[0][6] >= passage for u in r]
+        out[k] = (sorted((u[2], u[3]) for u in gone), sum(u[1] for u in gone), len(again) - len(gone))
     return out
 
 
-def test_repeated_units(make_docs):
+@pytest.mark.parametrize("passage", [1, 12])
+def test_repeated_units(make_docs, passage):
     rng = random.Random(10)
-    lines = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 12))).capitalize() + "." for _ in range(60)]
-    rows = [(i, "".join(rng.choice(lines) + rng.choice([" ", "\n", "  \n"]) for _ in range(rng.randint(0, 9))), "s") for i in range(90)]
-    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in substring.repeated_units(make_docs(rows)).collect()}
-    assert found == brute_spans(rows)
-    cut = {r["doc_id"]: r for r in substring.drop_repeats(make_docs(rows)).collect()}
-    for i, text, _ in rows:
+    lines = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.choice([1, 2, 4, 7, 12]))).capitalize() + rng.choice([".", "!", "", "..."]) for _ in range(60)]
+    rows = [(rng.choice([i, i // 2, None]), "".join(rng.choice(lines) + rng.choice([" ", "\n", "  \n"]) for _ in range(rng.randint(0, 9))), "s") for i in range(120)]
+    docs = make_docs(rows).coalesce(1)
+    want = brute_spans(rows, passage)
+    found = substring.repeated_units(docs, passage).collect()
+    shown = lambda i, spans, lines, left: (str(i), sorted(spans), lines, left)
+    assert sorted(shown(r["doc_id"], [tuple(s) for s in r["spans"]], r["n_lines"], r["n_left"]) for r in found) == sorted(shown(rows[k][0], *w) for k, w in want.items())
+    assert any(w[0] for w in want.values()) and (passage == 1) != any(w[2] for w in want.values())
+    cut = []
+    for k, (i, text, _) in enumerate(rows):
         keep, at = [], 0
-        for a, b in found.get(i, []):
+        for a, b in want[k][0]:
             keep.append(text[at:a])
             at = b
-        assert cut[i]["text"] == "".join(keep) + text[at:]
+        cut.append((str(i), "".join(keep) + text[at:]))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in substring.drop_repeats(docs, passage=passage).collect()) == sorted(cut)
 
 
 def test_units_keep_their_places():
-    text = "Short. One two three four five six!  Seven eight nine ten eleven.\r\n\n  One, two three FOUR five six  \nx"
-    found = [text[a:b] for _, a, b in substring.units(text, 5)]
-    assert found == ["One two three four five six!", "Seven eight nine ten eleven.", "Short. One two three four five six!  Seven eight nine ten eleven.", "One, two three FOUR five six"]
-    digests = [d for d, _, _ in substring.units(text, 5)]
-    assert digests[0] == digests[3]
+    text = "Short. One two three four five six!  Seven eight nine ten eleven.\r\n\n  One, two three FOUR five six  \n--\nx"
+    found = [(line, text[a:b], first, last, before, after) for _, line, a, b, first, last, before, after in substring.units(text)]
+    assert found == [
+        (False, "Short.", 0, 0, 0, 1),
+        (False, "One two three four five six!", 1, 1, 1, 7),
+        (False, "Seven eight nine ten eleven.", 2, 2, 7, 12),
+        (True, "Short. One two three four five six!  Seven eight nine ten eleven.", 0, 2, 0, 12),
+        (True, "One, two three FOUR five six", 3, 3, 12, 18),
+        (True, "x", 4, 4, 18, 19),
+    ]
+    digests = [u[0] for u in substring.units(text)]
+    assert digests[1] == digests[4]
+
+
+def test_short_lines_of_a_long_passage_go(make_docs):
+    poem = "\n".join(f"line {k} x" for k in range(20))  # three words a line
+    rows = [(1, "Begin here.\n" + poem + "\nend one", "s"), (2, "another start\n" + poem + "\nline 3 x", "s"), (3, "line 3 x", "s")]
+    found = {r["doc_id"]: r for r in substring.repeated_units(make_docs(rows)).collect()}
+    assert (len(found[2]["spans"]), found[2]["n_lines"]) == (21, 21) and not found[1]["spans"]
+    assert not found[3]["spans"] and found[3]["n_left"] == 1
 
 
 def test_repeats_of_odd_and_no_rows(odd_docs, no_docs):
-    found = {r["doc_id"]: r["spans"] for r in substring.repeated_units(odd_docs).collect()}
-    assert set(found) == {None} and [tuple(s) for s in found[None]] == [(0, 28)]
-    assert substring.drop_repeats(odd_docs).count() >= odd_docs.count()
-    assert substring.repeated_units(no_docs).isEmpty()
+    found = substring.repeated_units(odd_docs, passage=7).collect()
+    assert len(found) == odd_docs.count()
+    gone = sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in found if r["spans"])
+    assert gone == [("7", [(0, 28)]), ("None", [(0, 28)])]  # document 8 breaks the line elsewhere
+    cut = substring.drop_repeats(odd_docs, passage=7)
+    assert cut.columns == [*odd_docs.columns, "removed_spans"] and cut.count() == odd_docs.count()
+    assert sorted(r["text"] for r in cut.where("doc_id = 7 or doc_id is null").collect() if r["text"] is not None) == ["", "", "the cat sat on the mat today"]
+    assert substring.repeated_units(no_docs).isEmpty() and substring.drop_repeats(no_docs).isEmpty()
 
 
 def test_wav_round_trip(odd_docs, no_docs):
@@ -241,24 +296,43 @@ def test_wav_round_trip(odd_docs, no_docs):
     assert media.media_columns(no_docs).isEmpty()
 
 
-def test_spectral_peaks_by_definition(monkeypatch):
-    rng = np.random.default_rng(1)
-    tone = (128 + 90 * np.sin(np.arange(6000) * 0.7) * (np.arange(6000) // 900 % 2) + rng.integers(-20, 20, 6000)).clip(0, 255).astype(np.uint8).tobytes()
-    times, bins = media.peaks(tone)
-    x = np.frombuffer(tone, dtype=np.uint8).astype(float) - 128
+def brute_codes(samples):
+    """Peaks and pairs from the definitions, frame by frame and pair by pair."""
+    x = np.concatenate((np.zeros(media.HOP), [b - 128.0 if b else 0.0 for b in samples], np.zeros(media.HOP)))
     frames = [x[i : i + media.FRAME] for i in range(0, len(x) - media.FRAME + 1, media.HOP)]
+    assert (len(frames) - 1) * media.HOP + media.FRAME == len(x)  # the last sample is in the last frame
     s = np.array([np.abs(np.fft.rfft((f - f.mean()) * np.hanning(media.FRAME))) for f in frames])
-    want = []
+    found = []
     for t in range(len(s)):
-        b = 1 + s[t, 1:].argmax()
-        if (t == 0 or s[t, b] > s[t - 1, b]) and (t == len(s) - 1 or s[t, b] >= s[t + 1, b]):
-            want.append((t, b))
-    assert list(zip(times.tolist(), bins.tolist(), strict=True)) == want
+        for first, last in media.BANDS:
+            b = first + s[t, first:last].argmax()
+            if s[t, b] > 1e-3 and (t == 0 or s[t, b] > s[t - 1, b]) and (t == len(s) - 1 or s[t, b] >= s[t + 1, b]):
+                found.append((t, int(b)))
+    found.sort()
+    codes = [t << 24 | b << 16 | c << 8 | (u - t) for k, (t, b) in enumerate(found) for u, c in found[k + 1 : k + 1 + media.FAN_OUT] if u - t <= media.FAR]
+    return found, sorted(codes)
+
+
+def test_peaks_and_codes_by_definition(monkeypatch):
+    rng = np.random.default_rng(1)
+    tone = (128 + 90 * np.sin(np.arange(6016) * 0.7) * (np.arange(6016) // 900 % 2) + rng.integers(-20, 20, 6016)).clip(0, 255).astype(np.uint8).tobytes()
+    for samples in (tone, tone[:64], tone[:128], bytes([200, 100] * 32)):
+        times, bins = media.peaks(samples)
+        found, codes = brute_codes(samples)
+        assert list(zip(times.tolist(), bins.tolist(), strict=True)) == found
+        assert media.pair_codes(times, bins).tolist() == codes
+    times, bins = media.peaks(tone)
     monkeypatch.setattr(media, "FRAMES_AT_ONCE", 7)
     chunked = media.peaks(tone)
     assert (chunked[0] == times).all() and (chunked[1] == bins).all()
-    codes = media.pair_codes(times, bins).tolist()
-    assert sorted(codes) == codes and all((c & 255) in range(media.NEAR, media.FAR + 1) for c in codes) and len(codes) > 10
+
+
+def test_short_texts_and_tails_differ(make_docs):
+    long = "the same words again and again " * 40
+    texts = ["hello", "short", "Two words.", "42 is it?", "Short text.", long + "x" * 30 + "an end like this one", long + "x" * 30 + "quite another ending"]
+    found = media.media_columns(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert len({(r["n_peaks"], r["n_codes"], r["codes_sha256"]) for r in found}) == len(texts)
+    assert sum(r["n_codes"] > 0 for r in found) >= 5
 
 
 PAGE = '<html lang="de"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x <a href="no"> --><script>var t="</p>"</script><p>One <b>two</b><br>three &lt;ok&gt;</p><a href="/x?a=1&amp;b=2">L</a><img src=\'i.png\'></body></html>'
@@ -281,11 +355,93 @@ def test_warc_records(spark):
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         assert rest == data + b"\r\n\r\n" and fields["WARC-Refers-To"] == "<urn:uuid:1>" and int(fields["Content-Length"]) == len(data)
+        assert fields["WARC-Source-Payload-Digest"] == sha(PAGE.encode()) and b"WARC-Source-Header: Content-Type: text/html; charset=utf-8\r\n" in head
+        assert r["record_digest"] == sha(raw)
     lines = meta["block"].split("\r\n")
     assert "title: A & B" in lines and "language: de" in lines and f"source-payload-digest: {sha(PAGE.encode())}" in lines
     assert "outlink: http://e.org/x?a=1&b=2 A/@href" in lines and "outlink: http://e.org/d/i.png IMG/@src" in lines and not any("no" in x for x in lines if x.startswith("outlink"))
 
 
+def test_pages_with_left_out_tags():
+    text = lambda page: warc.plain_text(page)
+    assert text("<html><head><title>x</title><body><p>Hello world</p>") == "Hello world"
+    assert text("<title>x</title>Hello<p>one<p>two<ul><li>a<li>b</ul>") == "Hello\none\ntwo\na\nb"
+    assert text('<a title="a>b" href=x>L</a> 1 < 2 &amp; 3 <3') == "L 1 < 2 & 3 <3"
+    assert text("a<!-- x > y -->b<!>c<!doctype html>d<?php e ?>f<![CDATA[<g>]]>h") == "abcdf<g>h"
+    assert text("<style>p{}</style><SCRIPT>'</p>'</SCRIPT >x<noscript>n<b>m</b></noscript><template><p>t</template>y") == "xy"
+    assert text("<p>x<noscript>never closed") == "x" + "never closed"
+    assert text("<p a b= c='1>2'd=\"3\"/>t<br/>u<textarea><b></textarea>") == "t\nu<b>"
+    assert text("") == "" and text("x <b") == "x" and text("\u0130<script>1</script>\u0130x") == "\u0130\u0130x"
+    page = warc.Page('<html lang=de><base href="/b/"><title> A &lt; B </title><a href="1" HREF="2">x</a><svg><title>no</title></svg><noscript><img src=i></noscript>')
+    assert (page.title, page.lang, page.base, page.links) == ("A < B", "de", "/b/", [("a", "href", "1"), ("img", "src", "i")])
+
+
+@pytest.mark.parametrize("page", ["<a x=" * 30_000, "<!--" * 30_000, "<" * 60_000, "<a b='" * 30_001, "<noscript>" * 30_000 + "</noscript>", "<!x" * 40_000, "<a " + "b" * 60_000, "<title>" * 30_000])
+def test_pages_take_linear_time(page):
+    began = time.perf_counter()
+    warc.Page(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_plain_text_equals_a_parser():
+    """Against the standard library's parser, on made pages whose tags are all closed."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "title", "noscript", "template")
+            self.out.append("\n" * (tag in warc.LINES and not self.hidden))
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "title", "noscript", "template")
+            self.out.append("\n" * (tag in warc.LINES and not self.hidden))
+
+        def handle_data(self, data):
+            self.out.append("" if self.hidden else data)
+
+    rng = random.Random(12)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["word ", "two words", " &amp; ", "&eacute;t&#233;", "  \n x", "<!-- <p> -->", "<br>", "<img src='a>b'>"])
+        tag = rng.choice(["p", "div", "b", "a href=\"x>y\"", "li", "span class=it", "script", "style", "template", "noscript", "td"])
+        name = tag.split()[0]
+        inner = "var a = 1;" if name in ("script", "style") else "".join(made(depth - 1) for _ in range(rng.randint(0, 4)))
+        return f"<{tag}>{inner}</{name}>"
+
+    for _ in range(400):
+        page = "".join(made(3) for _ in range(4))
+        parser = Text()
+        parser.feed(page)
+        parser.close()
+        want = re.sub(r" ?\n\s*", "\n", re.sub(r"[^\S\n]+", " ", "".join(parser.out))).strip()
+        assert warc.plain_text(page) == want, page
+
+
+@pytest.mark.parametrize(
+    ("head", "body", "want"),
+    [
+        ("text/html; charset=ISO-8859-1", "é–".encode("cp1252"), "é–"),
+        ("text/html", "<meta charset=windows-1251>привет".encode("cp1251"), "привет"),
+        ("text/html", '<META http-equiv="Content-Type" content="text/html; charset=Shift_JIS">日本'.encode("cp932"), "日本"),
+        ("text/html; charset=koi8-r", "<meta charset=utf-8>привет".encode("koi8-r"), "привет"),
+        ("text/html; charset=utf-8", "é".encode("utf-16"), "é"),
+        ("text/html; charset=nope", "é".encode(), "é"),
+        ("text/html; charset=base64", "é".encode(), "é"),
+        ("text/html", "<meta charset=utf-16>é".encode(), "é"),
+        ("text/html", b"\xef\xbb\xbf\xc3\xa9\xff", "é\ufffd"),
+    ],
+)
+def test_charsets(head, body, want):
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: {head}\r\n\r\n".encode() + body
+    meta, conversion = warc.derivatives("r", "http://e.org/", None, block)
+    assert conversion["block"] == want
+
+
 def test_warc_odd_rows(spark):
     schema = "record_id string, target_uri string, warc_date string, block binary"
     rows = [(None, None, None, None), ("r", "http://[bad", None, bytearray(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=nope\r\nX: a\r\n b\r\n\r\n\xff<a href=x>")), ("r", "u", "d", bytearray(b"plain <b>" * 20_000))]
