@@ -309,7 +309,7 @@ def worker_encoder(data: bytes, pattern: str) -> Encoder:
     return worker_cache(f"bpe-{hashlib.sha256(data).hexdigest()}-{pattern}", lambda: Encoder(Vocabulary.from_file(data), pattern))
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Encode every whole text, then decode the ids.
 
     ``pattern`` splits a text into pieces, each encoded for itself; there are no special
@@ -317,15 +317,16 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
     size is checked. Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by
     commas), decoded_sha256 (of the decoded bytes), round_trip (whether those are the text's)
     and, if wanted, ids. Null texts count as empty: no tokens, and the digests of the empty
-    string. Null ids and repeated rows are kept; other columns may have any name; an
-    empty table gives no rows. Texts of any length are read whole.
+    string. Null ids and repeated rows are kept; ``carry`` names whole-number columns that come
+    along; others may have any name; an empty table gives no rows. Texts of any length are
+    read whole.
     """
     with open(vocabulary_path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * with_ids + list(carry or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value, pattern)
@@ -346,8 +347,9 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), pa.array(same, pa.bool_())]
                 if with_ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
+                columns += batch.columns[2:]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids + "".join(f", `{c}` long" for c in carry or [])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").cast("long").alias(c) for c in carry or []])
     return rows.mapInArrow(run, schema)

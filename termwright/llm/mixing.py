@@ -199,7 +199,7 @@ def schedule(blocks: DataFrame, plan: DataFrame, lane: int) -> DataFrame:
     A block's release and deadline are the slots in which an even flow at the target weights
     begins and ends it. Lanes of ``lane`` slots are scheduled side by side, earliest deadline first.
     """
-    jobs = blocks.withColumn("__one", F.lit(1)).join(F.broadcast(plan.select(F.lit(1).alias("__one"), "sources", "stretches", "borders")), "__one")
+    jobs = blocks.withColumn("plan", plan.select(F.struct("sources", "stretches", "borders")).scalar()).select("*", "plan.*")
     units = F.get("sources", "i")["units"]
     jobs = jobs.withColumn("release", _moment(F.col("stretches"), units, F.col("block"), False)).withColumn("deadline", _moment(F.col("stretches"), units, F.col("block") + 1, True))
     jobs = jobs.select(_lane_of(F.col("i"), F.col("block"), F.col("release"), F.col("deadline"), F.col("borders"), lane).alias("lane"), F.struct(F.col("i").cast("int").alias("i"), "block", "release", "deadline").alias("job"))
@@ -264,10 +264,10 @@ def pfair_mix(
     heads = ranked.where("__offset = 0").join(F.broadcast(index), "__src").select("i", F.col("__block").alias("block"))
     slots = written(schedule(heads, plan, lane), "mix-slots")
     short = slots.join(F.broadcast(index), "i").where(F.col("block") == F.col("blocks") - 1).select(F.struct("slot", (F.col("blocks") * block_rows - F.col("rows")).alias("short")).alias("e"))
-    short = short.groupBy().agg(F.collect_list("e").alias("__ends")).withColumn("__one", F.lit(1))
-    placed = slots.join(F.broadcast(index.select("i", "__src")), "i").select(F.lit(1).alias("__one"), "__src", F.col("block").alias("__block"), "slot", "release", "deadline")
+    ends = short.groupBy().agg(F.collect_list("e").alias("ends")).scalar()
+    placed = slots.join(F.broadcast(index.select("i", "__src")), "i").select("__src", F.col("block").alias("__block"), "slot", "release", "deadline")
     lost = F.aggregate(F.filter("__ends", lambda e: e["slot"] < F.col("slot")), _long(0), lambda a, e: a + e["short"])
-    placed = placed.join(F.broadcast(short), "__one").withColumn("__first", F.col("slot") * per_block - lost).drop("__ends", "__one")
+    placed = placed.withColumn("__ends", ends).withColumn("__first", F.col("slot") * per_block - lost).drop("__ends")
     mix = F.struct(F.col("__block").alias("block"), "slot", "release", "deadline", F.col("__offset").alias("offset"), (F.col("__first") + F.col("__offset")).alias("position")).alias("__mix")
     found = ranked.join(placed, ["__src", "__block"]).select("__doc", mix)
     if keep is not None:

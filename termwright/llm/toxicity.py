@@ -228,68 +228,98 @@ def calibrate(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.3, rounds:
     return w
 
 
+class Corpus:
+    """The windows of some whole texts with a label each."""
+
+    def __init__(self, texts: list[str], labels: np.ndarray):
+        lexicon = Lexicon()
+        parts = [windows_of(lexicon.codes(tokens(t))) for t in texts]
+        self.labels = labels
+        self.windows = np.concatenate([p[0] for p in parts])
+        self.filled = np.concatenate([p[1] for p in parts])
+        self.owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        self.first = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
+        self.positive = labels[self.owner] == 1
+        self.ids, self.flat, self.sizes = (np.concatenate((x, y)) for x, y in zip(([0], [0], [1]), traits(list(lexicon.numbers)), strict=True))
+        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+
+    def subset(self, words: np.ndarray):
+        n = self.sizes[words]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.offsets[words], n)
+        return self.ids[words], self.flat[places], ends - n, n
+
+    def logits(self, model: Model, texts: np.ndarray) -> np.ndarray:
+        """Of the windows of the chosen texts; the others get none (0)."""
+        out = np.zeros(len(self.windows), dtype=np.float32)
+        chosen = np.flatnonzero(texts[self.owner])
+        for at in range(0, len(chosen), AT_ONCE):
+            own = chosen[at : at + AT_ONCE]
+            part = self.windows[own]
+            words, inverse = np.unique(part, return_inverse=True)
+            table = model.gates(_padded(model.features(*self.subset(words)), words))
+            out[own] = model.run(table, inverse.reshape(part.shape), self.filled[own])[0]
+        return out
+
+    def summaries(self, logits: np.ndarray) -> np.ndarray:
+        return np.array([summary(logits[a:b]) for a, b in zip(self.first, self.first[1:])])
+
+    def weigh(self, logits: np.ndarray) -> np.ndarray:
+        """How often a window teaches: of a positive text the highest so far, of a negative one any, hard
+        ones more often."""
+        weight = np.empty(len(self.windows))
+        for k, label in enumerate(self.labels):
+            own = slice(self.first[k], self.first[k + 1])
+            e = np.exp(3 * (logits[own] - logits[own].max()))
+            weight[own] = e / e.sum() if label == 1 else 0.5 / len(e) + 0.5 * e / e.sum()
+        return weight
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = 600, batch: int = 192, seed: int = 6) -> Model:
     """Fit on whole texts with a label each.
 
     A text is as toxic as its worst window, so a positive text teaches through the windows
     that score highest so far (all alike at first), a negative one through any of its windows,
-    hard ones more often. A fifth of the texts teaches no windows; on it the document's
-    score is fitted to what its windows got.
+    hard ones more often. The document's score is fitted, whatever the number of texts, to
+    what the windows of each half of them get from a network that learnt from the other half only.
     """
-    model = Model(seed)
-    rng = np.random.default_rng(seed)
-    lexicon = Lexicon()
-    parts = [windows_of(lexicon.codes(tokens(t))) for t in texts]
-    if not parts or labels.min() == labels.max():
+    if not texts or labels.min() == labels.max():
+        model = Model(seed)
         model.document = np.array([0.0, 0.0, 0.0, 0.0, -3.0])
         return model
-    windows = np.concatenate([p[0] for p in parts])
-    filled = np.concatenate([p[1] for p in parts])
-    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    first = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
-    ids, flat, sizes = (np.concatenate((x, y)) for x, y in zip(([0], [0], [1]), traits(list(lexicon.numbers)), strict=True))
-    offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    positive = labels[owner] == 1
-    aside = np.arange(len(parts)) % 5 == 4
-    if len(set(labels[~aside])) < 2 or len(set(labels[aside])) < 2:
-        aside[:] = False
-    taught = ~aside[owner]
-    moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in model.dense.items()}
-    second = {"word": np.full(WORDS, 1e-4, dtype=np.float32), "gram": np.full(GRAMS, 1e-4, dtype=np.float32)}
+    corpus = Corpus(texts, labels)
+    half = np.zeros(len(labels), dtype=np.int64)
+    for side in (0, 1):
+        own = np.flatnonzero(labels == side)
+        half[own] = np.arange(len(own)) % 2
+    found = np.zeros((len(labels), 4))
+    for h in (0, 1):
+        if (labels[half != h] == 1).any():
+            other = _taught(corpus, half != h, steps // 3, batch, seed)
+            found[half == h] = corpus.summaries(corpus.logits(other, half == h))[half == h]
+    model = _taught(corpus, np.ones(len(labels), dtype=bool), steps, batch, seed)
+    model.document = calibrate(found, labels)
+    model.key = f"{zlib.crc32(model.gram.tobytes()):08x}{zlib.crc32(model.dense['Wx'].tobytes()):08x}"
+    return model
 
-    def subset(words: np.ndarray):
-        n = sizes[words]
-        ends = np.cumsum(n)
-        places = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(offsets[words], n)
-        return ids[words], flat[places], ends - n, n
 
-    def all_logits() -> np.ndarray:
-        logits = np.empty(len(windows), dtype=np.float32)
-        for at in range(0, len(windows), AT_ONCE):
-            part = windows[at : at + AT_ONCE]
-            words, inverse = np.unique(part, return_inverse=True)
-            table = model.gates(_padded(model.features(*subset(words)), words))
-            logits[at : at + AT_ONCE] = model.run(table, inverse.reshape(part.shape), filled[at : at + AT_ONCE])[0]
-        return logits
-
-    def weigh(logits: np.ndarray) -> np.ndarray:
-        weight = np.empty(len(windows))
-        for k in range(len(parts)):
-            own = slice(first[k], first[k + 1])
-            e = np.exp(3 * (logits[own] - logits[own].max()))
-            weight[own] = e / e.sum() if labels[k] == 1 else 0.5 / len(e) + 0.5 * e / e.sum()
-        return weight
+def _taught(corpus: Corpus, texts: np.ndarray, steps: int, batch: int, seed: int) -> Model:
+    """A network that learnt from the windows of the chosen texts."""
+    model = Model(seed)
+    rng = np.random.default_rng(seed)
+    windows, filled, positive, subset = corpus.windows, corpus.filled, corpus.positive, corpus.subset
+    taught = texts[corpus.owner]
+    moments = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in model.dense.items()}
+    second = {"word": np.full(WORDS, 1e-4, dtype=np.float32), "gram": np.full(GRAMS, 1e-4, dtype=np.float32)}
 
-    def spread() -> tuple[np.ndarray, np.ndarray]:
+    def spread(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chance = [np.where(taught & (positive == side), weight, 0.0) for side in (True, False)]
         return tuple(np.cumsum(c / c.sum()) for c in chance)
 
-    weight = 1.0 / np.diff(first)[owner]
-    sums = spread()
+    sums = spread(1.0 / np.diff(corpus.first)[corpus.owner])
     for step in range(1, steps + 1):
-        if step in (steps // 4, steps // 2, 3 * steps // 4):
-            weight = weigh(all_logits())
-            sums = spread()
+        if step in (steps // 3, 2 * steps // 3):
+            sums = spread(corpus.weigh(corpus.logits(model, texts)))
         pick = np.concatenate([np.minimum(np.searchsorted(s, rng.random(batch // 2)), len(windows) - 1) for s in sums])
         target = positive[pick].astype(np.float32)
         part = windows[pick]
@@ -321,10 +351,6 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 600, batch: int = 1
             g, rows = np.add.reduceat(g[order], groups, axis=0), rows[order][groups]
             second[name][rows] += (g * g).mean(axis=1)
             getattr(model, name)[rows] -= (0.02 * g / np.sqrt(second[name][rows])[:, None]).astype(np.float32)
-    logits = all_logits()
-    judged = np.flatnonzero(aside) if labels[aside].sum() >= 30 else np.arange(len(parts))
-    model.document = calibrate(np.array([summary(logits[first[k] : first[k + 1]]) for k in judged]), labels[judged])
-    model.key = f"{zlib.crc32(model.gram.tobytes()):08x}{zlib.crc32(model.dense['Wx'].tobytes()):08x}"
     return model
 
 
@@ -401,16 +427,19 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, longest: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``each`` whole labelled texts of either class that aren't held out: those
-    whose hashed ids are lowest. Rows without a label or id teach nothing; an id that has
-    several labels counts as toxic."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    whose hashed ids are lowest. Rows without a label or id teach nothing, nor do texts of more
+    than ``longest`` code points, so that at most 2 x each x longest come to the driver; an id
+    that has several labels counts as toxic, one that has several texts teaches by the least."""
+    marked = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).alias("label")).where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     marked = marked.where(~held_out("doc_id")).withColumn("h", F.xxhash64(F.lit(6), "doc_id"))
-    chosen = marked.where("label = 1").orderBy("h").limit(each).unionByName(marked.where("label = 0").orderBy("h").limit(each))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 x each rows at most
-    found = sorted(rows.select("h", "doc_id", "text", "label").collect(), key=lambda r: (r["h"], r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in found], np.array([r["label"] for r in found], dtype=np.int64))
+    chosen = marked.where("label = 1").orderBy("h", "doc_id").limit(each).unionByName(marked.where("label = 0").orderBy("h", "doc_id").limit(each))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id")  # 2 x each rows at most
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("h").alias("h"), F.first("label").alias("label"))
+    found = sorted(one.collect(), key=lambda r: (r["h"], r["doc_id"]))
+    return train([r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

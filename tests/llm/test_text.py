@@ -370,7 +370,7 @@ def test_pages_with_left_out_tags():
     assert text("a<!-- x > y -->b<!>c<!doctype html>d<?php e ?>f<![CDATA[<g>]]>h") == "abcdf<g>h"
     assert text("<style>p{}</style><SCRIPT>'</p>'</SCRIPT >x<noscript>n<b>m</b></noscript><template><p>t</template>y") == "xy"
     assert text("<p>x<noscript>never closed") == "x" + "never closed"
-    assert text("<p a b= c='1>2'd=\"3\"/>t<br/>u<textarea><b></textarea>") == "t\nu<b>"
+    assert text("<p a b c='1>2'd=\"3\"/>t<br/>u<textarea><b></textarea>") == "t\nu<b>"
     assert text("") == "" and text("x <b") == "x" and text("\u0130<script>1</script>\u0130x") == "\u0130\u0130x"
     page = warc.Page('<html lang=de><base href="/b/"><title> A &lt; B </title><a href="1" HREF="2">x</a><svg><title>no</title></svg><noscript><img src=i></noscript>')
     assert (page.title, page.lang, page.base, page.links) == ("A < B", "de", "/b/", [("a", "href", "1"), ("img", "src", "i")])
