@@ -136,6 +136,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.withColumn("__at", where).join(gone, F.col("__at") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
 
 
+#: Keys (64-bit) that may be sent to all executors: 8 bytes each, some 32 in the hash table.
+MOST_BROADCAST = 1_000_000
+
+
+def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is one of ``keys`` (a written table of distinct numbers). Keys of a
+    checked number go to the rows, so that only rows that stay are moved later; more of them
+    meet the rows by a shuffle."""
+    if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(keys), column, "left_semi")
+    return rows.join(keys, column, "left_semi")
+
+
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     """What this Python worker keeps between tasks under ``name``. Anything kept under another
     name is dropped: a worker that has served one operator doesn't hold its memory in the next."""

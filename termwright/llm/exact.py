@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, located, scratch_path, without, written
+from .common import Scratch, among, located, scratch_path, without, written
 
 #: White space that doesn't count in a comparison, U+0020 and U+0009 to U+000D.
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -68,18 +68,12 @@ def keyed_state(log: DataFrame, log_path: str, state_path: str, files_per_batch:
     return found
 
 
-#: Digests that may be sent to all executors, by their 64-bit hashes (8 bytes each, some 32 in the hash table).
-MOST_BROADCAST = 1_000_000
-
-
-def _of_digests(rows: DataFrame, digests: DataFrame, digest: Column) -> DataFrame:
-    """The rows (with ``digest``) whose digest is listed. A list of a checked size goes to the
-    rows, so that no other text is moved; a longer one meets them by a shuffle."""
-    rows = rows.withColumn("digest", digest)
-    keys = digests.select(F.xxhash64("digest").alias("__k")).distinct()
-    if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        rows = rows.withColumn("__k", F.xxhash64("digest")).join(F.broadcast(keys), "__k", "left_semi").drop("__k")
-    return rows.join(digests, "digest", "left_semi")
+def _of_digests(rows: DataFrame, digests: DataFrame, digest: Column, scratch: Scratch) -> DataFrame:
+    """The rows (with ``digest``) whose digest is listed; no other text is moved if the list is
+    of a size that may be broadcast."""
+    keys = scratch.written(digests.select(F.xxhash64("digest").alias("__k")).distinct(), "keys")
+    rows = rows.withColumn("digest", digest).withColumn("__k", F.xxhash64("digest"))
+    return among(rows, keys, "__k").drop("__k").join(digests, "digest", "left_semi")
 
 
 def exact_duplicates(
@@ -132,14 +126,14 @@ def exact_duplicates(
         hits = scratch.written(entries.where("group_size > 1").select("digest"), "hits")
         # Full bytes: a digest's texts are the same if the least equals the greatest. Each task
         # sends one row per digest at most, so a group of any size is compared without skew.
-        met = _of_digests(rows.select("norm"), hits, digest(F.col("norm")))
+        met = _of_digests(rows.select("norm"), hits, digest(F.col("norm")), scratch)
         if state_path:
             met = met.unionByName(_earlier(spark, log, own, hits, narrowed).select("norm", "digest"))
         torn = met.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where(F.col("least") != F.col("most")).select("digest")
         torn = written(torn, "torn-digests")
         if torn.isEmpty():
             return own.join(entries, "digest").select(*columns).withColumn("kept", F.col("locator") == F.col("keep_locator"))
-        split = _of_digests(rows, torn, digest(F.col("norm")))
+        split = _of_digests(rows, torn, digest(F.col("norm")), scratch)
         every = split.select("digest", "norm", "shorter", "doc_id", "locator")
         if state_path:
             every = every.unionByName(_earlier(spark, log, own, torn, narrowed).select("digest", "norm", "shorter", "doc_id", "locator"))
