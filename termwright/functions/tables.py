@@ -106,5 +106,28 @@ AFFIXES = frozenset(
     """.split()
 )
 
-#: A few of the most common Japanese words. The full list is a parameter: see ``StopWords.read``.
-COMMON_JAPANESE = frozenset("設定 確認 修正 作成 追加 変更 削除 ファイル データ エラー 実装 処理 機能 画面 表示 一覧 結果 問題 対応 必要".split())
+# Common words of three characters or more. Shorter ones never reach the default least
+# length; whoever lowers it gives them as a parameter, see ``StopWords.read``.
+COMMON_JAPANESE = frozenset(
+    """
+    不具合 command 大丈夫 小文字 日本語 model space 立ち上げ 見出し 使い方 問い合わせ 大きさ backup 見た目 影響力 端末機
+    区切り 取り込み 度合い 書き出し 生成物 male 繰り返し west 見込み 読み込み 関数名 アイコン アクセス アップ アドレス アプリ
+    アルゴリズム アルバム インストール インデックス インデント インポート ウィンドウ エクスポート エラー オプション カテゴリ クラス グラフ グループ
+    コード コマンド コメント コンテンツ コンパイル サイズ サポート サンプル シート システム ショート スクリプト スタイル ストリーム スペース
+    スライド セクション ソース ソート ターミナル タイトル タイプ ダイアログ データ ディレクトリ テキスト テスト デフォルト テンプレート デバッグ
+    ドキュメント トラック ネット ノート バージョン パターン パラメータ パラメーター ハンドル バッファ ビュー ファイル フォルダ フォーマット
+    フォント ブラウザ ブロック プログラム プロジェクト プロセス プロパティ ヘッダ ヘッダー ページ ボタン ポイント メソッド メッセージ メニュー
+    メモリ モジュール モデル ユーザ ユーザー ライブラリ リスト リンク ルール レイアウト レコード レベル レポート ワード アップデート アプローチ
+    インターフェース インタフェース エラーメッセージ カスタム カレント カレントディレクトリ クリック ケース コスト コンテキスト サーバ サーバー
+    サービス シーン スイッチ スクロール ステップ セット セッション タイミング ダウンロード チェック チーム ツール ディスク デバイス トップ
+    ドメイン ネットワーク パーセント バックアップ バランス パフォーマンス ビット ファイル名 フォルダー フロー プラン プレビュー ヘルプ ポート
+    マシン メイン モード ライン リクエスト リポジトリ リリース ルート レスポンス ロジック ワーク ワークフロー エンジニアリング リファクタリング
+    可能性 最終的 原理的 構造化 具体的 基本的 一般的 効率的 自動的 前提条件 相対的 絶対的 論理的 物理的 実質的 部分的 全面的 段階的 継続的
+    定期的 個人的 直感的 客観的 主観的 アーキテクチャ アカウント アップロード アプリケーション ウィジェット オリジナル オーバーレイ カメラ カラー
+    カラム カーソル キャンセル クライアント クリーン コピー コントロール コマンドライン サイト サイン ステータスバー ステレオ スケール センサー
+    ダブルクリック チェックボックス デザイン デプロイ トグル トークン ドラッグ ドロップ ハイフン パスワード ビルド フィードバック フレームワーク
+    プッシュ プラットフォーム プロンプト ベース ベストプラクティス ページャ マイク マウス マクロ マージ マニュアル ミッション メンバー リモート
+    レイヤー ローカル ログイン ループ 世の中 良い感じ 文字程度 使用可能 同程度 行う必要 考え方 管理者 拡張子 構造的 現実的 全般的 価値観 積極的
+    可視化 自動化 再利用 再現性 副作用 表示領域 設定ファイル 音声ファイル 動画ファイル
+    """.split()
+) | frozenset("設定 確認 修正 作成 追加 変更 削除 実装 処理 機能 画面 表示 一覧 結果 問題 対応 必要".split())

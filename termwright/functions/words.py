@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import tables
 from .base import literal_map
 
-#: Up to so many words are compared as constants; a longer list is joined.
+#: Up to so many words are compared as constants; a longer list is joined (see ``drop_stop_words``).
 MOST_CONSTANTS = 5000
 
 
@@ -21,6 +21,7 @@ class StopWords:
 
     exact: frozenset[str] = field(default_factory=lambda: tables.COMMON_JAPANESE | tables.AFFIXES)
     lower: frozenset[str] = field(default_factory=lambda: tables.COMMON_ENGLISH)
+    listed: DataFrame | None = field(default=None, compare=False)
 
     @classmethod
     def of(cls, japanese: Iterable[str] = (), english: Iterable[str] = ()) -> StopWords:
@@ -29,18 +30,24 @@ class StopWords:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> StopWords:
-        """The default lists and the words of a text file, separated by white space."""
-        words = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("w")).where("w != ''").distinct().limit(MOST_CONSTANTS + 1).collect()
-        if len(words) > MOST_CONSTANTS:
-            raise ValueError(f"more than {MOST_CONSTANTS} stop words")
-        return cls.of(japanese=[r["w"] for r in words])
+        """The default lists and the words of a text file, separated by white space. A file of more
+        than MOST_CONSTANTS words stays a table, which words are joined with."""
+        words = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("w")).where("w != ''").distinct()
+        some = words.limit(MOST_CONSTANTS + 1).collect()
+        if len(some) > MOST_CONSTANTS:
+            return cls(listed=words)
+        return cls.of(japanese=[r["w"] for r in some])
 
     def matches(self, word: Column) -> Column:
         return word.isin(*sorted(self.exact)) | F.lower(word).isin(*sorted(self.lower))
 
 
 def drop_stop_words(df: DataFrame, stop: StopWords, column: str = "word") -> DataFrame:
-    return df.where(~stop.matches(F.col(column)))
+    """Without the stop words: constants are compared, a table of them is joined."""
+    kept = df.where(~stop.matches(F.col(column)))
+    if stop.listed is None:
+        return kept
+    return kept.join(stop.listed.select(F.col("w").alias("__stop")), F.col(column) == F.col("__stop"), "left_anti")
 
 
 def canonical_spelling(word: Column) -> Column:

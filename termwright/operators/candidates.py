@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kana, tables, words
 from ..functions.base import let
-from .tokens import exploded_chunks, spans, surface_of
+from .tokens import CAPITAL_WORDS, exploded_chunks, spans, surface_of
 
 CANDIDATE = ["word", "reading", "kind", "count", "projects", "standalone", "parts", "confidence", "score", "reading_ord", "first_seq"]
 
@@ -57,13 +57,21 @@ def accept_japanese(word: Column, reading: Column, single: Column, cfg: ExtractC
 def ascii_forms(chunk_rows: DataFrame, cfg: ExtractConfig) -> DataFrame:
     """lower, form, project, n, first_seq of the accepted ASCII chunks."""
     word = surface_of(F.col("chunk"))
-    return (
-        chunk_rows.where(F.get("chunk", F.lit(0))["kind"] == "ascii")
-        .select(word.alias("form"), "project", F.struct("utt", "chunk_no").alias("seq"))
-        .where(accept_ascii(F.col("form"), cfg))
-        .groupBy(F.lower("form").alias("lower"), "form", "project")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
-    )
+    rows = chunk_rows.where(F.get("chunk", F.lit(0))["kind"] == "ascii").select(word.alias("form"), "project", F.struct("utt", "chunk_no").alias("seq"))
+    return _counted_forms(rows, cfg)
+
+
+def _counted_forms(rows: DataFrame, cfg: ExtractConfig) -> DataFrame:
+    kept = words.drop_stop_words(rows.where(accept_ascii(F.col("form"), cfg)), cfg.stop, "form")
+    return kept.groupBy(F.lower("form").alias("lower"), "form", "project").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+def ascii_forms_of(utterances: DataFrame, cfg: ExtractConfig, text_col: str = "text") -> DataFrame:
+    """The same straight from texts, for script runs where no Japanese terms are wanted: one regular
+    expression finds the ASCII words that hold a capital, and no token is built."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(CAPITAL_WORDS), F.lit(0))
+    rows = utterances.select("utt", "project", F.posexplode(found).alias("chunk_no", "form"))
+    return _counted_forms(rows.select("form", "project", F.struct("utt", "chunk_no").alias("seq")), cfg)
 
 
 def canonical_forms(forms: DataFrame) -> DataFrame:
@@ -117,6 +125,7 @@ def span_rows(chunk_rows: DataFrame, cfg: ExtractConfig) -> DataFrame:
         )
         .where(F.col("reading").isNotNull())
         .where(accept_japanese(F.col("word"), F.col("reading"), F.size("parts") == 1, cfg))
+        .transform(words.drop_stop_words, cfg.stop)
     )
 
 
@@ -213,8 +222,7 @@ def exclude_registered(candidates: DataFrame, registered: DataFrame) -> DataFram
     return candidates.join(registered.select("reading", "word").distinct(), ["reading", "word"], "left_anti")
 
 
-def ascii_candidates(chunk_rows: DataFrame, cfg: ExtractConfig) -> DataFrame:
-    forms = ascii_forms(chunk_rows, cfg)
+def ascii_candidates(forms: DataFrame, cfg: ExtractConfig) -> DataFrame:
     read = ascii_readings(canonical_forms(forms), cfg.ascii_reading)
     return read.select(
         "word",
@@ -232,15 +240,19 @@ def ascii_candidates(chunk_rows: DataFrame, cfg: ExtractConfig) -> DataFrame:
 
 def candidates(utterances: DataFrame, cfg: ExtractConfig | None = None) -> DataFrame:
     """All candidates of utterances with tokens, before subsumption: counted, with their
-    confidence and score, and above the thresholds."""
+    confidence and score, and above the thresholds. Without tokens only ASCII terms are found."""
     cfg = cfg or ExtractConfig()
-    rows = exploded_chunks(utterances)
+    if "tokens" in utterances.columns:
+        rows = exploded_chunks(utterances)
+    elif cfg.japanese_terms:
+        raise ValueError("Japanese terms need tokens")
     parts = []
     if cfg.japanese_terms:
         japanese = with_confidence(japanese_candidates(span_rows(rows, cfg), cfg), ambiguous_surfaces(utterances))
         parts.append(japanese.withColumn("reading_ord", F.lit(0)))
     if cfg.ascii_terms:
-        parts.append(ascii_candidates(rows, cfg))
+        forms = ascii_forms(rows, cfg) if "tokens" in utterances.columns else ascii_forms_of(utterances, cfg)
+        parts.append(ascii_candidates(forms, cfg))
     if not parts:
         raise ValueError("neither Japanese nor ASCII terms are wanted")
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -19,6 +19,9 @@ TOKEN = "struct<pos:int,surface:string,latin:string,kind:string,start:int,end:in
 TOKENS = f"array<{TOKEN}>"
 
 _OTHER = rf"[[\p{{L}}\p{{M}}\p{{N}}_]&&[^{tables.HIRAGANA}{tables.KATAKANA}{tables.KANJI}]]+"
+_WORD_CHARACTER = rf"[[\p{{L}}\p{{M}}\p{{N}}_]&&[^{tables.HIRAGANA}{tables.KATAKANA}{tables.KANJI}]]"
+#: Whole runs that are ASCII words and hold a capital: what ``script_runs`` and the casing rule leave of a text.
+CAPITAL_WORDS = rf"(?<!{_WORD_CHARACTER})(?=[a-z0-9_]*+[A-Z])[A-Za-z][A-Za-z0-9_]*+(?!{_WORD_CHARACTER})"
 PIECES = rf"[{tables.KATAKANA}]+|[{tables.HIRAGANA}]+|[{tables.KANJI}]+|{_OTHER}|[^\p{{L}}\p{{M}}\p{{N}}_{tables.KATAKANA}]+"
 
 

@@ -65,8 +65,14 @@ def scan(spark: SparkSession, args) -> int:
         args.min_count, args.min_projects, args.min_length, args.max_length, args.max_span, not args.no_ascii, not args.no_japanese,
         ascii_reading=args.ascii_reading, stop=StopWords.read(spark, args.stop_words) if args.stop_words else StopWords(),
     )
-    cut = tokens.with_lexicon(said, spark.read.parquet(args.lexicon)) if args.lexicon else tokens.with_script_runs(said)
+    if args.lexicon:
+        cut = tokens.with_lexicon(said, spark.read.parquet(args.lexicon))
+    else:
+        cut = said if args.no_japanese else tokens.with_script_runs(said)
     found = ops.drop_subsumed(ops.candidates(cut, cfg))
+    if args.exclude_existing and not (args.prefs or args.replacements):
+        print("error: --exclude-existing needs --prefs or --replacements: without them nothing would be excluded", file=sys.stderr)
+        return 1
     if args.exclude_existing:
         known = spark.createDataFrame([], dictionaries.PAIR)
         if args.prefs:

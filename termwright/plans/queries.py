@@ -125,7 +125,7 @@ LOWER_ONLY = ops.ExtractConfig(japanese_terms=False)
 
 
 def _ascii(spark: SparkSession, sf_dir: str, source: Callable = conversations) -> DataFrame:
-    return ops.candidates(tokens.with_script_runs(source(spark, sf_dir)), LOWER_ONLY)
+    return ops.candidates(source(spark, sf_dir), LOWER_ONLY)
 
 
 # ---- scans ------------------------------------------------------------------------------
@@ -343,7 +343,12 @@ def stopword_filter(spark, sf_dir):
 
 @query("ascii_forms", _forms_sql("documents") + " SELECT lower, form, project, n FROM forms")
 def ascii_forms(spark, sf_dir):
-    chunk_rows = tokens.exploded_chunks(tokens.with_script_runs(documents(spark, sf_dir)))
+    return ops.ascii_forms_of(documents(spark, sf_dir), LOWER_ONLY).select("lower", "form", "project", "n")
+
+
+@query("ascii_forms_of_tokens", _forms_sql("conversations") + " SELECT lower, form, project, n FROM forms")
+def ascii_forms_of_tokens(spark, sf_dir):
+    chunk_rows = tokens.exploded_chunks(tokens.with_script_runs(conversations(spark, sf_dir)))
     return ops.ascii_forms(chunk_rows, LOWER_ONLY).select("lower", "form", "project", "n")
 
 
@@ -352,13 +357,13 @@ for _source in ("documents", "conversations"):
     @query(f"ascii_canonical_{_source}", _forms_sql(_source) + " SELECT lower, word, cnt AS n, projects FROM chosen")
     def ascii_canonical(spark, sf_dir, source=_source):
         said = {"documents": documents, "conversations": conversations}[source](spark, sf_dir)
-        forms = ops.ascii_forms(tokens.exploded_chunks(tokens.with_script_runs(said)), LOWER_ONLY)
+        forms = ops.ascii_forms_of(said, LOWER_ONLY)
         return ops.canonical_forms(forms).select("lower", "word", F.col("count").alias("n"), "projects")
 
 
 @query("ascii_readings", _candidates_sql("conversations") + " SELECT word, reading, reading_ord, cnt AS n, projects FROM read")
 def ascii_readings(spark, sf_dir):
-    forms = ops.ascii_forms(tokens.exploded_chunks(tokens.with_script_runs(conversations(spark, sf_dir))), LOWER_ONLY)
+    forms = ops.ascii_forms_of(conversations(spark, sf_dir), LOWER_ONLY)
     return ops.ascii_readings(ops.canonical_forms(forms)).select("word", "reading", "reading_ord", F.col("count").alias("n"), "projects")
 
 
@@ -395,11 +400,15 @@ def score_topk_documents(spark, sf_dir):
 REGISTERED = [("the", "The"), ("and", "And"), ("ndonea", "Ndonea"), ("x", "Y"), ("the", "The")]
 
 
-@query("exclude_existing", _candidates_sql("conversations") + f" SELECT word, reading, cnt AS n FROM cands WHERE (reading, word) NOT IN (SELECT r, w FROM {values(REGISTERED, 'r, w')}) AND (reading, word) NOT IN (SELECT lower(w), w FROM (SELECT word AS w FROM cands ORDER BY word LIMIT 5))")
+@query(
+    "exclude_existing",
+    _candidates_sql("documents") + f", known AS (SELECT DISTINCT lower(u) AS r, u AS w FROM (SELECT unnest(regexp_extract_all(text, '{RUN}')) AS u FROM conversations) UNION SELECT r, w FROM {values(REGISTERED, 'r, w')}) SELECT word, reading, cnt AS n FROM cands WHERE NOT EXISTS (SELECT 1 FROM known WHERE r = reading AND w = word)",
+)
 def exclude_existing(spark, sf_dir):
-    found = _ascii(spark, sf_dir)
-    known = rows(spark, REGISTERED, dictionaries.PAIR).union(found.select("word").orderBy("word").limit(5).select(F.lower("word").alias("reading"), "word"))
-    return ops.exclude_registered(found, known).select("word", "reading", F.col("count").alias("n"))
+    """Terms of the documents that no conversation holds."""
+    said = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("word"))
+    known = rows(spark, REGISTERED, dictionaries.PAIR).union(said.distinct().select(F.lower("word").alias("reading"), "word"))
+    return ops.exclude_registered(_ascii(spark, sf_dir, documents), known).select("word", "reading", F.col("count").alias("n"))
 
 
 _ID = """upper(concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3), substr(h, 21, 12)))"""
