@@ -144,7 +144,9 @@ def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` is one of ``keys`` (a written table of distinct hashes). Keys of a
     checked number go to the rows, so that only rows that stay are moved later. More of them
     meet the rows by a shuffle, before which a map of 2^26 bits (2^20 rows at most, whatever
-    the number of keys) leaves out most rows whose key none of them has."""
+    the number of keys) leaves out most rows whose key none of them has; with 2^26 keys and
+    more it leaves out few. The last join is an inner one: a semi-join would be moved below
+    the map's join, and the shuffle with it."""
     if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(keys), column, "left_semi")
     place = lambda c: F.pmod(F.col(c), F.lit(1 << 26))
@@ -152,7 +154,7 @@ def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     bits = keys.groupBy(F.shiftright(place(column), 6).alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(column))).alias("__bits"))
     near = rows.withColumn("__w", F.shiftright(place(column), 6)).join(F.broadcast(bits), "__w")
     near = near.where(F.call_function("getbit", F.col("__bits"), bit(column)) == 1).drop("__w", "__bits")
-    return near.join(keys, column, "left_semi")
+    return near.join(keys, column)
 
 
 def worker_cache(name: str, make: Callable[[], Any]) -> Any:
