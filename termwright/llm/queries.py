@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, mixing, quality, sharding, simhash, substring, toxicity, warc
+from . import bpe, erasure, exact, media, mixing, packing, quality, sharding, simhash, substring, toxicity, warc, whitening
+from .common import shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,23 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codes")
 
 
+def op11_rank_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_root(spark)}/erased-{uuid.uuid4().hex}"
+    found = erasure.erase_clients(*[table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines")], folder)
+    return found.select("file_no", "n_rows", "n_erased", "cents", "rewritten", "table_name", "ids_sha256", "columns", "path")
+
+
+def op12_welford_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_derivatives": op1_warc_derivatives,
@@ -88,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_links": op8_simhash_links,
         "op9_stream_dedup": op9_stream_dedup,
         "op10_wav_landmarks": op10_wav_landmarks,
+        "op11_rank_erasure": op11_rank_erasure,
+        "op12_welford_whitening": op12_welford_whitening,
+        "op13_bin_completion": op13_bin_completion,
     }
 
 
