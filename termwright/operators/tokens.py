@@ -7,13 +7,12 @@ used, so offsets may count characters or pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kana, tables
 from ..functions.base import let
+from . import segments
 
 TOKEN = "struct<pos:int,surface:string,latin:string,kind:string,start:int,end:int>"
 TOKENS = f"array<{TOKEN}>"
@@ -39,83 +38,17 @@ def with_script_runs(utterances: DataFrame, text_col: str = "text") -> DataFrame
     return utterances.withColumn("tokens", script_runs(F.col(text_col)))
 
 
-#: Rows of the lexicon that may be sent to the executors.
-MOST_ENTRIES = 1_000_000
-
-
 def with_lexicon(utterances: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
-    """Tokens by the cheapest path through a lexicon of surface, latin and cost.
-
-    Runs of one script are the fallback, at a cost above any entry's. The lexicon is a table
-    of bounded size (``MOST_ENTRIES``), not of the corpus, and is broadcast.
-    """
-    import pandas as pd
-
-    rows = lexicon.select("surface", "latin", "cost").where("surface != ''").limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} entries in the lexicon")
-    entries: dict[str, tuple[float, str]] = {}
-    for r in rows:
-        old = entries.get(r["surface"])
-        if old is None or (r["cost"], r["latin"] or "") < old:
-            entries[r["surface"]] = (float(r["cost"]), r["latin"] or "")
-    longest = max(map(len, entries), default=0)
-    dearest = max((c for c, _ in entries.values()), default=0.0) + 1.0
-    shared = utterances.sparkSession.sparkContext.broadcast((entries, longest, dearest))
-    from ..functions.tables import ASCII_WORD, HIRAGANA, KANJI, KATAKANA
-
-    patterns = (KATAKANA, HIRAGANA, KANJI, ASCII_WORD)
-
-    def cut(texts):
-        import re
-
-        katakana, hiragana, kanji, ascii_word = patterns
-        kinds = [("katakana", re.compile(f"[{katakana}]+")), ("hiragana", re.compile(f"[{hiragana}ー]+"))]
-        has_kanji, word = re.compile(f"[{kanji}]"), re.compile(ascii_word)
-        runs = re.compile(rf"[{katakana}]+|[{hiragana}]+|[{kanji}]+|(?:(?![{katakana}{hiragana}{kanji}])\w)+|[^\w]")
-        table, most, dear = shared.value
-
-        def kind_of(surface: str) -> str:
-            for name, pattern in kinds:
-                if pattern.fullmatch(surface):
-                    return name
-            return "kanji" if has_kanji.search(surface) else "ascii" if word.fullmatch(surface) else "other"
-
-        def tokens(text: str | None) -> list[dict]:
-            text = text or ""
-            n = len(text)
-            best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(float("inf"), 0, "")] * n
-            run_end = [i + 1 for i in range(n)]
-            for m in runs.finditer(text):
-                run_end[m.start() : m.end()] = [m.end()] * len(m[0])
-            for i in range(n):
-                cost = best[i][0]
-                if cost == float("inf"):
-                    continue
-                for j in range(i + 1, min(n, i + most) + 1):
-                    entry = table.get(text[i:j])
-                    if entry is not None and cost + entry[0] < best[j][0]:
-                        best[j] = (cost + entry[0], i, entry[1])
-                # What no entry covers: the rest of the run of one script, or one character of it.
-                for stop, price in ((run_end[i], dear), (i + 1, 2 * dear)):
-                    if cost + price < best[stop][0]:
-                        best[stop] = (cost + price, i, "")
-            out, end = [], n
-            while end:
-                _, start, latin = best[end]
-                out.append((start, end, latin))
-                end = start
-            return [
-                {"pos": k, "surface": text[s:e], "latin": latin, "kind": kind_of(text[s:e]), "start": s, "end": e}
-                for k, (s, e, latin) in enumerate(reversed(out))
-                if not text[s:e].isspace()
-            ]
-
-        for series in texts:
-            yield series.map(tokens)
-
-    cut.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return utterances.withColumn("tokens", F.pandas_udf(cut, TOKENS)(F.col(text_col)))
+    """Tokens by the cheapest path through a lexicon of surface, latin and cost, of any size (see ``segments``); ``utt``
+    tells the utterances apart.
+
+    Runs of one script are the fallback, at a cost above any entry's. Offsets count words."""
+    cut = segments.segmented(utterances, lexicon, "utt", text_col, PIECES)
+    listed = F.transform(
+        "words",
+        lambda w, i: F.struct(i.alias("pos"), w["surface"].alias("surface"), w["latin"].alias("latin"), kana.classify(w["surface"]).alias("kind"), i.alias("start"), (i + 1).alias("end")),
+    )
+    return cut.withColumn("tokens", F.filter(listed, lambda t: ~t["surface"].rlike(r"(?U)^\s*$")).cast(TOKENS)).drop("words")
 
 
 def class_of(token: Column) -> Column:

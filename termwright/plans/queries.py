@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, kana, tables, words
 from ..functions.base import quoted
 from ..operators import candidates as ops
-from ..operators import tokens
+from ..operators import segments, tokens
 from ..sources import dictionaries, transcripts, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,6 +424,65 @@ def dictionary_items(spark, sf_dir):
     return writers.dictionary_items(_ascii(spark, sf_dir), "mined").select("word", "reading", "id", "hint")
 
 
+# ---- segments ---------------------------------------------------------------------------------
+
+#: Neighbouring words run together, cut again by a lexicon of the table's own words: surface, and a whole-number
+#: cost that falls with the logarithm of the frequency.
+_RUN_TOGETHER = r"([\p{L}]+) ([\p{L}]+)"
+_LEXICON = rf"""words AS (SELECT lower(w) AS w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{RUN}')) AS w FROM documents) GROUP BY 1),
+    lex AS (SELECT w AS surface, greatest(2, 24 - length(bin(n)))::DOUBLE AS cost FROM words WHERE n >= 3 AND length(w) <= 12)"""
+
+
+def lexicon_of(texts: DataFrame) -> DataFrame:
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    cost = F.greatest(F.lit(2), 24 - F.length(F.bin("n"))).cast("double")
+    return found.where((F.col("n") >= 3) & (F.length("surface") <= 12)).select("surface", F.lit("").alias("latin"), cost.alias("cost"))
+
+
+_STRETCH_SQL = rf"[{tables.KATAKANA}]+|[{tables.HIRAGANA}]+|[{tables.KANJI}]+|[^{tables.KATAKANA}{tables.HIRAGANA}{tables.KANJI}]+"
+
+
+@query(
+    "lexicon_segments",
+    rf"""WITH RECURSIVE {_LEXICON},
+    said AS (SELECT doc_id, regexp_replace(lower(text), '{_RUN_TOGETHER}', '\1\2', 'g') AS text FROM documents),
+    pieces AS (SELECT doc_id, u.p AS p, u.w AS w FROM (SELECT doc_id, regexp_extract_all(text, '{RUN}') AS ws FROM said), LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS p) AS u),
+    runs AS (SELECT DISTINCT w FROM pieces),
+    places AS (SELECT w, unnest(range(length(w))) AS s FROM runs),
+    sizes AS (SELECT substr(surface, 1, 1) AS head, length(surface) AS k FROM lex GROUP BY ALL),
+    dear AS (SELECT coalesce(max(cost), 0) + 1 AS d FROM lex),
+    stretches AS (SELECT w, regexp_extract_all(w, '{_STRETCH_SQL}') AS ps FROM runs),
+    borders AS (SELECT w, unnest(list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))))::BIGINT AS b FROM stretches),
+    edges AS (
+        SELECT p.w, s, s + k AS e, cost FROM places p JOIN sizes ON head = substr(p.w, s + 1, 1) JOIN lex ON surface = substr(p.w, s + 1, k) AND length(surface) = k WHERE s + k <= length(p.w)
+        UNION ALL SELECT p.w, s, s + 1, 2 * d FROM places p, dear
+        UNION ALL SELECT p.w, s, (SELECT min(b) FROM borders WHERE borders.w = p.w AND b > s), d FROM places p, dear
+    ),
+    ending AS (SELECT w, e, list({{'s': s, 'c': cost}}) AS es FROM edges GROUP BY w, e),
+    lattice AS (SELECT w, list(es ORDER BY e) AS ends FROM ending GROUP BY w),
+    best AS (
+        SELECT w, 0::BIGINT AS i, [{{'c': 0::DOUBLE, 'n': 0::BIGINT, 's': 0::BIGINT}}] AS b, ends FROM lattice
+        UNION ALL
+        SELECT w, i + 1, list_append(b, list_min(list_transform(ends[i + 1], lambda x: {{'c': b[x.s + 1].c + x.c, 'n': b[x.s + 1].n + 1, 's': x.s}}))), ends FROM best WHERE i < len(ends)
+    ),
+    back AS (
+        SELECT w, len(ends) AS e, b, [] :: VARCHAR[] AS words FROM best WHERE i = len(ends)
+        UNION ALL
+        SELECT w, b[e + 1].s, b, list_prepend(substr(w, b[e + 1].s + 1, e - b[e + 1].s), words) FROM back WHERE e > 0
+    ),
+    cut AS (SELECT w, words FROM back WHERE e = 0)
+    SELECT d.doc_id, coalesce(sum(len(words)), 0)::BIGINT AS n_words, md5(coalesce(string_agg(array_to_string(words, '|'), '|' ORDER BY p), '')) AS words_md5
+    FROM documents d LEFT JOIN pieces ON pieces.doc_id = d.doc_id LEFT JOIN cut ON cut.w = pieces.w GROUP BY d.doc_id""",
+)
+def lexicon_segments(spark, sf_dir):
+    """The words of all documents, pairs of which were run together."""
+    docs = table(spark, sf_dir, "documents")
+    joined = docs.select("doc_id", F.regexp_replace(F.lower("text"), _RUN_TOGETHER, "$1$2").alias("text"))
+    cut = segments.segmented(joined, lexicon_of(docs), "doc_id", "text", tokens.PIECES)
+    words_only = F.filter(F.transform("words", lambda w: w["surface"]), lambda w: w.rlike(RUN))
+    return cut.select("doc_id", F.size(words_only).cast("long").alias("n_words"), F.md5(F.array_join(words_only, "|").cast("binary")).alias("words_md5"))
+
+
 # ---- Japanese terms from written-out tokens ------------------------------------------------------
 
 A = [("字幕", "jimaku", "kanji"), ("ファイル", "", "katakana"), ("を", "", "hiragana"), ("作成", "sakusei", "kanji"), ("。", "", "other")]
