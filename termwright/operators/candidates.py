@@ -80,13 +80,24 @@ def canonical_forms(forms: DataFrame) -> DataFrame:
     # Both branches need all columns of the counts below them, so that their shuffle is made
     # once and read twice.
     by_form = forms.groupBy("lower", "form").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
-    weight = F.col("n") * F.when(words.has_inner_capital(F.col("form")), 1.5).otherwise(1.0)
-    chosen = by_form.groupBy("lower").agg(F.min_by("form", F.struct(-weight, -F.col("n"), "first_seq")).alias("usual"))
     by_project = forms.groupBy("lower", "project").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
     totals = by_project.groupBy("lower").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("projects"), F.min("first_seq").alias("first_seq"))
-    return chosen.join(totals, "lower").select(
-        "lower", F.coalesce(words.canonical_spelling(F.col("lower")), F.col("usual")).alias("word"), "count", "projects", "first_seq"
-    )
+    return _usual(by_form).join(totals, "lower").select("lower", _spelling(), "count", "projects", "first_seq")
+
+
+def _usual(by_form: DataFrame) -> DataFrame:
+    weight = F.col("n") * F.when(words.has_inner_capital(F.col("form")), 1.5).otherwise(1.0)
+    return by_form.groupBy("lower").agg(F.min_by("form", F.struct(-weight, -F.col("n"), "first_seq")).alias("usual"))
+
+
+def _spelling() -> Column:
+    return F.coalesce(words.canonical_spelling(F.col("lower")), F.col("usual")).alias("word")
+
+
+def spelled(by_form: DataFrame) -> DataFrame:
+    """lower, word, count and first_seq of counted forms (lower, form, n, first_seq), each once."""
+    totals = by_form.groupBy("lower").agg(F.sum("n").alias("count"), F.min("first_seq").alias("first_seq"))
+    return _usual(by_form).join(totals, "lower").select("lower", _spelling(), "count", "first_seq")
 
 
 def ascii_readings(canonical: DataFrame, mode: str = "both") -> DataFrame:

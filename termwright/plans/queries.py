@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, kana, tables, words
 from ..functions.base import quoted
 from ..operators import candidates as ops
-from ..operators import segments, tokens
-from ..sources import dictionaries, transcripts, writers
+from ..operators import mining, segments, state, tokens
+from ..sources import dictionaries, store, transcripts, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -483,6 +483,68 @@ def lexicon_segments(spark, sf_dir):
     return cut.select("doc_id", F.size(words_only).cast("long").alias("n_words"), F.md5(F.array_join(words_only, "|").cast("binary")).alias("words_md5"))
 
 
+# ---- stored state and spans -----------------------------------------------------------------------
+
+
+@query("term_counts_merged", _forms_sql("documents") + " SELECT lower, word, cnt AS n, projects FROM chosen")
+def term_counts_merged(spark, sf_dir):
+    """Short documents first, then the others, then the short ones once more, which changes nothing: the same as
+    all at once."""
+    docs = table(spark, sf_dir, "documents")
+    kept = state.TermCounts(spark, store.shared_folder(spark))
+    short = F.coalesce(F.col("n_chars") < 700, F.lit(False))
+    for key, some in (("short", docs.where(short)), ("long", docs.where(~short)), ("short", docs.where(short))):
+        said = some.select(F.struct(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("utt"), F.col("source").alias("project"), "text")
+        kept.add(ops.ascii_forms_of(said, LOWER_ONLY), key)
+    return kept.canonical().select("lower", "word", F.col("count").alias("n"), "projects")
+
+
+_HALVES = {half: f"SELECT source AS project, doc_id AS a, 0 AS b, text FROM documents WHERE (md5(source) < '8') IS {truth}" for half, truth in (("first", "TRUE"), ("second", "NOT TRUE"))}
+_SAID |= _HALVES
+
+
+def _terms_sql(half: str) -> str:
+    return f"(SELECT word, reading, cnt FROM ({_candidates_sql(half)} SELECT * FROM cands))"
+
+
+@query(
+    "dictionary_merged",
+    rf"""WITH old AS (SELECT word, reading, row_number() OVER (ORDER BY cnt DESC, reading, word) - 1 AS ord FROM {_terms_sql('first')}),
+    new AS (SELECT word, reading, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY cnt DESC, reading, word) - 1 AS ord FROM {_terms_sql('second')} n
+            WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.word = n.word AND old.reading = n.reading))
+    SELECT word, reading, {_ID} AS id, ord, src FROM (SELECT *, sha1(reading || chr(9) || word) AS h FROM (SELECT *, 0 AS src FROM old UNION ALL SELECT *, 1 FROM new))""",
+)
+def dictionary_merged(spark, sf_dir):
+    """The terms of some sources as the dictionary, those of the others as what is offered, twice."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.coalesce(F.md5(F.col("source").cast("binary")) < "8", F.lit(False))
+    kept = state.Dictionary(spark, store.shared_folder(spark))
+    for key, some in (("old", docs.where(first)), ("new", docs.where(~first)), ("new", docs.where(~first)), ("again", docs.where(~first))):
+        said = some.select(F.struct(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("utt"), F.col("source").alias("project"), "text")
+        terms = ops.candidates(said, LOWER_ONLY).select("word", "reading", F.lit("").alias("hint"), (-F.col("count")).alias("ord"))
+        kept.merge(terms, key)
+    return kept.items().select("word", "reading", "id", "ord", F.when(F.col("batch").endswith("-old"), 0).otherwise(1).alias("src"))
+
+
+_CHUNK = rf"{RUN}(?: {RUN})*"
+
+
+def _chunks_of(docs: DataFrame) -> DataFrame:
+    lines = docs.select(F.col("source").alias("project"), F.explode(F.regexp_extract_all("text", F.lit(_CHUNK), F.lit(0))).alias("c"))
+    return lines.select("project", F.split("c", " ").alias("chunk"))
+
+
+@query(
+    "frequent_spans",
+    rf"""WITH c AS (SELECT source AS project, string_split(unnest(regexp_extract_all(text, '{_CHUNK}')), ' ') AS chunk FROM documents),
+    s AS (SELECT project, chunk, unnest([1, 2, 3]) AS size FROM c), t AS (SELECT project, chunk, size, unnest(range(1, greatest(len(chunk) - size + 2, 1))) AS i FROM s)
+    SELECT array_to_string(chunk[i:i + size - 1], ' ') AS span, size, count(*) AS n, count(DISTINCT project) AS projects FROM t GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT project) >= 2""",
+)
+def frequent_spans(spark, sf_dir):
+    found = mining.frequent_spans(_chunks_of(table(spark, sf_dir, "documents")), 3, min_count=5, min_projects=2)
+    return found.select("span", "size", F.col("count").alias("n"), "projects")
+
+
 # ---- Japanese terms from written-out tokens ------------------------------------------------------
 
 A = [("字幕", "jimaku", "kanji"), ("ファイル", "", "katakana"), ("を", "", "hiragana"), ("作成", "sakusei", "kanji"), ("。", "", "other")]
