@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, kana, tables, words
@@ -60,6 +60,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.struct(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("utt"), F.col("source").alias("project"), F.lit("user").alias("role"), "text")
 
 
+# ---- table texts in other scripts ----------------------------------------------------------------
+# The driver's texts hold no Japanese. Their letters are replaced one by one, by the same expression in Spark and SQL, so that
+# the Japanese operators run over whole tables.
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_GLYPHS = "ア幕協動エ編画ハイ次奏資料ンオ曲字リスのを集見確設定"
+
+
+def japanese(text) -> Column:
+    return F.translate(F.lower(text), _LETTERS, _GLYPHS)
+
+
+def japanese_sql(text: str) -> str:
+    return f"translate(lower({text}), '{_LETTERS}', '{_GLYPHS}')"
+
+
+def words_of(df: DataFrame) -> DataFrame:
+    """w: the word runs of ``text``, as often as they stand."""
+    return df.select(F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("w"))
+
+
+def counted_words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """w and n of a table's texts."""
+    return words_of(table(spark, sf_dir, name)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_words_sql(name: str) -> str:
+    return f"(SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{RUN}')) AS w FROM {name}) GROUP BY w)"
+
+
 STOP_EXACT = ", ".join(quoted(w) for w in sorted(tables.COMMON_JAPANESE | tables.AFFIXES))
 STOP_LOWER = ", ".join(quoted(w) for w in sorted(tables.COMMON_ENGLISH))
 IS_STOP = f"(w IN ({STOP_EXACT}) OR lower(w) IN ({STOP_LOWER}))"
@@ -167,18 +197,37 @@ LINES = [
 ]
 
 
-@query(
-    "json_blocks",
-    f"""WITH r AS (SELECT n, CAST(v AS JSON) AS j FROM {values(LINES, 'n, v')} WHERE json_valid(v) AND contains(v, '"type"')),
+_BLOCKS_SQL = f"""WITH r AS (SELECT n, CAST(v AS JSON) AS j FROM {values(LINES, 'n, v')} WHERE json_valid(v) AND contains(v, '"type"')),
     k AS (SELECT n, j, j->'$.message.content' AS c FROM r WHERE json_type(j) = 'OBJECT' AND j->>'$.type' = 'user' AND json_type(j->'$.message') = 'OBJECT'
         AND coalesce(j->>'$.isMeta', '') IN ('', '0', 'false', '[]', '{{}}') AND NOT coalesce(json_type(j->'$.isMeta') = 'VARCHAR' AND j->>'$.isMeta' <> '', false)
         AND coalesce(j->>'$.isSidechain', '') IN ('', '0', 'false', '[]', '{{}}')),
     b AS (SELECT n, j, unnest(CAST(c AS JSON[])) AS x FROM k WHERE json_type(c) = 'ARRAY')
     SELECT n, coalesce(nullif(j->>'$.cwd', ''), 'slug') AS project, 'user' AS role, c->>'$' AS text FROM k WHERE json_type(c) = 'VARCHAR'
-    UNION ALL SELECT n, coalesce(nullif(j->>'$.cwd', ''), 'slug'), 'user', coalesce(x->>'$.text', '') FROM b WHERE json_type(x) = 'OBJECT' AND x->>'$.type' = 'text'""",
+    UNION ALL SELECT n, coalesce(nullif(j->>'$.cwd', ''), 'slug'), 'user', coalesce(x->>'$.text', '') FROM b WHERE json_type(x) = 'OBJECT' AND x->>'$.type' = 'text'"""
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n and value: each turn as a record, with its text as a string where it is one line and as blocks of its lines otherwise, and as a
+    side chain where the conversation's first turn isn't from a user."""
+    said = table(spark, sf_dir, "conversations")
+    lines = F.split("text", "\n")
+    common = [F.col("role").alias("type"), F.concat(F.lit("/w/"), F.col("conv_id").cast("string")).alias("cwd"), (F.col("turn") < 0).alias("isMeta"), F.when(F.col("role") == "user", "").otherwise("x").alias("isSidechain")]
+    block = F.transform(lines, lambda t: F.struct(F.lit("text").alias("type"), t.alias("text")))
+    tool = F.array(F.struct(F.lit("tool_result").alias("type"), F.lit("left out").alias("text")))
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("n")
+    one = said.where(F.size(lines) == 1).select(key, F.to_json(F.struct(*common, F.struct(F.col("text").alias("content")).alias("message"))).alias("value"))
+    more = said.where(F.size(lines) > 1).select(key, F.to_json(F.struct(*common, F.struct(F.concat(tool, block).alias("content")).alias("message"))).alias("value"))
+    return one.unionByName(more)
+
+
+@query(
+    "json_blocks",
+    f"""SELECT CAST(n AS BIGINT) AS n, project, role, text FROM ({_BLOCKS_SQL})
+    UNION ALL SELECT conv_id * 1000 + turn, '/w/' || conv_id, 'user', unnest(string_split(text, chr(10))) FROM conversations WHERE role = 'user'""",
 )
 def json_blocks(spark, sf_dir):
-    lines = rows(spark, LINES, "n int, value string").select("value", F.lit("slug").alias("slug"), F.struct("n").alias("utt"))
+    given = rows(spark, LINES, "n long, value string").unionByName(transcript_lines(spark, sf_dir))
+    lines = given.select("value", F.lit("slug").alias("slug"), F.struct("n").alias("utt"))
     return transcripts.parse_transcript(lines).select("utt.n", "project", "role", "text")
 
 
@@ -187,12 +236,16 @@ HISTORY = [(1, '{"display":"/luatex 演奏会プログラムを作成","project"
 
 @query(
     "history_scan",
-    rf"""SELECT n, coalesce(nullif(CAST(v AS JSON)->>'$.project', ''), '?') AS project, 'user' AS role,
-        regexp_replace(coalesce(CAST(v AS JSON)->>'$.display', ''), '^/[a-zA-Z][\p{{L}}\p{{M}}\p{{N}}_:-]*[\s\p{{Z}}]*', '') AS text
-    FROM (SELECT * FROM {values(HISTORY, 'n, v')} WHERE json_valid(v))""",
+    rf"""SELECT n, project, role, regexp_replace(display, '^/[a-zA-Z][\p{{L}}\p{{M}}\p{{N}}_:-]*[\s\p{{Z}}]*', '') AS text FROM (
+        SELECT CAST(n AS BIGINT) AS n, coalesce(nullif(CAST(v AS JSON)->>'$.project', ''), '?') AS project, 'user' AS role, coalesce(CAST(v AS JSON)->>'$.display', '') AS display FROM (SELECT * FROM {values(HISTORY, 'n, v')} WHERE json_valid(v))
+        UNION ALL SELECT conv_id * 1000 + turn, CASE WHEN turn = 0 THEN '?' ELSE '/w/' || conv_id END, 'user', '/' || role || ':run ' || text FROM conversations)""",
 )
 def history_scan(spark, sf_dir):
-    lines = rows(spark, HISTORY, "n int, value string").select("value", F.struct("n").alias("utt"))
+    said = table(spark, sf_dir, "conversations")
+    project = F.when(F.col("turn") == 0, "").otherwise(F.concat(F.lit("/w/"), F.col("conv_id").cast("string")))
+    display = F.concat(F.lit("/"), "role", F.lit(":run "), "text")
+    told = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.to_json(F.struct(display.alias("display"), project.alias("project"))).alias("value"))
+    lines = rows(spark, HISTORY, "n long, value string").unionByName(told).select("value", F.struct("n").alias("utt"))
     return transcripts.parse_history(lines).select("utt.n", "project", "role", "text")
 
 
@@ -210,11 +263,18 @@ TEXTS = [
     (9, ""),
     (10, "ascii only\nsecond\n"),
 ]
-_TEXTS = values(TEXTS, "n, s")
+#: Each document as a prompt might hold it: tags, a fence, a placeholder, a link, a path, a log line, and Japanese prose.
+_PROMPT = ["<system-reminder>", "{text}", "</system-reminder>", "{ja}", "```", "{text}", "``` [Image 1] https://example.com/", "{lang}", " ~/", "{lang}", "/", "{lang}", "\n[INFO] ", "{ja}", "\n", "{text}", "\n", "{ja}", "</ide_selection>\r\n", "{ja}"]
+_JA_TEXT = japanese_sql("coalesce(text, '')")
+_PROMPT_SQL = " || ".join({"{text}": "coalesce(text, '')", "{ja}": _JA_TEXT, "{lang}": "coalesce(lang, '')"}.get(p) or "'" + p.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'" for p in _PROMPT)
+_TEXTS = f"(SELECT CAST(n AS BIGINT) AS n, s FROM {values(TEXTS, 'n, s')} UNION ALL SELECT 1000 + doc_id, {_PROMPT_SQL} FROM documents) AS texts"
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return rows(spark, TEXTS, "n int, s string")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    part = {"{text}": text, "{ja}": japanese(text), "{lang}": F.coalesce("lang", F.lit(""))}
+    prompt = F.concat(*[part[p] if p in part else F.lit(p) for p in _PROMPT])
+    return rows(spark, TEXTS, "n long, s string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), prompt.alias("s")))
 
 
 def _nested(expression: str, steps: list[tuple[str, str]], by: str = " ") -> str:
@@ -242,31 +302,44 @@ for _name, _rule, _steps in (
     ("clean_placeholders", cleaning.blank_placeholders, _PLACEHOLDER_STEPS),
     ("clean_urls", cleaning.blank_urls, _URL_STEPS),
 ):
-    query(_name, f"SELECT n, {_nested('s', _steps)} AS text FROM {_TEXTS}")(lambda spark, sf_dir, rule=_rule: _texts(spark).select("n", rule(F.col("s")).alias("text")))
+    query(_name, f"SELECT n, {_nested('s', _steps)} AS text FROM {_TEXTS}")(lambda spark, sf_dir, rule=_rule: _texts(spark, sf_dir).select("n", rule(F.col("s")).alias("text")))
 
 
-@query("clean_paths", f"SELECT n, {_nested('s', _PATH_STEPS)} AS text FROM (SELECT CAST(n AS BIGINT) AS n, s FROM {_TEXTS} UNION ALL SELECT page_id + 100, html FROM pages)")
+@query("clean_paths", f"SELECT n, {_nested('s', _PATH_STEPS)} AS text FROM (SELECT CAST(n AS BIGINT) AS n, s FROM {values(TEXTS, 'n, s')} UNION ALL SELECT page_id + 100, html FROM pages)")
 def clean_paths(spark, sf_dir):
-    both = _texts(spark).select(F.col("n").cast("long").alias("n"), "s").unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 100).alias("n"), F.col("html").alias("s")))
+    both = rows(spark, TEXTS, "n long, s string").unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 100).alias("n"), F.col("html").alias("s")))
     return both.select("n", cleaning.blank_paths(F.col("s")).alias("text"))
 
 
 @query("clean_lines", f"SELECT n, {_lines_sql('s')} AS text FROM {_TEXTS}")
 def clean_lines(spark, sf_dir):
-    return _texts(spark).select("n", cleaning.keep_lines(F.col("s")).alias("text"))
+    return _texts(spark, sf_dir).select("n", cleaning.keep_lines(F.col("s")).alias("text"))
 
 
 @query("clean_text", f"SELECT n, {_lines_sql(_nested('s', _TAG_STEPS + _FENCE_STEPS + _PLACEHOLDER_STEPS + _URL_STEPS + _PATH_STEPS))} AS text FROM {_TEXTS}")
 def clean_text(spark, sf_dir):
-    return _texts(spark).select("n", cleaning.clean_text(F.col("s")).alias("text"))
+    return _texts(spark, sf_dir).select("n", cleaning.clean_text(F.col("s")).alias("text"))
 
 
 COMMANDS = [(1, "/luatex 演奏会プログラムを作成"), (2, "/cmd演奏会"), (3, "/a:b-c  x"), (4, "no /x command"), (5, "/1x")]
 
 
-@query("slash_strip", rf"SELECT n, regexp_replace(s, '^/[a-zA-Z][\p{{L}}\p{{M}}\p{{N}}_:-]*[\s\p{{Z}}]*', '') AS text FROM {values(COMMANDS, 'n, s')}")
+@query(
+    "slash_strip",
+    rf"""SELECT CAST(n AS BIGINT) AS n, regexp_replace(s, '^/[a-zA-Z][\p{{L}}\p{{M}}\p{{N}}_:-]*[\s\p{{Z}}]*', '') AS text FROM (
+        SELECT n, s FROM {values(COMMANDS, 'n, s')} UNION ALL SELECT 1000 + conv_id * 1000 + turn, '/' || role || chr(9) || text FROM conversations)""",
+)
 def slash_strip(spark, sf_dir):
-    return rows(spark, COMMANDS, "n int, s string").select("n", cleaning.strip_slash_command(F.col("s")).alias("text"))
+    said = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("n"), F.concat(F.lit("/"), "role", F.lit("\t"), "text").alias("s"))
+    return rows(spark, COMMANDS, "n long, s string").unionByName(said).select("n", cleaning.strip_slash_command(F.col("s")).alias("text"))
+
+
+@query("nonblank_texts", f"SELECT 'said' AS kind, conv_id * 1000 + turn AS n FROM conversations WHERE trim(text, E' \t\n\r') <> '' UNION ALL SELECT 'gaps', doc_id FROM documents WHERE regexp_matches(text, '[^\\p{{L}} ] *[^\\p{{L}} ] ')")
+def nonblank_texts(spark, sf_dir):
+    """Turns that aren't blank, and documents that hold something else than letters and blanks between two of these."""
+    said = table(spark, sf_dir, "conversations").where(cleaning.not_blank(F.col("text"))).select(F.lit("said").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("n"))
+    gaps = table(spark, sf_dir, "documents").where(cleaning.not_blank(F.regexp_extract("text", r"[^\p{L} ] *[^\p{L} ] ", 0))).select(F.lit("gaps"), "doc_id")
+    return said.union(gaps)
 
 
 # ---- characters and readings ----------------------------------------------------------------
@@ -278,12 +351,14 @@ _KIND = f"""CASE WHEN regexp_full_match(w, '[{tables.KATAKANA}]+') THEN 'katakan
 
 
 def _all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those above, the words of the documents, and these in Japanese glyphs."""
     listed = rows(spark, [(w,) for w in WORDS], "w string")
-    runs = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("w")).distinct()
-    return listed.unionByName(runs).distinct()
+    docs = table(spark, sf_dir, "documents")
+    runs = words_of(docs).distinct()
+    return listed.unionByName(runs).unionByName(words_of(docs.select(japanese("text").alias("text"))).distinct()).distinct()
 
 
-_ALL_WORDS = rf"(SELECT w FROM {_WORD_VALUES} UNION SELECT unnest(regexp_extract_all(text, '{RUN}')) FROM documents)"
+_ALL_WORDS = rf"(SELECT w FROM {_WORD_VALUES} UNION SELECT unnest(regexp_extract_all(text, '{RUN}')) FROM documents UNION SELECT unnest(regexp_extract_all({japanese_sql('text')}, '{RUN}')) FROM documents)"
 
 
 @query(
@@ -296,10 +371,10 @@ def char_classes(spark, sf_dir):
     return _all_words(spark, sf_dir).select(w.alias("word"), kana.classify(w).alias("kind"), kana.has_japanese(w).alias("japanese"), kana.is_kana(w).alias("kana"), kana.is_kanji(w).alias("kanji_only"))
 
 
-@query("kana_convert", f"SELECT w AS word, translate(w, {quoted(kana._KATAKANA)}, {quoted(kana._HIRAGANA)}) AS hiragana, translate(w, {quoted(kana._HIRAGANA)}, {quoted(kana._KATAKANA)}) AS katakana FROM {_WORD_VALUES}")
+@query("kana_convert", f"SELECT w AS word, translate(w, {quoted(kana._KATAKANA)}, {quoted(kana._HIRAGANA)}) AS hiragana, translate(w, {quoted(kana._HIRAGANA)}, {quoted(kana._KATAKANA)}) AS katakana FROM {_ALL_WORDS}")
 def kana_convert(spark, sf_dir):
     w = F.col("w")
-    return rows(spark, [(x,) for x in WORDS], "w string").select(w.alias("word"), kana.katakana_to_hiragana(w).alias("hiragana"), kana.hiragana_to_katakana(w).alias("katakana"))
+    return _all_words(spark, sf_dir).select(w.alias("word"), kana.katakana_to_hiragana(w).alias("hiragana"), kana.hiragana_to_katakana(w).alias("katakana"))
 
 
 ROMAJI = ["kyousou", "gakushuu", "keitarou", "shiryou", "gasshuku", "kinyuu", "hon", "sesshon", "okona~tsu", "hidzuke", "2rén", "", "matcha", "n'o", "kon'ya", "hi-ro", "ＴＯＫＹＯ", "x", "tti", "nn", "nna", "dji", "vaiorin", "wha", "l"]
@@ -309,7 +384,8 @@ _SYLLABLES = values(list((tables.romaji_table() | {"'": ""}).items()), "k, v").r
 @query(
     "romaji_hiragana",
     rf"""WITH RECURSIVE inputs AS (
-        SELECT s, replace(replace(lower(translate(s, {quoted(kana._WIDE)}, {quoted(kana._NARROW)})), '’', ''''), '-', '') AS t FROM {values([(s,) for s in ROMAJI], 's')}
+        SELECT s, replace(replace(lower(translate(s, {quoted(kana._WIDE)}, {quoted(kana._NARROW)})), '’', ''''), '-', '') AS t FROM (
+            SELECT s FROM {values([(s,) for s in ROMAJI], 's')} UNION SELECT lower(w) FROM {counted_words_sql('conversations')})
     ), step(s, t, done, out) AS (
         SELECT s, t, 0, '' FROM inputs
         UNION ALL
@@ -325,7 +401,8 @@ _SYLLABLES = values(list((tables.romaji_table() | {"'": ""}).items()), "k, v").r
     SELECT inputs.s AS romaji, max(CASE WHEN inputs.s <> '' AND done = length(inputs.t) THEN out END) AS hiragana FROM inputs LEFT JOIN step ON step.s = inputs.s GROUP BY inputs.s""",
 )
 def romaji_hiragana(spark, sf_dir):
-    return rows(spark, [(s,) for s in ROMAJI], "s string").select(F.col("s").alias("romaji"), kana.romaji_to_hiragana(F.col("s")).alias("hiragana"))
+    said = counted_words(spark, sf_dir, "conversations").select(F.lower("w").alias("s"))
+    return rows(spark, [(s,) for s in ROMAJI], "s string").unionByName(said).distinct().select(F.col("s").alias("romaji"), kana.romaji_to_hiragana(F.col("s")).alias("hiragana"))
 
 
 @query("acronym_reading", f"SELECT word, {_ACRONYM} AS reading FROM (SELECT w AS word FROM {_ALL_WORDS})")
@@ -367,16 +444,29 @@ def ascii_readings(spark, sf_dir):
     return ops.ascii_readings(ops.canonical_forms(forms)).select("word", "reading", "reading_ord", F.col("count").alias("n"), "projects")
 
 
+for _mode, _reading in (("lower", "lower"), ("letters", "coalesce(letters, lower)")):
+
+    @query(f"ascii_readings_{_mode}", _forms_sql("documents") + f" SELECT word, {_reading} AS reading, cnt AS n FROM (SELECT *, {_ACRONYM} AS letters FROM chosen)")
+    def ascii_readings_in(spark, sf_dir, mode=_mode):
+        forms = ops.ascii_forms_of(documents(spark, sf_dir), LOWER_ONLY)
+        return ops.ascii_readings(ops.canonical_forms(forms), mode).select("word", "reading", F.col("count").alias("n"))
+
+
 CASED = [("p1", "Fooapp", 5), ("p1", "FooApp", 4), ("p2", "Barapp", 6), ("p2", "BarApp", 4), ("p1", "Luatex", 6), ("p3", "LuaTeX", 4), ("p1", "Github", 9), ("p1", "SRT", 8)]
 
 
 @query(
     "casing_choice",
-    f"""SELECT lower(f) AS lower, coalesce(max(canonical.known), arg_max(f, n * CASE WHEN regexp_matches(f, '^.+[A-Z]') THEN 1.5 ELSE 1.0 END * 1000 + n)) AS word,
-    CAST(sum(n) AS BIGINT) AS n, count(DISTINCT p) AS projects FROM {values(CASED, 'p, f, n')} LEFT JOIN {CANONICAL} ON canonical.lower = lower(f) GROUP BY lower(f)""",
+    f"""WITH f AS (SELECT p, f, CAST(n AS BIGINT) AS n FROM {values(CASED, 'p, f, n')} UNION ALL SELECT role, w, count(*) FROM (SELECT role, unnest(regexp_extract_all(text, '{RUN}')) AS w FROM conversations) GROUP BY ALL),
+    g AS (SELECT lower(f) AS lower, f, sum(n) AS n FROM f GROUP BY ALL),
+    u AS (SELECT lower, f, row_number() OVER (PARTITION BY lower ORDER BY n * CASE WHEN regexp_matches(f, '^.+[A-Z]') THEN 1.5 ELSE 1.0 END DESC, n DESC, f) AS k FROM g)
+    SELECT u.lower, coalesce(known, u.f) AS word, CAST((SELECT sum(n) FROM g WHERE g.lower = u.lower) AS BIGINT) AS n, (SELECT count(DISTINCT p) FROM f WHERE lower(f.f) = u.lower) AS projects
+    FROM u LEFT JOIN {CANONICAL} ON canonical.lower = u.lower WHERE k = 1""",
 )
 def casing_choice(spark, sf_dir):
-    forms = rows(spark, CASED, "project string, form string, n long").select(F.lower("form").alias("lower"), "form", "project", "n", F.struct(F.lit(0).alias("x")).alias("first_seq"))
+    said = table(spark, sf_dir, "conversations").select(F.col("role").alias("project"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("form"))
+    counted = rows(spark, CASED, "project string, form string, n long").unionByName(said.groupBy("project", "form").agg(F.count(F.lit(1)).alias("n")))
+    forms = counted.select(F.lower("form").alias("lower"), "form", "project", "n", F.struct("form").alias("first_seq"))
     return ops.canonical_forms(forms).select("lower", "word", F.col("count").alias("n"), "projects")
 
 
@@ -547,84 +637,94 @@ def frequent_spans(spark, sf_dir):
 
 # ---- Japanese terms from written-out tokens ------------------------------------------------------
 
-A = [("字幕", "jimaku", "kanji"), ("ファイル", "", "katakana"), ("を", "", "hiragana"), ("作成", "sakusei", "kanji"), ("。", "", "other")]
-B = [("一", "ichi", "kanji"), ("次", "ji", "kanji"), ("資料", "shiryou", "kanji"), ("に", "", "hiragana")]
-C = [("次", "ji", "kanji"), ("セッション", "", "katakana"), ("に", "", "hiragana"), ("引き継ぐ", "hikitsugu", "kanji"), ("。", "", "other")]
-D = [("次", "tsugi", "kanji"), ("の", "", "hiragana"), ("資料", "shiryou", "kanji"), ("を", "", "hiragana"), ("見る", "miru", "kanji")]
-E = [("編集", "henshuu", "kanji"), ("済", "", "kanji"), ("動画", "douga", "kanji"), ("書き出し", "kakidashi", "kanji"), ("プリセット", "", "katakana")]
-SENTENCES = [("p1", A, 5), ("p2", B, 10), ("p1", C, 6), ("p2", D, 6), ("p3", E, 3)]
-
-
-def _token_rows() -> list[tuple]:
-    """utt, project, pos, surface, latin, kind, start, end."""
-    out, utt = [], 0
-    for project, sentence, times in SENTENCES:
-        for _ in range(times):
-            at = 0
-            for pos, (surface, latin, kind) in enumerate(sentence):
-                out.append((utt, project, pos, surface, latin, kind, at, at + len(surface)))
-                at += len(surface)
-            utt += 1
-    return out
-
-
-TOKEN_ROWS = _token_rows()
-_TOKEN_VALUES = values(TOKEN_ROWS, "utt, project, pos, surface, latin, kind, s, e")
-_READINGS = {"jimaku": "じまく", "sakusei": "さくせい", "ichi": "いち", "ji": "じ", "shiryou": "しりょう", "hikitsugu": "ひきつぐ", "tsugi": "つぎ", "miru": "みる", "henshuu": "へんしゅう", "douga": "どうが", "kakidashi": "かきだし"}
+# The turns of all conversations in Japanese glyphs. A kanji token is read as one syllable per glyph, another one in what an assistant
+# says, so that whatever both say is ambiguous.
 
 
-def _sentences(spark: SparkSession) -> DataFrame:
-    flat = rows(spark, TOKEN_ROWS, "utt long, project string, pos int, surface string, latin string, kind string, start int, end int")
-    token = F.struct("pos", "surface", "latin", "kind", "start", "end")
-    return flat.groupBy(F.struct(F.col("utt").alias("a")).alias("utt"), "project").agg(F.array_sort(F.collect_list(token)).cast(tokens.TOKENS).alias("tokens"))
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = conversations(spark, sf_dir).withColumn("text", japanese("text"))
+    syllable = F.when(F.col("role") == "user", "ka").otherwise("shi")
+    latin = lambda t: F.when(t["kind"] == "kanji", F.array_join(F.array_repeat(syllable, F.length(t["surface"])), "")).otherwise(t["latin"])
+    return tokens.with_script_runs(said).withColumn("tokens", F.transform("tokens", lambda t: t.withField("latin", latin(t))))
 
 
-_CHUNKS = f"""WITH t AS (SELECT *, CASE WHEN kind IN ('kanji', 'katakana') THEN 'ja' WHEN kind = 'ascii' THEN 'ascii' END AS cls FROM {_TOKEN_VALUES}),
-    m AS (SELECT *, CASE WHEN cls IS DISTINCT FROM lag(cls) OVER w OR lag(e) OVER w IS DISTINCT FROM s THEN 1 ELSE 0 END AS brk FROM t WINDOW w AS (PARTITION BY utt ORDER BY pos)),
-    i AS (SELECT *, sum(brk) OVER (PARTITION BY utt ORDER BY pos) AS island FROM m),
-    c AS (SELECT utt, project, island, list(surface ORDER BY pos) AS surfaces, list(latin ORDER BY pos) AS latins, list(kind ORDER BY pos) AS kinds FROM i WHERE cls IS NOT NULL GROUP BY ALL)"""
-_READING_OF = "CASE kinds[j] WHEN 'katakana' THEN translate(surfaces[j], " + quoted(kana._KATAKANA) + ", " + quoted(kana._HIRAGANA) + ") ELSE MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in _READINGS.items()) + "}[latins[j]] END"
+_CHUNKS = f"""WITH said AS (SELECT conv_id, turn, role, {japanese_sql('text')} AS text FROM conversations WHERE role IN ('user', 'assistant')),
+    l AS (SELECT *, regexp_extract_all(text, '[{tables.KANJI}{tables.KATAKANA}]+') AS cs FROM said),
+    c AS (SELECT conv_id AS utt, turn, role, CAST(conv_id AS VARCHAR) AS project, island, regexp_extract_all(chunk, '[{tables.KATAKANA}]+|[{tables.KANJI}]+') AS surfaces
+          FROM l, LATERAL (SELECT unnest(cs) AS chunk, generate_subscripts(cs, 1) AS island) AS u)"""
+_READING_OF = f"CASE WHEN regexp_matches(surfaces[j], '[{tables.KANJI}]') THEN repeat(CASE role WHEN 'user' THEN 'か' ELSE 'し' END, length(surfaces[j])) ELSE translate(surfaces[j], {quoted(kana._KATAKANA)}, {quoted(kana._HIRAGANA)}) END"
 _SPANS = f"""{_CHUNKS}, n AS (SELECT *, len(surfaces) AS size FROM c),
-    sp AS (SELECT n.*, a.i AS i, b.k AS k FROM n, (SELECT unnest(range(1, 30)) AS i) a, (SELECT unnest(range(1, 30)) AS k) b WHERE i + k - 1 <= size AND (k <= 3 OR (k = size))),
-    r AS (SELECT utt, project, island, i, k, size, array_to_string(surfaces[i:i + k - 1], '') AS word, surfaces[i:i + k - 1] AS parts,
+    i AS (SELECT *, unnest(range(1, size + 1)) AS i FROM n), sp AS (SELECT * FROM (SELECT *, unnest(range(1, size - i + 2)) AS k FROM i) WHERE k <= 3 OR k = size),
+    r AS (SELECT utt, turn, role, project, island, i, k, size, array_to_string(surfaces[i:i + k - 1], '') AS word, surfaces[i:i + k - 1] AS parts,
         list_transform(range(i, i + k), lambda j: {_READING_OF}) AS readings FROM sp)"""
-_JA = f"""{_SPANS}, ok AS (SELECT *, array_to_string(readings, '') AS reading FROM r WHERE len(list_filter(readings, lambda x: x IS NULL)) = 0),
-    acc AS (SELECT *, word AS w FROM ok WHERE length(word) BETWEEN 3 AND 24 AND length(reading) >= 2 AND NOT (k = 1 AND regexp_matches(word, '[{tables.HIRAGANA}]$'))),
-    g AS (SELECT word, reading, count(*) AS n, count(DISTINCT project) AS projects, sum(CASE WHEN k = size THEN 1 ELSE 0 END) AS alone, arg_min(parts, utt) AS parts FROM acc WHERE NOT {IS_STOP} GROUP BY word, reading)"""
+_JA = f"""{_SPANS}, ok AS (SELECT *, array_to_string(readings, '') AS reading FROM r),
+    acc AS (SELECT *, word AS w FROM ok WHERE length(word) BETWEEN 3 AND 24 AND length(reading) >= 2),
+    g AS (SELECT word, reading, count(*) AS n, count(DISTINCT project) AS projects, sum(CASE WHEN k = size THEN 1 ELSE 0 END) AS alone, any_value(parts) AS parts FROM acc WHERE NOT {IS_STOP} GROUP BY word, reading)"""
 
 
-@query("chunks", f"{_CHUNKS} SELECT CAST(utt AS BIGINT) AS utt, project, array_to_string(surfaces, '|') AS chunk FROM c")
+@query("chunks", f"{_CHUNKS} SELECT utt, turn, project, array_to_string(surfaces, '|') AS chunk FROM c")
 def chunks(spark, sf_dir):
-    return tokens.exploded_chunks(_sentences(spark)).select("utt.a", "project", F.array_join(F.transform("chunk", lambda t: t["surface"]), "|").alias("chunk")).withColumnRenamed("a", "utt")
+    found = tokens.exploded_chunks(_sentences(spark, sf_dir)).where(tokens.class_of(F.get("chunk", F.lit(0))) == "ja")
+    return found.select(F.col("utt.a").alias("utt"), F.col("utt.b").alias("turn"), "project", F.array_join(F.transform("chunk", lambda t: t["surface"]), "|").alias("chunk"))
 
 
-@query("spans", f"{_SPANS} SELECT CAST(utt AS BIGINT) AS utt, project, array_to_string(parts, '|') AS span FROM r")
+@query("spans", f"{_SPANS} SELECT utt, turn, project, array_to_string(parts, '|') AS span FROM r")
 def spans(spark, sf_dir):
-    found = tokens.exploded_chunks(_sentences(spark)).select("utt.a", "project", F.explode(tokens.spans(F.col("chunk"), 3)).alias("s"))
-    return found.select(F.col("a").alias("utt"), "project", F.array_join(F.transform("s", lambda t: t["surface"]), "|").alias("span"))
+    found = tokens.exploded_chunks(_sentences(spark, sf_dir)).select("utt", "project", F.explode(tokens.spans(F.col("chunk"), 3)).alias("s"))
+    return found.select(F.col("utt.a").alias("utt"), F.col("utt.b").alias("turn"), "project", F.array_join(F.transform("s", lambda t: t["surface"]), "|").alias("span"))
 
 
-@query("ja_candidates", f"{_JA} SELECT word, reading, n, projects, CAST(alone AS BIGINT) AS standalone, array_to_string(parts, '|') AS parts FROM g WHERE alone >= greatest(1.0, 0.2::DOUBLE * n)")
+_LONE = "alone >= greatest(1.0, 0.2::DOUBLE * n)"
+
+
+@query(
+    "ja_candidates",
+    f"{_JA} SELECT word, reading, CASE WHEN regexp_full_match(word, '[{tables.KATAKANA}]+') THEN 'katakana' ELSE 'kanji' END AS kind, n, projects, CAST(alone AS BIGINT) AS standalone, array_to_string(parts, '|') AS parts FROM g WHERE {_LONE}",
+)
 def ja_candidates(spark, sf_dir):
     cfg = ops.ExtractConfig()
-    found = ops.japanese_candidates(ops.span_rows(tokens.exploded_chunks(_sentences(spark)), cfg), cfg)
-    return found.select("word", "reading", F.col("count").alias("n"), "projects", "standalone", F.array_join("parts", "|").alias("parts"))
+    found = ops.japanese_candidates(ops.span_rows(tokens.exploded_chunks(_sentences(spark, sf_dir)), cfg), cfg)
+    return found.select("word", "reading", "kind", F.col("count").alias("n"), "projects", "standalone", F.array_join("parts", "|").alias("parts"))
+
+
+_AMBIGUOUS = f"SELECT s AS surface FROM (SELECT unnest(surfaces) AS s, role FROM c) WHERE regexp_matches(s, '[{tables.KANJI}]') GROUP BY 1 HAVING count(DISTINCT role) > 1"
 
 
-@query("confidence_low", f"{_JA}, amb AS (SELECT surface FROM {_TOKEN_VALUES} WHERE kind = 'kanji' AND latin <> '' GROUP BY 1 HAVING count(DISTINCT lower(latin)) > 1) SELECT word, reading, CASE WHEN EXISTS (SELECT 1 FROM amb WHERE list_contains(g.parts, amb.surface)) THEN 'low' ELSE 'ok' END AS confidence FROM g WHERE alone >= greatest(1.0, 0.2::DOUBLE * n)")
+@query("ambiguous_surfaces", f"{_CHUNKS} {_AMBIGUOUS}")
+def ambiguous_surfaces(spark, sf_dir):
+    return ops.ambiguous_surfaces(_sentences(spark, sf_dir))
+
+
+@query("confidence_low", f"{_JA}, amb AS ({_AMBIGUOUS}) SELECT word, reading, CASE WHEN len(list_intersect(parts, (SELECT list(surface) FROM amb))) > 0 THEN 'low' ELSE 'ok' END AS confidence FROM g WHERE {_LONE}")
 def confidence_low(spark, sf_dir):
     cfg = ops.ExtractConfig()
-    said = _sentences(spark)
+    said = _sentences(spark, sf_dir)
     found = ops.japanese_candidates(ops.span_rows(tokens.exploded_chunks(said), cfg), cfg)
     return ops.with_confidence(found, ops.ambiguous_surfaces(said)).select("word", "reading", "confidence")
 
 
+@query(
+    "ja_terms",
+    f"""{_JA}, amb AS ({_AMBIGUOUS}), k AS (SELECT *, CASE WHEN len(list_intersect(parts, (SELECT list(surface) FROM amb))) > 0 THEN 'low' ELSE 'ok' END AS confidence FROM g WHERE {_LONE} AND n >= 3)
+    SELECT word, reading, n, confidence FROM k WHERE NOT EXISTS (SELECT 1 FROM k l WHERE length(l.word) > length(k.word) AND l.n >= k.n AND contains(l.word, k.word))""",
+)
+def ja_terms(spark, sf_dir):
+    """The Japanese path from tokens to terms, whole."""
+    found = ops.drop_subsumed(ops.candidates(_sentences(spark, sf_dir), ops.ExtractConfig(ascii_terms=False)))
+    return found.select("word", "reading", F.col("count").alias("n"), "confidence")
+
+
 VECTORS = [("協奏", 5), ("協奏曲", 5), ("ホルン協奏曲", 3), ("TeX", 4), ("LuaTeX", 4), ("Lua", 9), ("a", 1)]
 
 
-@query("subsumption_vectors", f"SELECT w AS word, CAST(n AS BIGINT) AS n FROM {values(VECTORS, 'w, n')} WHERE NOT EXISTS (SELECT 1 FROM {values(VECTORS, 'w, n').replace('AS t(', 'AS l(')} WHERE length(l.w) > length(t.w) AND l.n >= t.n AND contains(l.w, t.w))")
+_VECTORS_SQL = f"(SELECT w, CAST(max(n) AS BIGINT) AS n FROM (SELECT w, n FROM {values(VECTORS, 'w, n')} UNION ALL SELECT w, n FROM {counted_words_sql('conversations')} WHERE n >= 3) GROUP BY w)"
+
+
+@query("subsumption_vectors", f"WITH t AS {_VECTORS_SQL} SELECT w AS word, n FROM t WHERE NOT EXISTS (SELECT 1 FROM t l WHERE length(l.w) > length(t.w) AND l.n >= t.n AND contains(l.w, t.w))")
 def subsumption_vectors(spark, sf_dir):
-    return ops.drop_subsumed(rows(spark, VECTORS, "word string, count long")).select("word", F.col("count").alias("n"))
+    said = counted_words(spark, sf_dir, "conversations").where("n >= 3")
+    listed = rows(spark, VECTORS, "w string, n long").unionByName(said).groupBy(F.col("w").alias("word")).agg(F.max("n").alias("count"))
+    return ops.drop_subsumed(listed).select("word", F.col("count").alias("n"))
 
 
 # ---- dictionaries ---------------------------------------------------------------------------------
@@ -635,40 +735,63 @@ REVIEWED = [
 ]
 
 
+_REVIEWED_SQL = f"""(SELECT c0, c1, c2, c4 FROM {values(REVIEWED, 'k, c0, c1, c2, c3, c4, c5')}
+    UNION ALL SELECT CASE WHEN starts_with(w, 'T') THEN '#' || w WHEN starts_with(w, 'Q') THEN ' ' ELSE ' ' || lower(w) || ' ' END, w || ' ', CASE WHEN length(w) > 9 THEN 'x' ELSE '' END || n, CASE WHEN n > 3 THEN ' kanji' END FROM {counted_words_sql('documents')})"""
+
+
 @query(
     "review_tsv_parse",
     f"""SELECT trim(c0) AS reading, trim(c1) AS word, CASE WHEN regexp_full_match(c2, '[0-9]+') THEN CAST(c2 AS BIGINT) ELSE 1 END AS n, coalesce(trim(c4), 'manual') AS kind
-    FROM {values(REVIEWED, 'k, c0, c1, c2, c3, c4, c5')} WHERE trim(coalesce(c0, '')) <> '' AND NOT starts_with(c0, '#') AND NOT (c0 = 'reading' AND coalesce(c1, '') = 'word') AND trim(coalesce(c1, '')) <> ''""",
+    FROM {_REVIEWED_SQL} WHERE trim(coalesce(c0, '')) <> '' AND NOT starts_with(c0, '#') AND NOT (c0 = 'reading' AND coalesce(c1, '') = 'word') AND trim(coalesce(c1, '')) <> ''""",
 )
 def review_tsv_parse(spark, sf_dir):
-    lines = rows(spark, REVIEWED, "k int, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string")
+    w = F.col("w")
+    c0 = F.when(w.startswith("T"), F.concat(F.lit("#"), w)).when(w.startswith("Q"), " ").otherwise(F.concat(F.lit(" "), F.lower(w), F.lit(" ")))
+    c2 = F.concat(F.when(F.length(w) > 9, "x").otherwise(""), F.col("n").cast("string"))
+    none = F.lit(None).cast("string")
+    found = counted_words(spark, sf_dir, "documents").select(F.lit(0).alias("k"), c0.alias("c0"), F.concat(w, F.lit(" ")).alias("c1"), c2.alias("c2"), none.alias("c3"), F.when(F.col("n") > 3, " kanji").alias("c4"), none.alias("c5"))
+    lines = rows(spark, REVIEWED, "k int, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string").unionByName(found)
     return dictionaries.parse_review(lines).withColumnRenamed("count", "n")
 
 
 EXISTING = [("既存語", "きそんご", "EXISTING", None, 0), ("字幕", "じまく", "OLD", "h", 1)]
 OFFERED = [("字幕ファイル", "じまくふぁいる", "", 0), ("LuaTeX", "luatex", "", 1), ("既存語", "きそんご", "", 2), ("LuaTeX", "luatex", "", 3)]
-_MERGE = f"""WITH old AS (SELECT * FROM {values(EXISTING, 'word, reading, id, hint, ord')}), new AS (SELECT *, row_number() OVER (PARTITION BY reading, word ORDER BY ord) AS k FROM {values(OFFERED, 'word, reading, hint, ord')}),
+_MERGE = f"""WITH old AS (SELECT word, reading, id, hint, CAST(ord AS BIGINT) AS ord FROM {values(EXISTING, 'word, reading, id, hint, ord')} UNION ALL SELECT w, lower(w), md5(w), NULL, n FROM {counted_words_sql('conversations')}),
+    offered AS (SELECT word, reading, hint, CAST(ord AS BIGINT) AS ord FROM {values(OFFERED, 'word, reading, hint, ord')} UNION ALL SELECT w, lower(w), 'seen', n FROM {counted_words_sql('documents')}),
+    new AS (SELECT *, row_number() OVER (PARTITION BY reading, word ORDER BY ord) AS k FROM offered),
     added AS (SELECT word, reading, ord, sha1(reading || chr(9) || word) AS h, nullif(hint, '') AS hint FROM new WHERE k = 1 AND (reading, word) NOT IN (SELECT reading, word FROM old)),
     merged AS (SELECT word, reading, id, hint, 0 AS src, ord FROM old UNION ALL SELECT word, reading, {_ID}, hint, 1, ord FROM added)"""
 
 
-def _merge_inputs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return rows(spark, EXISTING, dictionaries.ITEM), rows(spark, OFFERED, "word string, reading string, hint string, ord long")
+def _merge_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The words of the conversations are there, those of the documents are offered."""
+    w, n = F.col("w"), F.col("n")
+    there = counted_words(spark, sf_dir, "conversations").select(w.alias("word"), F.lower(w).alias("reading"), F.md5(w.cast("binary")).alias("id"), F.lit(None).cast("string").alias("hint"), n.alias("ord"))
+    more = counted_words(spark, sf_dir, "documents").select(w.alias("word"), F.lower(w).alias("reading"), F.lit("seen").alias("hint"), n.alias("ord"))
+    old = rows(spark, EXISTING, dictionaries.ITEM)
+    return old.unionByName(there.select(*[F.col(f.name).cast(f.dataType) for f in old.schema])), rows(spark, OFFERED, "word string, reading string, hint string, ord long").unionByName(more)
 
 
 @query("merge_dictionary", f"{_MERGE} SELECT word, reading, id, hint, src, CAST(ord AS BIGINT) AS ord FROM merged")
 def merge_dictionary(spark, sf_dir):
-    return ops.merge(*_merge_inputs(spark)).orderBy("src", "ord")
+    return ops.merge(*_merge_inputs(spark, sf_dir)).orderBy("src", "ord")
 
 
 @query("merge_counts", f"{_MERGE} SELECT (SELECT count(*) FROM added) AS added, (SELECT count(*) FROM new) - (SELECT count(*) FROM added) AS skipped, (SELECT count(*) FROM merged) AS total")
 def merge_counts(spark, sf_dir):
-    return ops.merge_counts(*_merge_inputs(spark))
+    return ops.merge_counts(*_merge_inputs(spark, sf_dir))
 
 
 PREFS = [("よろ", "よろしくお願いします。"), ("omw", "On my way!"), ("", "x"), ("omw", "On my way!")]
 
 
-@query("registered_union", f"SELECT DISTINCT r AS reading, w AS word FROM (SELECT * FROM {values(PREFS, 'r, w')} UNION ALL SELECT * FROM {values(REGISTERED, 'r, w')})")
+@query(
+    "registered_union",
+    f"""SELECT DISTINCT r AS reading, w AS word FROM (SELECT * FROM {values(PREFS, 'r, w')} UNION ALL SELECT * FROM {values(REGISTERED, 'r, w')}
+    UNION ALL SELECT lower(w), w FROM {counted_words_sql('conversations')} UNION ALL SELECT lower(w), w FROM {counted_words_sql('documents')})""",
+)
 def registered_union(spark, sf_dir):
-    return rows(spark, PREFS, dictionaries.PAIR).union(rows(spark, REGISTERED, dictionaries.PAIR)).distinct()
+    known = rows(spark, PREFS, dictionaries.PAIR).union(rows(spark, REGISTERED, dictionaries.PAIR))
+    for name in ("conversations", "documents"):
+        known = known.union(counted_words(spark, sf_dir, name).select(F.lower("w").alias("reading"), F.col("w").alias("word")))
+    return known.distinct()
