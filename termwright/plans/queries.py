@@ -540,23 +540,23 @@ _STRETCH_SQL = rf"[{tables.KATAKANA}]+|[{tables.HIRAGANA}]+|[{tables.KANJI}]+|[^
     runs AS (SELECT DISTINCT w FROM pieces),
     places AS (SELECT w, unnest(range(length(w))) AS s FROM runs),
     sizes AS (SELECT substr(surface, 1, 1) AS head, length(surface) AS k FROM lex GROUP BY ALL),
+    spelled AS MATERIALIZED (SELECT w, s, k, substr(w, s + 1, k) AS t FROM (SELECT *, substr(w, s + 1, 1) AS head FROM places) p JOIN sizes ON sizes.head = p.head WHERE s + k <= length(w)),
     dear AS (SELECT coalesce(max(cost), 0) + 1 AS d FROM lex),
     stretches AS (SELECT w, regexp_extract_all(w, '{_STRETCH_SQL}') AS ps FROM runs),
-    borders AS (SELECT w, unnest(list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))))::BIGINT AS b FROM stretches),
+    borders AS (SELECT w, list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT) AS bs FROM stretches),
     edges AS (
-        SELECT p.w, s, s + k AS e, cost FROM places p JOIN sizes ON head = substr(p.w, s + 1, 1) JOIN lex ON surface = substr(p.w, s + 1, k) AND length(surface) = k WHERE s + k <= length(p.w)
+        SELECT w, s, s + k AS e, cost FROM spelled JOIN lex ON surface = t
         UNION ALL SELECT p.w, s, s + 1, 2 * d FROM places p, dear
-        UNION ALL SELECT p.w, s, (SELECT min(b) FROM borders WHERE borders.w = p.w AND b > s), d FROM places p, dear
+        UNION ALL SELECT p.w, s, list_min(list_filter(bs, lambda b: b > s)), d FROM places p JOIN borders ON borders.w = p.w, dear
     ),
-    ending AS (SELECT w, e, list({{'s': s, 'c': cost}}) AS es FROM edges GROUP BY w, e),
+    ending AS (SELECT w, e, list({{'c': cost, 'n': 1::BIGINT, 's': s::BIGINT}}) AS es FROM edges GROUP BY w, e),
     lattice AS (SELECT w, list(es ORDER BY e) AS ends FROM ending GROUP BY w),
-    best AS (
-        SELECT w, 0::BIGINT AS i, [{{'c': 0::DOUBLE, 'n': 0::BIGINT, 's': 0::BIGINT}}] AS b, ends FROM lattice
-        UNION ALL
-        SELECT w, i + 1, list_append(b, list_min(list_transform(ends[i + 1], lambda x: {{'c': b[x.s + 1].c + x.c, 'n': b[x.s + 1].n + 1, 's': x.s}}))), ends FROM best WHERE i < len(ends)
+    best AS (  -- of each place: the least cost of a path to it, its words, and where the last one begins
+        SELECT w, len(ends) AS n, list_reduce(list_prepend([{{'c': 0::DOUBLE, 'n': 0::BIGINT, 's': 0::BIGINT}}], ends),
+            lambda b, es: list_append(b, list_min(list_transform(es, lambda x: {{'c': b[x.s + 1].c + x.c, 'n': b[x.s + 1].n + 1, 's': x.s}})))) AS b FROM lattice
     ),
     back AS (
-        SELECT w, len(ends) AS e, b, [] :: VARCHAR[] AS words FROM best WHERE i = len(ends)
+        SELECT w, n::BIGINT AS e, b, [] :: VARCHAR[] AS words FROM best
         UNION ALL
         SELECT w, b[e + 1].s, b, list_prepend(substr(w, b[e + 1].s + 1, e - b[e + 1].s), words) FROM back WHERE e > 0
     ),
@@ -616,18 +616,19 @@ def dictionary_merged(spark, sf_dir):
     return kept.items().select("word", "reading", "id", "ord", F.when(F.col("batch").endswith("-old"), 0).otherwise(1).alias("src"))
 
 
-_CHUNK = rf"{RUN}(?: {RUN})*"
+_CHUNK = r"[\p{L}\p{M}\p{N}_ ]+"
 
 
 def _chunks_of(docs: DataFrame) -> DataFrame:
+    """The words between two marks, in their order."""
     lines = docs.select(F.col("source").alias("project"), F.explode(F.regexp_extract_all("text", F.lit(_CHUNK), F.lit(0))).alias("c"))
-    return lines.select("project", F.split("c", " ").alias("chunk"))
+    return lines.select("project", F.filter(F.split("c", " "), lambda w: w != "").alias("chunk"))
 
 
 @query(
     "frequent_spans",
-    rf"""WITH c AS (SELECT source AS project, string_split(unnest(regexp_extract_all(text, '{_CHUNK}')), ' ') AS chunk FROM documents),
-    s AS (SELECT project, chunk, unnest([1, 2, 3]) AS size FROM c), t AS (SELECT project, chunk, size, unnest(range(1, greatest(len(chunk) - size + 2, 1))) AS i FROM s)
+    rf"""WITH c AS (SELECT source AS project, list_filter(string_split(unnest(regexp_extract_all(text, '{_CHUNK}')), ' '), lambda w: w <> '') AS chunk FROM documents),
+    s AS (SELECT project, chunk, unnest([1, 2, 3]) AS size FROM c), t AS (SELECT project, chunk, size, unnest(range(1, greatest(len(chunk) - size + 2, 1))) AS i FROM s WHERE len(chunk) >= size)
     SELECT array_to_string(chunk[i:i + size - 1], ' ') AS span, size, count(*) AS n, count(DISTINCT project) AS projects FROM t GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT project) >= 2""",
 )
 def frequent_spans(spark, sf_dir):
