@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import words
 from ..operators import candidates as ops
-from ..operators import tokens
+from ..operators import state, tokens
 from ..sources import transcripts
 
 
@@ -31,10 +32,13 @@ def running_forms(utterances: DataFrame, cfg: ops.ExtractConfig | None = None) -
     rows = tokens.exploded_chunks(tokens.with_script_runs(utterances))
     cfg = cfg or ops.ExtractConfig()
     word = tokens.surface_of(F.col("chunk"))
-    return (
-        rows.where(F.get("chunk", F.lit(0))["kind"] == "ascii")
-        .select(word.alias("form"), "project")
-        .where(ops.accept_ascii(F.col("form"), cfg))
-        .groupBy(F.lower("form").alias("lower"), "form", "project")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    forms = rows.where(F.get("chunk", F.lit(0))["kind"] == "ascii").select(word.alias("form"), "project").where(ops.accept_ascii(F.col("form"), cfg))
+    # A long stop list is a table, which the stream is joined with.
+    kept = words.drop_stop_words(forms, cfg.stop, "form")
+    return kept.groupBy(F.lower("form").alias("lower"), "form", "project").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_into(terms: DataFrame, dictionary: state.Dictionary, checkpoint: str):
+    """A writer (not started) that appends the stream's new pairs (word, reading, hint, ord) to a dictionary. A
+    batch that comes again after a failure changes nothing."""
+    return terms.writeStream.option("checkpointLocation", checkpoint).foreachBatch(dictionary.merge_batch)
