@@ -15,6 +15,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     where = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index"))
     if "_metadata" in docs.columns:
         raise ValueError("a column named _metadata hides the place of rows")
-    quiet = logging.getLogger("DataFrameQueryContextLogger")
+    quiet = PySparkLogger.getLogger("DataFrameQueryContextLogger")  # a plain logger of that name would break PySpark's own use of it
     level = quiet.level
     quiet.setLevel(logging.CRITICAL)
     try:
@@ -130,10 +131,14 @@ def located(docs: DataFrame) -> tuple[DataFrame, Column]:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` (see ``located``) whose locator isn't in ``gone`` (column locator)."""
-    names = docs.columns
     docs, where = located(docs)
-    gone = gone.select(F.col("locator").alias("__gone"))
-    return docs.withColumn("__at", where).join(gone, F.col("__at") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(where.alias("at"), whole_row(docs).alias("row"))
+    return rows.join(gone.select(F.col("locator").alias("gone")), F.col("at") == F.col("gone"), "left_anti").select("row.*")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct: beside it no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Keys (64-bit) that may be sent to all executors: 8 bytes each, some 32 in the hash table.

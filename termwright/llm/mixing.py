@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_bits, located, shuffled_hash, shuffled_rank, source_key, written
+from .common import Scratch, bucket_bits, located, shuffled_hash, shuffled_rank, source_key, written, whole_row
 
 WHOLE = 1 << 40  # units that the target weights are rounded to: far finer than one block of any corpus
 LANE = 1 << 14  # slots that one task schedules
@@ -243,7 +243,6 @@ def pfair_mix(
     """
     if block_rows < 1 or lane < 1:
         raise ValueError("block_rows and lane must be 1 or more")
-    names = docs.columns
     docs, where = located(docs)
     carried = [] if keep is None else keep
     narrow = docs.select(
@@ -272,5 +271,6 @@ def pfair_mix(
     found = ranked.join(placed, ["__src", "__block"]).select("__doc", mix)
     if keep is not None:
         return found.select(*[F.col(f"__doc.k{n}").alias(c) for n, c in enumerate(keep)], "__mix")
-    found = found.select(F.col("__doc.at").alias("__at"), "__mix")
-    return docs.withColumn("__here", where).join(found, F.col("__here") == F.col("__at")).select(*[F.col(f"`{c}`") for c in names], "__mix")
+    found = found.select(F.col("__doc.at").alias("at"), "__mix")
+    rows = docs.select(where.alias("here"), whole_row(docs).alias("row"))
+    return rows.join(found, F.col("here") == F.col("at")).select("row.*", "__mix")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, located, written
+from .common import Scratch, located, written, whole_row
 
 _LINE = re.compile("[^\r\n\x0b\x0c\x85\u2028\u2029]+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+(?=\s)|$)")
@@ -182,8 +182,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their places in the original text (an empty list if there are none)."""
     names = docs.columns
     docs, where = located(docs)
-    spans = repeated_units(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("locator").alias("__from"), F.col("spans").alias("__spans"))
-    out = docs.withColumn("__at", where).join(spans, F.col("__at") == F.col("__from"), "left")
-    text = F.col(f"`{text_col}`")
-    cut = F.when(F.col("__spans").isNotNull(), cut_spans(text, F.col("__spans"))).otherwise(text).alias(text_col)
-    return out.select(*[cut if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce("__spans", F.array().cast(SPANS)).alias("removed_spans"))
+    spans = repeated_units(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("locator").alias("of"), "spans")
+    rows = docs.select(where.alias("at"), whole_row(docs).alias("row")).join(spans, F.col("at") == F.col("of"), "left")
+    text = F.col("row").getField(text_col)
+    cut = F.when(F.col("spans").isNotNull(), cut_spans(text, F.col("spans"))).otherwise(text).alias(text_col)
+    return rows.select(*[cut if c == text_col else F.col("row").getField(c).alias(c) for c in names], F.coalesce("spans", F.array().cast(SPANS)).alias("removed_spans"))
