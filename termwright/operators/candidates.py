@@ -210,6 +210,30 @@ def drop_subsumed(candidates: DataFrame) -> DataFrame:
     return kept.where(F.col("longer").isNull() | (F.col("longer") < F.col("row.count"))).select("row.*")
 
 
+def drop_subsumed_by_grams(candidates: DataFrame, size: int = 3) -> DataFrame:
+    """The same for words of any length: by an inverted index of ``size``-grams, not by listing substrings.
+
+    A word is looked up by the rarest of its grams, so that only words that hold that one are compared; words shorter
+    than a gram are met by grouping, without pairs. A word of n characters is in the index size * n times at most."""
+    held = candidates.groupBy("word").agg(F.max(F.col("count").cast("long")).alias("n"))
+    length = F.length("word")
+
+    def parts(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(length - k + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, F.lit(k)))
+        return F.when(length >= k, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    shorter = F.filter(F.concat(*[parts(k) for k in range(1, size)]) if size > 1 else F.array().cast("array<string>"), lambda t: F.length(t) < length)
+    short = held.select(F.explode(shorter).alias("word"), "n").groupBy("word").agg(F.max("n").alias("longer"))
+    grams = held.select("word", "n", length.alias("length"), F.explode(parts(size)).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    rarest = grams.join(rarity, "gram").groupBy("word").agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"))
+    holders = grams.select("gram", F.col("word").alias("holder"), "n", F.col("length").alias("holder_length"))
+    met = rarest.join(holders, "gram").where((F.col("holder_length") > length) & F.contains("holder", "word"))
+    longer = met.groupBy("word").agg(F.max("n").alias("longer")).unionByName(short.where(length < size))
+    kept = candidates.join(longer.withColumnRenamed("longer", "__longer"), "word", "left").where(F.col("__longer").isNull() | (F.col("__longer") < F.col("count")))
+    return kept.select(*[F.col(f"`{c}`") for c in candidates.columns])
+
+
 def drop_subsumed_by_pairs(candidates: DataFrame) -> DataFrame:
     """The same by comparing pairs: for small sets, and to check the other form."""
     a, b = candidates.alias("a"), candidates.select("word", "count").alias("b")

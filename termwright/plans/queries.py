@@ -728,6 +728,16 @@ def subsumption_vectors(spark, sf_dir):
     return ops.drop_subsumed(listed).select("word", F.col("count").alias("n"))
 
 
+@query(
+    "subsumption_by_grams",
+    f"WITH t AS (SELECT lower(w) AS w, CAST(sum(n) AS BIGINT) AS n FROM {counted_words_sql('documents')} GROUP BY 1 HAVING sum(n) >= 3) SELECT w AS word, n FROM t WHERE NOT EXISTS (SELECT 1 FROM t l WHERE length(l.w) > length(t.w) AND l.n >= t.n AND contains(l.w, t.w))",
+)
+def subsumption_by_grams(spark, sf_dir):
+    """Of the documents' words in any case, of any length, those that stand in no longer one as frequent."""
+    said = counted_words(spark, sf_dir, "documents").groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("count")).where("count >= 3")
+    return ops.drop_subsumed_by_grams(said).select("word", F.col("count").alias("n"))
+
+
 # ---- dictionaries ---------------------------------------------------------------------------------
 
 REVIEWED = [

@@ -15,9 +15,14 @@ from termwright.functions import cleaning, kana, tables, words
 from termwright.operators import candidates as ops
 from termwright.operators import tokens
 from termwright.plans import cli
-from termwright.plans.queries import A, B, C, D
 from termwright.sources import dictionaries, transcripts, writers
 
+# Sentences as tokens: surface, romaji and kind.
+A = [("字幕", "jimaku", "kanji"), ("ファイル", "", "katakana"), ("を", "", "hiragana"), ("作成", "sakusei", "kanji"), ("。", "", "other")]
+B = [("一", "ichi", "kanji"), ("次", "ji", "kanji"), ("資料", "shiryou", "kanji"), ("に", "", "hiragana")]
+C = [("次", "ji", "kanji"), ("セッション", "", "katakana"), ("に", "", "hiragana"), ("引き継ぐ", "hikitsugu", "kanji"), ("。", "", "other")]
+D = [("次", "tsugi", "kanji"), ("の", "", "hiragana"), ("資料", "shiryou", "kanji"), ("を", "", "hiragana"), ("見る", "miru", "kanji")]
+
 
 def column(spark, values, make):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
@@ -174,6 +179,11 @@ def test_subsumption_forms_agree(spark):
     want = {w for w, n in made.items() if not any(len(v) > len(w) and m >= n and w in v for v, m in made.items())}
     assert {r["word"] for r in ops.drop_subsumed(df).collect()} == want
     assert {r["word"] for r in ops.drop_subsumed_by_pairs(df).collect()} == want
+    for size in (1, 2, 3, 9):
+        assert {r["word"] for r in ops.drop_subsumed_by_grams(df, size).collect()} == want
+    long = spark.createDataFrame([("x" * 5000 + "y", 3), ("x" * 4000, 3), ("x" * 4000 + "z", 2), ("y", 4), ("xy", 1), ("x", 3)], "word string, count long")
+    assert {len(r["word"]) for r in ops.drop_subsumed_by_grams(long).collect()} == {5001, 4001, 1} and ops.drop_subsumed_by_grams(long).count() == 3
+    assert ops.drop_subsumed_by_grams(df.where("count > 99")).collect() == []
 
 
 def test_limit_is_checked(spark):
