@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
 
 
 def test_op9_equals_sql(spark):
