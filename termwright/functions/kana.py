@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .base import let, literal_map
+from .unicode import nfkc
 
 
 def is_katakana(s: Column) -> Column:
@@ -62,15 +63,9 @@ def hiragana_to_katakana(s: Column) -> Column:
     return F.translate(s, _HIRAGANA, _KATAKANA)
 
 
-def narrowed(s: Column) -> Column:
-    """Full-width ASCII and the wide blank as plain ASCII (what compatibility normalisation
-    does to text that can be romaji)."""
-    return F.translate(s, _WIDE + "　", _NARROW + " ")
-
-
 def normalise_reading(s: Column) -> Column:
-    """Narrow ASCII, no white space at the ends, hiragana."""
-    return katakana_to_hiragana(F.regexp_replace(narrowed(s), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    """Compatibility normal form (half-width kana in full, with their marks), no white space at the ends, hiragana."""
+    return katakana_to_hiragana(F.regexp_replace(nfkc(s), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def _segments() -> str:
@@ -85,7 +80,7 @@ def romaji_to_hiragana(romaji: Column) -> Column:
     One regular expression cuts the spelling into syllables; it has a reading if the pieces
     add up to it.
     """
-    spelling = F.replace(F.replace(F.lower(narrowed(romaji)), F.lit("’"), F.lit("'")), F.lit("-"), F.lit(""))
+    spelling = F.replace(F.replace(F.lower(nfkc(romaji)), F.lit("’"), F.lit("'")), F.lit("-"), F.lit(""))
     table = literal_map(tables.romaji_table() | {"'": ""})
 
     def read(s: Column) -> Column:

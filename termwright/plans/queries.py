@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cleaning, kana, tables, words
-from ..functions.base import quoted
+from ..functions import cleaning, kana, tables, unicode, words
+from ..functions.base import literal_map, quoted
 from ..operators import candidates as ops
 from ..operators import mining, segments, state, tokens
 from ..sources import dictionaries, store, transcripts, writers
@@ -377,6 +377,29 @@ def kana_convert(spark, sf_dir):
     return _all_words(spark, sf_dir).select(w.alias("word"), kana.katakana_to_hiragana(w).alias("hiragana"), kana.hiragana_to_katakana(w).alias("katakana"))
 
 
+#: Letters of the words of the documents, each as a spelling that isn't in compatibility normal form, and that form.
+COMPATIBLE = {
+    "a": ("ｶﾞ", "ガ"), "b": ("ﾊﾟ", "パ"), "c": ("㍻", "平成"), "d": ("①", "1"), "e": ("e\u0301", "é"), "f": ("ﬁ", "fi"), "g": ("\u1100\u1161", "가"),
+    "h": ("ａ", "a"), "i": ("Ⅳ", "IV"), "j": ("㌔", "キロ"), "k": ("ｦ", "ヲ"), "l": ("q\u0307\u0323", "q\u0323\u0307"), "m": ("\u1112\u1161\u11ab", "한"),
+    "n": ("か\u3099", "が"), "o": ("\u212b", "\u00c5"), "p": ("\uf900", "\u8c48"), "q": ("½", "1\u20442"), "r": ("ſ", "s"), "s": ("㈱", "(株)"),
+    "t": ("\u1e9b\u0323", "\u1e69"), "u": ("ｰ", "ー"), "v": ("²", "2"), "w": ("％", "%"), "x": ("㎏", "kg"), "y": ("…", "..."), "z": ("\U0002f800", "\u4e3d"),
+}
+_COMPATIBLE_SQL = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, (_, v) in COMPATIBLE.items()) + "}"
+
+
+@query(
+    "nfkc_words",
+    f"""SELECT w AS word, f AS folded, translate(f, {quoted(kana._KATAKANA)}, {quoted(kana._HIRAGANA)}) AS reading
+    FROM (SELECT w, array_to_string(list_transform(string_split(lower(w), ''), lambda c: coalesce({_COMPATIBLE_SQL}[c], c)), '') AS f
+    FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{RUN}')) AS w FROM documents))""",
+)
+def nfkc_words(spark, sf_dir):
+    table_of = literal_map({k: v for k, (v, _) in COMPATIBLE.items()})
+    spelled = F.array_join(F.transform(F.regexp_extract_all(F.lower("w"), F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table_of, c), c)), "")
+    found = words_of(table(spark, sf_dir, "documents")).distinct().withColumn("s", spelled)
+    return found.select(F.col("w").alias("word"), unicode.nfkc(F.col("s")).alias("folded"), kana.normalise_reading(F.col("s")).alias("reading"))
+
+
 ROMAJI = ["kyousou", "gakushuu", "keitarou", "shiryou", "gasshuku", "kinyuu", "hon", "sesshon", "okona~tsu", "hidzuke", "2rén", "", "matcha", "n'o", "kon'ya", "hi-ro", "ＴＯＫＹＯ", "x", "tti", "nn", "nna", "dji", "vaiorin", "wha", "l"]
 _SYLLABLES = values(list((tables.romaji_table() | {"'": ""}).items()), "k, v").replace("AS t(", "AS syllables(")
 

@@ -7,7 +7,7 @@ A line that isn't a JSON object is skipped. Of a repeated key the last value cou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning
@@ -103,11 +103,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files. One that is gone or can't be read gives what could be read of it; ``file_report`` names it."""
+    return spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").text(path)
+
+
 def _lines(spark: SparkSession, path: str, source: int) -> DataFrame:
     parent = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
     return (
-        spark.read.option("ignoreMissingFiles", "true")
-        .text(path)
+        _raw(spark, path)
         .select(
             F.make_valid_utf8("value").alias("value"),
             F.url_decode(F.replace(parent, F.lit("+"), F.lit("%2B"))).alias("slug"),
@@ -116,22 +120,72 @@ def _lines(spark: SparkSession, path: str, source: int) -> DataFrame:
     )
 
 
+def splits(spark: SparkSession, path: str) -> DataFrame:
+    """path, block (where a split starts), lines, bytes (of lines, without their ends), first (the
+    least running number) and before (lines of the file's earlier splits) of each split of the files.
+
+    One pass counts all lines; the sums over splits run on one row a split, within a file.
+    """
+    counted = (
+        _raw(spark, path)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.octet_length("value").cast("long").alias("size"))
+        .groupBy("path", "block")
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum("size").alias("bytes"), F.min("line").alias("first"))
+    )
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+
+
+def with_line_numbers(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``lines`` (see ``_lines``) with the line's number in its file, from 0, as ``utt.line`` and 0 as
+    ``utt.block``: the same however the files are split. ``found``: the files' ``splits``."""
+    known = found.select(F.struct("path", "block").alias("at"), (F.col("before") - F.col("first")).alias("shift"))
+    out = lines.withColumn("at", F.struct("utt.path", "utt.block")).join(known, "at")
+    line = F.struct(F.col("utt.source"), F.col("utt.path"), F.lit(0).cast("long").alias("block"), (F.col("utt.line") + F.col("shift")).alias("line"))
+    return out.withColumn("utt", line).drop("at", "shift")
+
+
+def file_report(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, lines, bytes_read and reason of every file that ``path`` (a glob) names and that isn't empty; reason is null
+    where all of it was read.
+
+    A file ends its lines with one byte or two, the last one perhaps with none, and may begin
+    with a byte order mark: what is missing beyond that was not read ("unreadable": none of
+    it was). Sizes come from the listing, no content is read for them.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    read = splits(spark, path).groupBy("path").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes_read"))
+    uri = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  # the two readers write local paths differently
+    plain = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    joined = listed.withColumn("at", uri(F.col("path"))).join(read.select(uri(plain(F.col("path"))).alias("at"), "lines", "bytes_read"), "at", "left")
+    joined = joined.withColumns({"lines": F.coalesce("lines", F.lit(0)), "bytes_read": F.coalesce("bytes_read", F.lit(0))})
+    missing = F.col("size") > F.col("bytes_read") + 2 * F.col("lines") + F.when(F.col("lines") > 0, 3).otherwise(0)
+    return joined.select("path", "size", "lines", "bytes_read", F.when(missing, F.when(F.col("lines") == 0, "unreadable").otherwise("read in part")).alias("reason"))
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     key = F.struct(*[F.col(f"utt.{c}").alias(c) for c in ("source", "path", "block", "line")], F.col("part"))
     return df.select(key.cast("struct<source:int,path:string,block:bigint,line:bigint,part:int>").alias("utt"), "project", "role", "text")
 
 
-def read_utterances(spark: SparkSession, root: str, include_assistant: bool = False, include_sidechain: bool = False, use_history: bool = True, japanese_only: bool = True) -> DataFrame:
+def read_utterances(spark: SparkSession, root: str, include_assistant: bool = False, include_sidechain: bool = False, use_history: bool = True, japanese_only: bool = True, line_numbers: bool = False) -> DataFrame:
     """All utterances below ``root``: projects/*/*.jsonl and, if wanted, history.jsonl.
 
-    A prompt that is in both counts twice. Missing files give no rows.
+    A prompt that is in both counts twice. Missing files give no rows; unreadable ones are left
+    out (see ``file_report``). ``utt`` orders utterances by file and place; with ``line_numbers`` it holds line numbers
+    that don't depend on how files are split, for one more pass over the lines.
     """
     session(spark)
+
+    def lines(path: str, source: int) -> DataFrame:
+        found = _lines(spark, path, source)
+        return with_line_numbers(found, splits(spark, path)) if line_numbers else found
+
     parts = []
     if _exists(spark, f"{root}/projects/*/*.jsonl"):
-        parts.append(parse_transcript(_lines(spark, f"{root}/projects/*/*.jsonl", 0), include_assistant, include_sidechain))
+        parts.append(parse_transcript(lines(f"{root}/projects/*/*.jsonl", 0), include_assistant, include_sidechain))
     if use_history and _exists(spark, f"{root}/history.jsonl"):
-        parts.append(parse_history(_lines(spark, f"{root}/history.jsonl", 1)))
+        parts.append(parse_history(lines(f"{root}/history.jsonl", 1)))
     if not parts:
         return spark.createDataFrame([], UTTERANCE)
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -5,13 +5,16 @@ import json
 import plistlib
 import random
 import sqlite3
+import unicodedata
 import uuid
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from termwright import functions
-from termwright.functions import cleaning, kana, tables, words
+from termwright.functions import cleaning, kana, tables, unicode, words
 from termwright.operators import candidates as ops
 from termwright.operators import tokens
 from termwright.plans import cli
@@ -71,6 +74,23 @@ def test_kana_and_acronyms(spark):
     assert column(spark, [" ＡＢカナ "], kana.normalise_reading) == ["ABかな"]
 
 
+def test_normal_form_of_all_code_points(spark):
+    """Equal to Python's own, for characters and for mixed strings of marks, kana and jamo."""
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x80, 0x30000) if unicodedata.combining(chr(c))]
+    pool = marks + [chr(c) for c in range(0x1100, 0x1200)] + list("aeiouAOカキハかは가각ｶﾊﾞﾟ①ﬁ…") + [chr(c) for c in range(0xA0, 0x250)]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x31000 or c % 997 == 0)]
+    texts = every + ["".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(5000)]
+    df = spark.createDataFrame(pa.table({"s": pa.array([*texts, None])})).repartition(8)
+    wrong = [r["s"] for r in df.select("s", unicode.nfkc(F.col("s")).alias("n")).toArrow().to_pylist() if r["n"] != (r["s"] and unicodedata.normalize("NFKC", r["s"]))]
+    assert not wrong, [w.encode("unicode_escape") for w in wrong[:5]]
+
+
+def test_half_width_readings(spark):
+    assert column(spark, [" ｶﾞｸｼｭｳ　", "ﾊﾟｰﾃｨ", "か\u3099く", None, ""], kana.normalise_reading) == ["がくしゅう", "ぱーてぃ", "がく", None, ""]
+    assert column(spark, ["ｋｙｏｕ", "ﬁ", "①"], kana.romaji_to_hiragana) == ["きょう", "ふぃ", None]
+
+
 def test_stable_ids(spark):
     pairs = [(f"w{i}", f"r{i * 7}") for i in range(300)]
     want = [str(uuid.UUID(bytes=hashlib.sha1(f"{r}\t{w}".encode()).digest()[:16], version=5)).upper() for w, r in pairs]
@@ -116,6 +136,46 @@ def test_transcripts(spark, root, tmp_path):
     assert transcripts.read_utterances(spark, str(tmp_path / "none")).isEmpty()
 
 
+@pytest.fixture
+def big_root(tmp_path):
+    for k in range(3):
+        folder = tmp_path / "projects" / f"-w %41+é{k}"
+        folder.mkdir(parents=True)
+        end = "\r\n" if k == 1 else "\n"
+        body = end.join(json.dumps({"type": "user", "message": {"content": f"字幕 {k} {i} " + "字" * (i % 40)}}, ensure_ascii=False) for i in range(2000))
+        (folder / "s.jsonl").write_bytes((body + (end if k == 2 else "")).encode())
+    (tmp_path / "projects" / "-empty").mkdir()
+    (tmp_path / "projects" / "-empty" / "e.jsonl").write_text("")
+    return str(tmp_path)
+
+
+def test_line_numbers_at_any_split_size(spark, big_root):
+    def keys(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = transcripts.read_utterances(spark, big_root, line_numbers=True).select("utt.*", "text").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        return {(r["path"], r["block"], r["line"], r["part"]): r["text"] for r in found}
+
+    whole = keys("128m")
+    assert len(whole) == 6000 and all(text.startswith(f"字幕 {path[-9]} {line} ") for (path, _, line, _), text in whole.items())
+    assert keys("20k") == whole == keys("7001")
+
+
+def test_unreadable_files_are_named_and_left_out(spark, big_root):
+    """A checksum that doesn't fit makes a file unreadable from the start."""
+    folder = Path(big_root) / "projects" / "-bad"
+    folder.mkdir()
+    (folder / "b.jsonl").write_text('{"type": "user", "message": {"content": "字幕"}}\n' * 50, encoding="utf-8")
+    (folder / ".b.jsonl.crc").write_bytes(b"crc\0\0\0\2\0" + b"\1" * 40)
+    said = transcripts.read_utterances(spark, big_root)
+    assert said.count() == 6000
+    report = {r["path"].rsplit("/", 2)[1]: r for r in transcripts.file_report(spark, f"{big_root}/projects/*/*.jsonl").collect()}
+    assert len(report) == 4 and {k: r["reason"] for k, r in report.items() if r["reason"]} == {"-bad": "unreadable"}
+    assert sum(r["lines"] for r in report.values()) == 6000
+
+
 def sentences(spark, *groups):
     out = []
     for project, sentence, times in groups:
