@@ -80,7 +80,7 @@ def romaji_to_hiragana(romaji: Column) -> Column:
     One regular expression cuts the spelling into syllables; it has a reading if the pieces
     add up to it.
     """
-    spelling = F.replace(F.replace(F.lower(nfkc(romaji)), F.lit("’"), F.lit("'")), F.lit("-"), F.lit(""))
+    spelling = F.replace(F.replace(F.lower(F.translate(romaji, _WIDE + "　", _NARROW + " ")), F.lit("’"), F.lit("'")), F.lit("-"), F.lit(""))
     table = literal_map(tables.romaji_table() | {"'": ""})
 
     def read(s: Column) -> Column:
