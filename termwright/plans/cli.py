@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.words import StopWords
 from ..operators import candidates as ops
 from ..operators import tokens
-from ..sources import dictionaries, transcripts, writers
+from ..sources import dictionaries, onepass, transcripts, writers
 
 VERSION = "0.1.0"
 
@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     for flag, default in (("--min-count", 3), ("--min-projects", 1), ("--min-length", 3), ("--max-length", 24), ("--max-span", 3), ("--limit", 500)):
         scan.add_argument(flag, type=int, default=default)
     scan.add_argument("--ascii-reading", choices=["lower", "letters", "both"], default="both")
+    scan.add_argument("--progress", action="store_true", help="tell how many tasks of the reading pass are done")
+    scan.add_argument("--report-unreadable", action="store_true", help="name transcripts that can't be read, for one more pass over the lines")
     scan.add_argument("--stop-words", help="text file of more stop words")
     scan.add_argument("--lexicon", help="Parquet table of surface, latin and cost")
     scan.add_argument("--replacements", help="text-replacement database, for --exclude-existing")
@@ -57,8 +59,22 @@ def parser() -> argparse.ArgumentParser:
 
 def scan(spark: SparkSession, args) -> int:
     said = transcripts.read_utterances(spark, args.root, args.include_assistant, args.include_sidechain, not args.no_history, not args.keep_ascii_lines)
-    m = transcripts.metrics(said).first()
+    kept = onepass.stored(spark, said, _tell if args.progress else None)
+    try:
+        return _mine(spark, args, kept.utterances, kept.metrics)
+    finally:
+        kept.drop()
+
+
+def _tell(done: int, tasks: int) -> None:
+    print(f"reading: {done:,} of {tasks:,} tasks", file=sys.stderr)
+
+
+def _mine(spark: SparkSession, args, said, m: dict[str, int]) -> int:
     print(f"read: {m['utterances']:,} utterances, {m['characters']:,} characters, {m['projects']:,} projects", file=sys.stderr)
+    if args.report_unreadable:
+        for f in transcripts.file_report(spark, f"{args.root}/projects/*/*.jsonl").where("reason IS NOT NULL").toLocalIterator():
+            print(f"warning: {f['path']}: {f['reason']}", file=sys.stderr)
     if not m["utterances"]:
         print(f"warning: no transcripts below {args.root}", file=sys.stderr)
     cfg = ops.ExtractConfig(

@@ -12,7 +12,7 @@ from ..functions import cleaning, kana, tables, unicode, words
 from ..functions.base import literal_map, quoted
 from ..operators import candidates as ops
 from ..operators import mining, segments, state, tokens
-from ..sources import dictionaries, store, transcripts, writers
+from ..sources import dictionaries, onepass, store, transcripts, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,6 +180,21 @@ def scan_metrics(spark, sf_dir):
     return transcripts.metrics(utterances(spark, sf_dir))
 
 
+@query(
+    "scan_once",
+    """WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS project, text FROM conversations WHERE role IN ('user', 'assistant')
+        UNION ALL SELECT source, text FROM documents),
+    t AS (SELECT count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS c, count(DISTINCT project) AS p FROM u)
+    SELECT project, count(*) AS utterances, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters,
+        any_value(t.n) AS all_utterances, any_value(t.c) AS all_characters, any_value(t.p) AS all_projects FROM u, t GROUP BY project""",
+)
+def scan_once(spark, sf_dir):
+    """The projects of the stored utterances, beside the counts that were observed while these were stored."""
+    kept = onepass.stored(spark, utterances(spark, sf_dir))
+    by_project = kept.utterances.groupBy("project").agg(F.count(F.lit(1)).alias("utterances"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("characters"))
+    return by_project.withColumns({f"all_{k}": F.lit(v).cast("long") for k, v in kept.metrics.items()})
+
+
 LINES = [
     (1, '{"type":"user","cwd":"/w/a","message":{"role":"user","content":"ホルン協奏曲を聴く"}}'),
     (2, '{"type":"user","message":{"content":[{"type":"tool_result","content":"x"},{"type":"text","text":"字幕ファイル"},{"type":"text","text":null},7]}}'),
