@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -120,13 +123,18 @@ def plain_text(page: str) -> str:
     return Page(page).text
 
 
+#: Where a response's head ends: at the first empty line.
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Header fields (with the status line first, under the name ``:status``) and payload of an
-    HTTP response; a block without a status line is all payload."""
+    HTTP response, whose head's lines end with CR LF or LF alone; a block without a status line is all payload."""
     if not block.startswith(b"HTTP/"):
         return [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("latin-1").split("\r\n")
+    end = _HEAD_END.search(block)
+    head, payload = (block, b"") if end is None else (block[: end.start()], block[end.end() :])
+    lines = head.decode("latin-1").replace("\r\n", "\n").split("\n")
     fields = [(":status", lines[0])]
     for line in lines[1:]:
         name, colon, value = line.partition(":")
@@ -137,44 +145,137 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, payload
 
 
-#: Names of charsets that pages use for another, wider one.
-WIDER = {"iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "x-gbk": "gb18030", "x-sjis": "cp932", "shift_jis": "cp932", "euc-kr": "cp949", "ks_c_5601-1987": "cp949"}
+#: The text encodings of the web by their names in Python, and those that a page means by the name of a narrower one.
+ENCODINGS = frozenset(
+    "utf-8 utf-16-be utf-16-le cp866 cp874 cp932 cp949 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 iso8859-2 iso8859-3 iso8859-4 iso8859-5 "
+    "iso8859-6 iso8859-7 iso8859-8 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 koi8-r koi8-u mac-roman mac-cyrillic gb18030 big5hkscs euc_jp iso2022_jp".split()
+)
+WIDER = {"ascii": "cp1252", "iso8859-1": "cp1252", "iso8859-9": "cp1254", "iso8859-11": "cp874", "gb2312": "gb18030", "gbk": "gb18030", "big5": "big5hkscs", "shift_jis": "cp932", "euc_kr": "cp949", "utf-16": "utf-16-le"}
 MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 _META = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 
 
+#: Types beside text/* that are text; the beginning of a chunk.
+TEXTUAL = frozenset("json javascript ecmascript x-javascript".split())
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
+LONGEST = 1 << 30  # bytes of a decompressed body: a cell of a table can't hold more than twice that
+
+
+@lru_cache(1024)
 def _charset(label: str) -> str | None:
-    """The codec of a label, or None if no text has it."""
+    """The codec of a label, or None if it names no text encoding of the web."""
     label = label.strip().lower()
-    label = WIDER.get(label, label)
-    try:
-        "".encode(label)  # no codec of that name, or none for text
-    except (LookupError, ValueError):
-        return None
-    return label
+    for name in (label, label.removeprefix("x-"), label.replace("windows-", "cp")):
+        try:
+            found = codecs.lookup(name).name
+        except (LookupError, ValueError):
+            continue
+        found = WIDER.get(found, found)
+        return found if found in ENCODINGS else None
+    return None
+
+
+def _values(fields: list[tuple[str, str]], name: str) -> list[str]:
+    return [value for key, value in fields if key.lower() == name]
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The chunks' data; what is no sequence of chunks (archives may have undone them, but kept the header) stays as it
+    is. Chunks that are cut off give what there is of them."""
+    out, at = [], 0
+    while (m := _CHUNK.match(data, at)) is not None:
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(data[m.end() : m.end() + size])
+        at = m.end() + size
+        if at >= len(data):
+            return b"".join(out)
+        at += 2 if data.startswith(b"\r\n", at) else data.startswith(b"\n", at)
+    return b"".join(out) if out else data
+
+
+def _inflated(data: bytes, wbits: int) -> bytes | None:
+    """The data of a compressed body, of all its members; what can be had of a damaged one; None if it is none from the start or more
+    than LONGEST bytes come out."""
+    out, size = [], 0
+    while data:
+        reader = zlib.decompressobj(wbits)
+        try:
+            while data and not reader.eof:
+                out.append(reader.decompress(data, 1 << 20))
+                size += len(out[-1])
+                if size > LONGEST:
+                    return None
+                data = reader.unconsumed_tail
+                if not data and not reader.eof and not out[-1]:
+                    break
+        except zlib.error:
+            break
+        data = reader.unused_data
+    return b"".join(out) if size else None
+
+
+def body_of(fields: list[tuple[str, str]], payload: bytes) -> bytes | None:
+    """The payload without its transfer and content encodings (chunked, gzip, deflate), or None where they can't be
+    undone. A body that doesn't begin as its header says counts as decoded before."""
+    if any("chunked" in v.lower() for v in _values(fields, "transfer-encoding")):
+        payload = _unchunked(payload)
+    named = [v.strip().lower() for value in _values(fields, "content-encoding") for v in value.split(",")]
+    for name in reversed([n for n in named if n not in ("", "identity")]):
+        if not payload:
+            break
+        if name in ("gzip", "x-gzip"):
+            if payload.startswith(b"\x1f\x8b"):
+                payload = _inflated(payload, 31)
+        elif name == "deflate":
+            framed = len(payload) > 1 and payload[0] & 15 == 8 and not (payload[0] << 8 | payload[1]) % 31
+            plain = _inflated(payload, 15 if framed else -15)
+            payload = payload if plain is None and not framed else plain
+        else:
+            payload = None
+        if payload is None:
+            return None
+    return payload
+
+
+def media_kind(fields: list[tuple[str, str]]) -> str:
+    """"markup", "text" or "other" by the content type; what has none, or no real one, is markup."""
+    kind = next((v.partition(";")[0].strip().lower() for v in _values(fields, "content-type")), "")
+    main, slash, sub = kind.partition("/")
+    if not slash or sub in ("html", "xml") or sub.endswith("+xml") and main in ("application", "text"):
+        return "markup"
+    return "text" if main == "text" or sub in TEXTUAL or sub.endswith("+json") else "other"
 
 
 def charset_of(fields: list[tuple[str, str]], payload: bytes = b"") -> str:
     """By the payload's byte-order mark, the HTTP header, the page's own declaration in its first
-    1,024 bytes, or UTF-8; names of no known charset are passed over."""
+    1,024 bytes (markup only), or UTF-8; names of no text encoding are passed over."""
     for mark, name in MARKS:
         if payload.startswith(mark):
             return name
     for name, value in fields:
         if name.lower() == "content-type" and (found := re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value, re.I)) and (known := _charset(found[1])):
             return known
-    if (found := _META.search(payload, 0, 1024)) and (known := _charset(found[1].decode("latin-1"))):
+    if media_kind(fields) == "markup" and (found := _META.search(payload, 0, 1024)) and (known := _charset(found[1].decode("latin-1"))):
         return "utf-8" if known.startswith("utf-16") else known
     return "utf-8"
 
 
 def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes) -> list[dict]:
-    """The metadata and the conversion record of one response record."""
+    """The metadata and the conversion record of one response record; the metadata record alone where the body is
+    no text (see ``media_kind``) or can't be decoded. Digests are those of the bytes as they stand in the block."""
     fields, payload = split_http(block)
-    page = Page(payload.decode(charset_of(fields, payload), "replace"))
+    kind, body = media_kind(fields), body_of(fields, payload)
+    readable = kind != "other" and body is not None
+    text = body.decode(charset_of(fields, body), "replace") if readable else ""
+    page = Page(text if kind == "markup" else "")
+    if kind == "text":
+        page.text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").strip()
     source_payload, source_block = sha1_digest(payload), sha1_digest(block)
     ids = {kind: derived_id(record_id, kind) for kind in ("metadata", "conversion")}
-    lines = [("source-record-id", record_id), ("source-payload-digest", source_payload), ("source-block-digest", source_block), ("conversion-record-id", ids["conversion"])]
+    lines = [("source-record-id", record_id), ("source-payload-digest", source_payload), ("source-block-digest", source_block)]
+    lines.append(("conversion-record-id", ids["conversion"]) if readable else ("conversion", "none: not text" if kind == "other" else "none: encoding"))
     lines += [(f"source-header-{name.lstrip(':').lower()}", value) for name, value in fields]
     if page.title:
         lines.append(("title", page.title))
@@ -185,13 +286,13 @@ def derivatives(record_id: str, uri: str | None, date: str | None, block: bytes)
     blocks = {"metadata": "".join(f"{name}: {' '.join(value.split())}\r\n" for name, value in lines), "conversion": page.text}
     types = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     out = []
-    for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
+    for kind, other in (("metadata", "conversion"), ("conversion", "metadata"))[: 1 + readable]:
         data = blocks[kind].encode("utf-8", "replace")
         record = {
             "warc_type": kind,
             "record_id": ids[kind],
             "refers_to": record_id,
-            "concurrent_to": ids[other],
+            "concurrent_to": ids[other] if readable else None,
             "target_uri": uri,
             "warc_date": date,
             "content_type": types[kind],
@@ -244,13 +345,15 @@ def http_response(page: str) -> bytes:
 
 
 def build_derivatives(responses: DataFrame) -> DataFrame:
-    """Two records per response: metadata and conversion, which name the response
+    """Two records per response (one where it has no text): metadata and conversion, which name the response
     (refers_to), each other (concurrent_to), its digests and its HTTP header fields;
     record_digest is that of the record as a WARC file holds it.
 
     ``responses``: record_id string, target_uri string, warc_date string, block binary (HTTP
     head and payload, or payload alone); other columns, of any name, are left aside. Ids of
-    derived records are made from the response's id, so a run can be repeated. A null id is
+    derived records are made from the response's id, so a run can be repeated. Chunked, gzip and deflate
+    bodies are decoded; plain text is kept as it is; a body that is no text by its type, or in another
+    encoding, has a metadata record only, whose concurrent_to is null. A null id is
     made from the URI and the block's digest; a null block counts as empty; a null URI or
     date stays null. Bytes that don't fit the charset are replaced. Repeated responses are
     each converted. An empty table gives no rows.
