@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, located, written, whole_row
 
 _LINE = re.compile("[^\r\n\x0b\x0c\x85\u2028\u2029]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?…]+(?=\s)|$)")
+_SENTENCE = re.compile(r"\S(?:[^.!?…\n]++|[.!?…]++(?!\s))*+[.!?…]*+")  # runs of marks are taken whole: time grows with the length
 _WORD = re.compile(r"\w+")
 
 #: Words of the shortest passage that is removed.
