@@ -1,8 +1,8 @@
 """Compatibility normalisation (NFKC) as a column expression.
 
 The tables come from the character database that Python brings, so one rule holds on all
-workers. Most texts hold no character that can change: one regular expression finds those
-and they stay as they are. The rest is decomposed by a table, marks are put in the order of
+workers. Most texts hold no character that can change: they are found by their characters' hashes
+and stay as they are. The rest is decomposed by tables, marks are put in the order of
 their classes where two of them meet, and pairs are composed from left to right.
 """
 
@@ -66,7 +66,23 @@ def _changing() -> str:
     """Characters beside which a text may differ from its normal form."""
     own = {c for c in map(chr, _every()) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFKC", c) != c}
     jamo = set(map(chr, [*range(VOWEL, VOWEL + VOWELS), *range(TAIL + 1, TAIL + TAILS)]))
-    return "[" + _class_body(own | set(_classes()) | {p[1] for p in _compositions()} | jamo) + "]"
+    return "".join(sorted(own | set(_classes()) | {p[1] for p in _compositions()} | jamo))
+
+
+#: First of the private characters that stand for numbers in ``_number``.
+PRIVATE = 0xF0000
+
+
+def _number(c: Column, of: dict[str, int]) -> Column:
+    """The number of a character, or null for a text that holds none of ``of``. Unlike a constant map, which is searched in
+    order, ``translate`` looks characters up by their hash."""
+    found = F.translate(c, "".join(of), "".join(chr(PRIVATE + k) for k in of.values()))
+    return let(found, lambda t: F.when(t != c, F.ascii(t) - PRIVATE))
+
+
+def _holds(s: Column, chars) -> Column:
+    """Whether a text holds one of many characters (a class of a regular expression is tried range by range)."""
+    return s.rlike(r"[^\x00-\x7f]") & (F.translate(s, "".join(chars), "") != s)
 
 
 def _table(entries: dict[str, str]) -> Column:
@@ -82,14 +98,14 @@ def _decomposed(s: Column) -> Column:
     one = {k: v for k, v in _decompositions().items() if len(v) == 1}
     more = {k: v for k, v in _decompositions().items() if len(v) > 1}
     single = F.translate(s, "".join(one), "".join(one.values()))
-    longer = f"[{_class_body(more)}]|[^{_class_body(more)}]+"
-    table = _table(more)
-    parts = F.transform(F.regexp_extract_all(single, F.lit(longer), F.lit(0)), lambda p: F.coalesce(F.try_element_at(table, p), p))
-    return F.when(single.rlike(f"[{_class_body(more)}]"), F.array_join(parts, "")).otherwise(single)
+    whole = F.split(F.lit("\u0001".join(more.values())), "\u0001")
+    number = {c: k for k, c in enumerate(more)}
+    longer = lambda t: F.array_join(F.transform(_chars(t), lambda c: F.coalesce(F.get(whole, _number(c, number)), c)), "")
+    return let(single, lambda t: F.when(_holds(t, more), longer(t)).otherwise(t))
 
 
 def _class_of(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(_table({k: str(v) for k, v in _classes().items()}), c).cast("int"), F.lit(0))
+    return F.coalesce(_number(c, _classes()), F.lit(0))
 
 
 def _ordered(s: Column) -> Column:
@@ -101,7 +117,8 @@ def _ordered(s: Column) -> Column:
         return F.when(p.rlike(f"^[{marks}]{{2}}"), F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")).otherwise(p)
 
     runs = F.regexp_extract_all(s, F.lit(f"[{marks}]+|[^{marks}]+"), F.lit(0))
-    return F.when(s.rlike(f"[{marks}]{{2}}"), F.array_join(F.transform(runs, run), "")).otherwise(s)
+    neighbours = F.contains(F.translate(s, "".join(_classes()), "\u0301" * len(_classes())), F.lit("\u0301\u0301"))
+    return F.when(neighbours, F.array_join(F.transform(runs, run), "")).otherwise(s)
 
 
 def _hangul(one: Column, other: Column) -> Column:
@@ -116,12 +133,13 @@ def _hangul(one: Column, other: Column) -> Column:
 def _composed(s: Column) -> Column:
     """Each mark (or second half of a pair) joined to the last starter where nothing of its class
     or a higher one stands between them."""
-    table = _table(_compositions())
+    table, second = _table(_compositions()), f"[{_class_body({p[1] for p in _compositions()})}]"
     begin = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("marks"), F.lit(-1).alias("last"))
 
     def step(acc: Column, c: Column) -> Column:
         def put(k: Column) -> Column:
-            pair = F.when((acc["starter"] != "") & (acc["last"] < k), F.coalesce(F.try_element_at(table, F.concat(acc["starter"], c)), _hangul(acc["starter"], c)))
+            known = F.when(c.rlike(second), F.try_element_at(table, F.concat(acc["starter"], c)))
+            pair = F.when((acc["starter"] != "") & (acc["last"] < k), F.coalesce(known, _hangul(acc["starter"], c)))
             next_ = lambda made: (
                 F.when(made.isNotNull(), F.struct(acc["done"].alias("done"), made.alias("starter"), acc["marks"].alias("marks"), acc["last"].alias("last")))
                 .when(k == 0, F.struct(F.concat(acc["done"], acc["starter"], acc["marks"]).alias("done"), c.alias("starter"), F.lit("").alias("marks"), F.lit(-1).alias("last")))
@@ -137,4 +155,4 @@ def _composed(s: Column) -> Column:
 def nfkc(s: Column) -> Column:
     """``s`` in compatibility normal form (NFKC). Null stays null, the empty text empty. Characters
     from U+30000 on have no decomposition and stay as they are."""
-    return F.when(s.rlike(_changing()), let(_ordered(_decomposed(s)), lambda d: F.when(d == "", d).otherwise(_composed(d)))).otherwise(s)
+    return F.when(_holds(s, _changing()), let(let(_decomposed(s), _ordered), lambda d: F.when(d == "", d).otherwise(_composed(d)))).otherwise(s)
