@@ -1,8 +1,9 @@
 """Words of texts without blanks: the cheapest path through a lexicon.
 
-Only the distinct runs of word characters are cut. Their lattice is made by joins: each place of a run
-meets the lengths of the entries that begin with its character, and what it spells meets the entries.
-So the lexicon may have any size and is in no task whole. What the lexicon doesn't cover is cut by script.
+A lexicon of a checked size goes to the texts, which are cut where they stand: nothing of them is moved or written.
+Of a larger one no task holds more than a part: only the distinct runs of word characters are cut, and their lattice
+is made by joins. Each place of a run meets the lengths of the entries that begin with its character, and what it
+spells meets the entries. What the lexicon doesn't cover is cut by script.
 """
 
 from __future__ import annotations
@@ -12,11 +13,17 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.base import let
+from ..sources.store import Batches, shared_folder
 from .joins import join_uneven
 
 RUN = r"[\p{L}\p{M}\p{N}_]+"
 #: Places of a run that are handled in one row: what a row repeats of a long run is bounded.
 WINDOW = 256
+#: Entries of a lexicon, of 16 characters each on average, that every Python worker may hold: some 200 MB.
+MOST_HELD = 1_000_000
+#: Texts whose words are put into columns together, and cut runs that a worker remembers.
+TOGETHER, REMEMBERED = 256, 50_000
 
 
 def entries(lexicon: DataFrame) -> DataFrame:
@@ -44,32 +51,39 @@ def lattice(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
 _PATH = "array<struct<start:int,end:int,latin:string>>"
 
 
+def _path(n: int, sizes, begin, dearest: float) -> list[tuple[int, int, str]]:
+    """start, end and latin of the words of a run of n characters: the path of least cost, then of fewest words, then with
+    the longest last word. Beside the entries (``begin``: end, cost and latin of those at a place) there are the rest of a
+    stretch of one script (``sizes``), at ``dearest``, and single characters, at twice that."""
+    best, back = [(0.0, 0)] + [(float("inf"), 0)] * n, [(0, "")] * (n + 1)
+    at = 0
+    for size in sizes:
+        stop = at + size
+        while at < stop:
+            cost, words = best[at]
+            for end, more, latin in (*begin(at), (stop, dearest, ""), (at + 1, 2 * dearest, "")):
+                new = (cost + more, words + 1)
+                if new < best[end]:  # earlier starts come first, so equal paths keep the longest last word
+                    best[end], back[end] = new, (at, latin)
+            at += 1
+    out, end = [], n
+    while end:
+        start, latin = back[end]
+        out.append((start, end, latin))
+        end = start
+    return out[::-1]
+
+
 def _cheapest(dearest: float) -> Column:
-    """The path of least cost, then of fewest words, then with the longest last word. Beside the entries
-    there are the rest of a stretch of one script, at ``dearest``, and single characters, at twice that."""
+    """The cheapest path (see ``_path``) of runs whose lattice is given."""
     import pandas as pd
 
     def path(sizes, edges) -> list[dict]:
-        n, begin = sum(sizes), {}
+        begin = {}
         for e in edges if edges is not None else ():
             begin.setdefault(e["start"], []).append((e["end"], e["cost"], e["latin"]))
-        best, back = [(0.0, 0)] + [(float("inf"), 0)] * n, [(0, "")] * (n + 1)
-        at = 0
-        for size in sizes:
-            stop = at + size
-            while at < stop:
-                cost, words = best[at]
-                for end, more, latin in (*begin.get(at, ()), (stop, dearest, ""), (at + 1, 2 * dearest, "")):
-                    new = (cost + more, words + 1)
-                    if new < best[end]:  # earlier starts come first, so equal paths keep the longest last word
-                        best[end], back[end] = new, (at, latin)
-                at += 1
-        out, end = [], n
-        while end:
-            start, latin = back[end]
-            out.append({"start": start, "end": end, "latin": latin})
-            end = start
-        return out[::-1]
+        found = _path(sum(sizes), sizes, lambda at: begin.get(at, ()), dearest)
+        return [{"start": start, "end": end, "latin": latin} for start, end, latin in found]
 
     def paths(batches):
         for sizes, edges in batches:
@@ -79,9 +93,66 @@ def _cheapest(dearest: float) -> Column:
     return F.pandas_udf(paths, _PATH)
 
 
-def cut_runs(runs: DataFrame, lexicon: DataFrame, stretches: str) -> DataFrame:
-    """key and words (array of surface and latin) of distinct runs (key, run). ``stretches``: the pattern that cuts a run by script."""
-    known = entries(lexicon)
+_WORDS = "array<struct<surface:string,latin:string>>"
+
+
+def _cut_in_place(known: DataFrame) -> Column:
+    """A function that cuts texts, given as pieces and the sizes of their stretches (null for what isn't a run), by ``known``
+    entries, which are sent to the workers once."""
+    import pyarrow as pa
+
+    table = known.toArrow()
+    pairs, held, heads = {}, {}, {}
+    for surface, *pair in zip(*(table.column(c).to_pylist() for c in ("surface", "cost", "latin")), strict=True):
+        held[surface] = pairs.setdefault(tuple(pair), tuple(pair))
+        heads.setdefault(surface[0], set()).add(len(surface))
+    dearest = max((cost for cost, _ in pairs), default=0.0) + 1.0
+    shared = known.sparkSession.sparkContext.broadcast((held, {c: sorted(k) for c, k in heads.items()}))
+    kind = pa.struct([("surface", pa.string()), ("latin", pa.string())])
+
+    def cut(run: str, sizes: list[int], entries: dict, lengths: dict) -> list[tuple[str, str]]:
+        n, get = len(run), entries.get
+
+        def begin(at: int) -> list[tuple[int, float, str]]:
+            found = []
+            for k in lengths.get(run[at], ()):
+                if at + k > n:
+                    break
+                e = get(run[at : at + k])
+                if e is not None:
+                    found.append((at + k, *e))
+            return found
+
+        return [(run[start:end], latin) for start, end, latin in _path(n, sizes, begin, dearest)]
+
+    def words(batches):
+        (entries, lengths), kept = shared.value, {}
+        for batch in batches:
+            out, pieces, sizes = [pa.array([], pa.list_(kind))], batch.field("pieces"), batch.field("sizes")
+            for first in range(0, len(batch), TOGETHER):
+                offsets, listed = [0], []
+                for row in range(first, min(first + TOGETHER, len(batch))):
+                    for piece, size in zip(pieces[row].as_py(), sizes[row].as_py(), strict=True):
+                        if size is None:
+                            listed.append((piece, ""))
+                            continue
+                        if piece not in kept:
+                            if len(kept) >= REMEMBERED:
+                                kept.clear()
+                            kept[piece] = cut(piece, size, entries, lengths)
+                        listed += kept[piece]
+                    offsets.append(len(listed))
+                columns = [pa.array([w[k] for w in listed], pa.string()) for k in (0, 1)]
+                out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind))))
+            yield pa.concat_arrays(out)
+
+    words.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(words, _WORDS)
+
+
+def cut_runs(runs: DataFrame, known: DataFrame, stretches: str) -> DataFrame:
+    """key and words (array of surface and latin) of distinct runs (key, run), by joins with ``known`` (see ``entries``).
+    ``stretches``: the pattern that cuts a run by script."""
     dearest = known.agg(F.coalesce(F.max("cost"), F.lit(0.0))).first()[0] + 1.0
     edges = lattice(runs, known).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "cost", "latin"))).alias("edges"))
     sizes = F.transform(F.regexp_extract_all(F.col("run"), F.lit(stretches), F.lit(0)), lambda p: F.length(p))
@@ -97,17 +168,27 @@ def segmented(texts: DataFrame, lexicon: DataFrame, id_column: str, text_column:
     """``texts`` with the array column ``words`` (surface, latin): all of each text in its order, what stands between
     runs being one word each. ``id_column`` tells the rows apart; the others may be anything.
 
-    A null or empty text has no words. Runs are cut once, however often they stand."""
+    A null or empty text has no words. A lexicon of more than MOST_HELD entries is joined: then runs are cut once,
+    however often they stand."""
     piece = F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(f"{RUN}|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+"), F.lit(0))
+    batches = Batches(texts.sparkSession, shared_folder(texts.sparkSession))
+    known = batches.write("lexicon", "rows", entries(lexicon))  # read several times
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("surface") + F.length("latin")), F.lit(0)).alias("characters")).first()
+    if size["n"] <= MOST_HELD and size["characters"] <= 16 * MOST_HELD:
+        sizes = lambda p: F.when(p.rlike(f"^{RUN}"), F.transform(F.regexp_extract_all(p, F.lit(stretches), F.lit(0)), lambda t: F.length(t)))
+        given = let(piece, lambda ps: F.struct(ps.alias("pieces"), F.transform(ps, sizes).alias("sizes")))
+        cut = _cut_in_place(known)(given)
+        batches.drop("lexicon")
+        return texts.select(*[F.col(f"`{c}`") for c in texts.columns], cut.alias("words"))
     pieces = texts.select(F.col(id_column).alias("id"), F.posexplode(piece).alias("at", "piece"))
     runs = pieces.where(F.col("piece").rlike(f"^{RUN}$")).select(F.md5(F.col("piece").cast("binary")).alias("key"), F.col("piece").alias("run"))
-    cut = cut_runs(runs.groupBy("key").agg(F.first("run").alias("run")), lexicon, stretches)
+    cut = cut_runs(runs.groupBy("key").agg(F.first("run").alias("run")), known, stretches)
     keyed = pieces.select("id", "at", F.when(F.col("piece").rlike(f"^{RUN}$"), F.md5(F.col("piece").cast("binary"))).alias("key"), F.when(~F.col("piece").rlike(f"^{RUN}$"), F.col("piece")).alias("gap"))
     between = F.array(F.struct(F.col("gap").alias("surface"), F.lit("").alias("latin")))
     gaps = keyed.where(F.col("key").isNull()).select("id", "at", between.alias("words"))
     met = join_uneven(keyed.where(F.col("key").isNotNull()).select("id", "at", "key"), cut, "key", "inner").select("id", "at", "words")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])
     whole = met.unionByName(gaps).groupBy("id").agg(F.flatten(listed).alias("words"))
-    none = F.array().cast("array<struct<surface:string,latin:string>>")
+    none = F.array().cast(_WORDS)
     joined = texts.withColumn("id", F.col(id_column)).join(whole, "id", "left")
     return joined.select(*[F.col(f"`{c}`") for c in texts.columns], F.coalesce("words", none).alias("words"))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, kana, tables, unicode, words
-from ..functions.base import literal_map, quoted
+from ..functions.base import let, literal_map, quoted
 from ..operators import candidates as ops
 from ..operators import mining, segments, state, tokens
+from ..operators.joins import spread
 from ..sources import dictionaries, onepass, store, transcripts, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts take long: over all cores, however few row groups its files have."""
+    return spread(table(spark, sf_dir, name))
+
+
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 
@@ -52,12 +58,12 @@ def utterances(spark: SparkSession, sf_dir: str, role: str | None = None) -> Dat
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    said = text_table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
     return said.select(F.struct(F.col("conv_id").alias("a"), F.col("turn").alias("b")).alias("utt"), F.col("conv_id").cast("string").alias("project"), "role", "text")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.struct(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("utt"), F.col("source").alias("project"), F.lit("user").alias("role"), "text")
+    return text_table(spark, sf_dir, "documents").select(F.struct(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("utt"), F.col("source").alias("project"), F.lit("user").alias("role"), "text")
 
 
 # ---- table texts in other scripts ----------------------------------------------------------------
@@ -83,7 +89,7 @@ def words_of(df: DataFrame) -> DataFrame:
 
 def counted_words(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """w and n of a table's texts."""
-    return words_of(table(spark, sf_dir, name)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return words_of(text_table(spark, sf_dir, name)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def counted_words_sql(name: str) -> str:
@@ -287,9 +293,13 @@ _TEXTS = f"(SELECT CAST(n AS BIGINT) AS n, s FROM {values(TEXTS, 'n, s')} UNION
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    part = {"{text}": text, "{ja}": japanese(text), "{lang}": F.coalesce("lang", F.lit(""))}
-    prompt = F.concat(*[part[p] if p in part else F.lit(p) for p in _PROMPT])
-    return rows(spark, TEXTS, "n long, s string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), prompt.alias("s")))
+
+    def prompt(ja: Column) -> Column:  # the Japanese text stands there thrice, and is made once
+        part = {"{text}": text, "{ja}": ja, "{lang}": F.coalesce("lang", F.lit(""))}
+        return F.concat(*[part[p] if p in part else F.lit(p) for p in _PROMPT])
+
+    docs = text_table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), let(japanese(text), prompt).alias("s"))
+    return rows(spark, TEXTS, "n long, s string").unionByName(docs)
 
 
 def _nested(expression: str, steps: list[tuple[str, str]], by: str = " ") -> str:
@@ -368,7 +378,7 @@ _KIND = f"""CASE WHEN regexp_full_match(w, '[{tables.KATAKANA}]+') THEN 'katakan
 def _all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those above, the words of the documents, and these in Japanese glyphs."""
     listed = rows(spark, [(w,) for w in WORDS], "w string")
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     runs = words_of(docs).distinct()
     return listed.unionByName(runs).unionByName(words_of(docs.select(japanese("text").alias("text"))).distinct()).distinct()
 
@@ -411,7 +421,7 @@ _COMPATIBLE_SQL = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, (_, v)
 def nfkc_words(spark, sf_dir):
     table_of = literal_map({k: v for k, (v, _) in COMPATIBLE.items()})
     spelled = F.array_join(F.transform(F.regexp_extract_all(F.lower("w"), F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table_of, c), c)), "")
-    found = words_of(table(spark, sf_dir, "documents")).distinct().withColumn("s", spelled)
+    found = words_of(text_table(spark, sf_dir, "documents")).distinct().withColumn("s", spelled)
     return found.select(F.col("w").alias("word"), unicode.nfkc(F.col("s")).alias("folded"), kana.normalise_reading(F.col("s")).alias("reading"))
 
 
@@ -604,7 +614,7 @@ _STRETCH_SQL = rf"[{tables.KATAKANA}]+|[{tables.HIRAGANA}]+|[{tables.KANJI}]+|[^
 )
 def lexicon_segments(spark, sf_dir):
     """The words of all documents, pairs of which were run together."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     joined = docs.select("doc_id", F.regexp_replace(F.lower("text"), _RUN_TOGETHER, "$1$2").alias("text"))
     cut = segments.segmented(joined, lexicon_of(docs), "doc_id", "text", tokens.PIECES)
     words_only = F.filter(F.transform("words", lambda w: w["surface"]), lambda w: w.rlike(RUN))
@@ -618,7 +628,7 @@ def lexicon_segments(spark, sf_dir):
 def term_counts_merged(spark, sf_dir):
     """Short documents first, then the others, then the short ones once more, which changes nothing: the same as
     all at once."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     kept = state.TermCounts(spark, store.shared_folder(spark))
     short = F.coalesce(F.col("n_chars") < 700, F.lit(False))
     for key, some in (("short", docs.where(short)), ("long", docs.where(~short)), ("short", docs.where(short))):
@@ -644,7 +654,7 @@ def _terms_sql(half: str) -> str:
 )
 def dictionary_merged(spark, sf_dir):
     """The terms of some sources as the dictionary, those of the others as what is offered, twice."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     first = F.coalesce(F.md5(F.col("source").cast("binary")) < "8", F.lit(False))
     kept = state.Dictionary(spark, store.shared_folder(spark))
     for key, some in (("old", docs.where(first)), ("new", docs.where(~first)), ("new", docs.where(~first)), ("again", docs.where(~first))):
@@ -670,7 +680,7 @@ def _chunks_of(docs: DataFrame) -> DataFrame:
     SELECT array_to_string(chunk[i:i + size - 1], ' ') AS span, size, count(*) AS n, count(DISTINCT project) AS projects FROM t GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT project) >= 2""",
 )
 def frequent_spans(spark, sf_dir):
-    found = mining.frequent_spans(_chunks_of(table(spark, sf_dir, "documents")), 3, min_count=5, min_projects=2)
+    found = mining.frequent_spans(_chunks_of(text_table(spark, sf_dir, "documents")), 3, min_count=5, min_projects=2)
     return found.select("span", "size", F.col("count").alias("n"), "projects")
 
 

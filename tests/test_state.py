@@ -171,3 +171,35 @@ def test_romaji_as_a_sql_function(spark):
     df = spark.createDataFrame([(w,) for w in words], "s string")
     for r in df.select("s", F.expr("romaji_to_hiragana(s)").alias("sql"), kana.romaji_to_hiragana(F.col("s")).alias("column")).collect():
         assert r["sql"] == r["column"], r
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_texts_meet_a_small_lexicon_where_they_stand(spark, monkeypatch, most):
+    """No shuffle but the lexicon's own; one that is too large to be held is joined, with the same words."""
+    monkeypatch.setattr(segments, "MOST_HELD", most)
+    rng = random.Random(11)
+    lexicon = {"".join(rng.choice("abcd字") for _ in range(rng.randint(1, 4))): (float(rng.randint(1, 4)), "") for _ in range(50)}
+    texts = ["".join(rng.choice("abcd字 .") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    lex = spark.createDataFrame([(s, "", c) for s, (c, _) in lexicon.items()], "surface string, latin string, cost double")
+    cut = segments.segmented(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), lex, "n", "text", tokens.PIECES)
+    assert [(w["surface"], w["latin"]) for r in sorted(cut.collect()) for w in r["words"]] == [w for t in texts for w in plain_words(t, lexicon, STRETCHES)]
+    assert ("Exchange" in cut._jdf.queryExecution().executedPlan().toString()) == (most == 3)
+
+
+def test_rows_of_one_part_are_dealt_over_the_cores(spark):
+    one, four, few = spark.range(0, 3000, 1, 1), spark.range(0, 3000, 1, 4), spark.range(0, 30, 1, 1)
+    dealt = joins.spread(one)
+    parts = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 3000 and len(parts) > 4 and max(r["count"] for r in parts) < 1000
+    assert dealt.distinct().count() == 3000
+    assert joins.spread(four) is four and joins.spread(few) is few and joins.spread(one.where("id < 0")).count() == 0
+
+
+def test_normal_form_is_looked_up_by_hash(spark):
+    """No table of all marks or decompositions is searched in order: only pairs of a starter and a mark that joins one are."""
+    from termwright.functions import unicode
+
+    df = spark.createDataFrame([("が㍻ﬁé",)], "s string")
+    found = df.select(unicode.nfkc(F.col("s")).alias("n"))
+    assert found.first()["n"] == "が平成fié"
+    assert found._jdf.queryExecution().logical().toString().count("str_to_map") <= 1
