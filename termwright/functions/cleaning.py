@@ -51,10 +51,9 @@ def keep_lines(s: Column, japanese_only: bool = True) -> Column:
     """Without log lines and, if wanted, without lines that hold no Japanese; the rest is
     joined by line feeds."""
     lines = F.split(s, LINE_BREAK, -1)
+    if japanese_only:  # the shorter test first
+        return F.array_join(F.filter(lines, lambda x: x.rlike(f"[{tables.LINE_JAPANESE}]") & ~x.rlike(NOISE)), "\n")
     kept = F.filter(lines, lambda x: ~x.rlike(NOISE))
-    if japanese_only:
-        kept = F.filter(kept, lambda x: x.rlike(f"[{tables.LINE_JAPANESE}]"))
-        return F.array_join(kept, "\n")
     # A break at the very end opens no further line.
     ended = F.when(F.element_at(lines, -1) == "", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
     return F.array_join(ended, "\n")
