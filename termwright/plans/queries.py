@@ -680,7 +680,9 @@ def _chunks_of(docs: DataFrame) -> DataFrame:
     SELECT array_to_string(chunk[i:i + size - 1], ' ') AS span, size, count(*) AS n, count(DISTINCT project) AS projects FROM t GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT project) >= 2""",
 )
 def frequent_spans(spark, sf_dir):
-    found = mining.frequent_spans(_chunks_of(text_table(spark, sf_dir, "documents")), 3, min_count=5, min_projects=2)
+    docs = text_table(spark, sf_dir, "documents")
+    projects = table(spark, sf_dir, "documents").select(F.col("source").alias("project"))
+    found = mining.frequent_spans(_chunks_of(docs), 3, min_count=5, min_projects=2, projects=projects)
     return found.select("span", "size", F.col("count").alias("n"), "projects")
 
 

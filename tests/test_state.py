@@ -203,3 +203,54 @@ def test_normal_form_is_looked_up_by_hash(spark):
     found = df.select(unicode.nfkc(F.col("s")).alias("n"))
     assert found.first()["n"] == "が平成fié"
     assert found._jdf.queryExecution().logical().toString().count("str_to_map") <= 1
+
+
+def _spans_by_loop(chunks, most, least, projects_least=1):
+    counts, projects = Counter(), {}
+    for p, c in chunks:
+        for size in range(1, most + 1):
+            for i in range(len(c) - size + 1):
+                span = " ".join(c[i : i + size])
+                counts[span, size] += 1
+                projects.setdefault((span, size), set()).add(p)
+    return {(s, k, n, len(projects[s, k])) for (s, k), n in counts.items() if n >= least and len(projects[s, k]) >= projects_least}
+
+
+@pytest.mark.parametrize("many", [3, 64, 65, 200])
+def test_spans_of_few_and_many_projects(spark, many):
+    """A bit a project, up to 64 of them (the last is the sign), or one more grouping: the same counts."""
+    rng = random.Random(9)
+    chunks = [(f"p{n % many}", [rng.choice("abcdef") for _ in range(rng.randint(1, 6))]) for n in range(400)]
+    df = spark.createDataFrame(chunks, "project string, chunk array<string>")
+    assert {tuple(r) for r in mining.frequent_spans(df, 3, 3, 2).collect()} == _spans_by_loop(chunks, 3, 3, 2)
+    wider = spark.createDataFrame([(p,) for p, _ in chunks] + [("elsewhere",)], "project string")
+    assert {tuple(r) for r in mining.frequent_spans(df, 3, 3, 2, projects=wider).collect()} == _spans_by_loop(chunks, 3, 3, 2)
+
+
+def test_span_passes_shuffle_counts_once(spark, monkeypatch):
+    """With few projects a level is grouped by one shuffle, and what it makes isn't made again for the next level."""
+    made = []
+    write = Batches.write
+    monkeypatch.setattr(Batches, "write", lambda self, name, table, df: made.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(self, name, table, df))
+    chunks = spark.createDataFrame([("p", ["a", "b", "c"])] * 9, "project string, chunk array<string>")
+    found = mining.frequent_spans(chunks, 3, 3)
+    assert [n for n, _ in made] == ["tokens", "level-1", "level-2", "level-3"] and made[0][1].count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(s, s.count(" ") + 1, 9, 1) for s in ("a", "b", "c", "a b", "b c", "a b c")}
+
+
+def test_spans_where_keys_collide(spark, monkeypatch):
+    """A seed under which two tokens have one key is not used."""
+    narrow = mining.token_key
+    monkeypatch.setattr(mining, "token_key", lambda t, seed: F.pmod(narrow(t, seed), F.lit(2)) if seed < 2 else narrow(t, seed))
+    chunks = [("p", ["a", "b", "c", "a"])] * 5 + [("q", ["d", "c", "b"])] * 4
+    df = spark.createDataFrame(chunks, "project string, chunk array<string>")
+    assert mining.injective_seed(df.select(F.explode("chunk").alias("span")).distinct()) == 2
+    assert {tuple(r) for r in mining.frequent_spans(df, 3, 3).collect()} == _spans_by_loop(chunks, 3, 3)
+
+
+def test_long_chunks_are_not_copied_for_each_start(spark):
+    """A chunk of 60,000 tokens: a row for each start that held it would make some 20 GB."""
+    words = [f"w{n % 7}" for n in range(60_000)]
+    found = mining.frequent_spans(spark.createDataFrame([("p", words)], "project string, chunk array<string>"), 2, 3)
+    assert {tuple(r) for r in found.collect()} == _spans_by_loop([("p", words)], 2, 3)
