@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import Batches, shared_folder
 
-#: Bits of the map of frequent spans that goes to all tasks: 2^20 rows of 64 bits at most, whatever the number of spans.
+#: Bits of a map of hashes that goes to all tasks: 2^20 rows of 64 bits at most, whatever the number of hashes.
 MAP_BITS = 26
 #: So many projects are a bit each of one number; more are counted by one more grouping.
 MASKED = 64
@@ -28,17 +28,17 @@ def injective_seed(tokens: DataFrame) -> int:
     return seed
 
 
-def _bit_map(spans: DataFrame) -> DataFrame:
+def bit_map(spans: DataFrame) -> DataFrame:
     """chunk and bits: the hashes of ``spans`` (column h), folded."""
     place = F.pmod("h", F.lit(1 << MAP_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     return spans.groupBy(F.shiftright(place, 6).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
 
 
-def _in_map(rows: DataFrame, bit_map: DataFrame, hashed: Column) -> DataFrame:
+def in_map(rows: DataFrame, bits: DataFrame, hashed: Column) -> DataFrame:
     """The rows whose hash is in the map; a few others may pass."""
     place = F.pmod(hashed, F.lit(1 << MAP_BITS))
-    near = rows.withColumn("chunk", F.shiftright(place, 6)).join(F.broadcast(bit_map), "chunk")
+    near = rows.withColumn("chunk", F.shiftright(place, 6)).join(F.broadcast(bits), "chunk")
     return near.where(F.call_function("getbit", "bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("chunk", "bits")
 
 
@@ -66,8 +66,8 @@ def spans_of(chunks: DataFrame, size: int, seed: int = 0) -> DataFrame:
 def _likely(rows: DataFrame, size: int, frequent: DataFrame) -> DataFrame:
     """The rows whose first and whose last size - 1 tokens are probably spans of ``frequent`` (keys k1 to k<size - 1>). They are found
     where they stand, by a map of bounded size, so that rare spans are not shuffled."""
-    bit_map = _bit_map(frequent.select(F.xxhash64(*_keys(size - 1)).alias("h")))
-    return _in_map(_in_map(rows, bit_map, F.xxhash64(*_keys(size - 1))), bit_map, F.xxhash64(*_keys(size - 1, 2)))
+    bits = bit_map(frequent.select(F.xxhash64(*_keys(size - 1)).alias("h")))
+    return in_map(in_map(rows, bits, F.xxhash64(*_keys(size - 1))), bits, F.xxhash64(*_keys(size - 1, 2)))
 
 
 def candidate_spans(chunks: DataFrame, size: int, frequent: DataFrame | None) -> DataFrame:

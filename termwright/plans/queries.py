@@ -617,8 +617,9 @@ def lexicon_segments(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents")
     joined = docs.select("doc_id", F.regexp_replace(F.lower("text"), _RUN_TOGETHER, "$1$2").alias("text"))
     cut = segments.segmented(joined, lexicon_of(docs), "doc_id", "text", tokens.PIECES)
-    words_only = F.filter(F.transform("words", lambda w: w["surface"]), lambda w: w.rlike(RUN))
-    return cut.select("doc_id", F.size(words_only).cast("long").alias("n_words"), F.md5(F.array_join(words_only, "|").cast("binary")).alias("words_md5"))
+    words_only = F.filter("words.surface", lambda w: w.rlike(RUN))
+    found = let(words_only, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.md5(F.array_join(w, "|").cast("binary")).alias("words_md5")))
+    return cut.select("doc_id", found.alias("found")).select("doc_id", "found.*")
 
 
 # ---- stored state and spans -----------------------------------------------------------------------

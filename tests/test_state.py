@@ -254,3 +254,33 @@ def test_long_chunks_are_not_copied_for_each_start(spark):
     words = [f"w{n % 7}" for n in range(60_000)]
     found = mining.frequent_spans(spark.createDataFrame([("p", words)], "project string, chunk array<string>"), 2, 3)
     assert {tuple(r) for r in found.collect()} == _spans_by_loop([("p", words)], 2, 3)
+
+
+@pytest.mark.parametrize("changed", [{}, {"_STEP": 1}, {"AT_ONCE": 50, "TOGETHER": 7}, {"LONG": 3}, {"LONG": 10_000}])
+def test_runs_cut_together_equal_the_cheapest_path(monkeypatch, changed):
+    """Whatever is cut together, and if entries share their hashes (their characters' sum)."""
+    import pyarrow as pa
+    import regex
+
+    for name, value in changed.items():
+        monkeypatch.setattr(segments, name, value)
+    rng, kind = random.Random(5), pa.struct([("surface", pa.string()), ("latin", pa.string())])
+    letters = "abc字幕カを𠮷é"
+    lexicon = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): (rng.choice([1.0, 2.0, 0.1, 0.7, -0.5]), rng.choice(["", "x", "y"])) for _ in range(250)} | {"abcabcabcab": (0.2, "long")}
+    texts = ["", " ", "abcab" * 40 + "を字"] + ["".join(rng.choice(letters + " .。") for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    found = [regex.findall(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+", t) for t in texts]
+    sizes = [[[len(m) for m in regex.findall(STRETCHES, p)] if regex.match(r"[\p{L}\p{M}\p{N}_]", p) else None for p in ps] for ps in found]
+    held = segments.Held(pa.array(list(lexicon)), [c for c, _ in lexicon.values()], [x for _, x in lexicon.values()])
+    cut = segments._cut(held, pa.array([["z"], *found], pa.list_(pa.string()))[1:], pa.array([[None], *sizes], pa.list_(pa.list_(pa.int32())))[1:], kind)
+    for text, words in zip(texts, cut.to_pylist(), strict=True):
+        assert [(w["surface"], w["latin"]) for w in words] == plain_words(text, lexicon, STRETCHES), text
+
+
+def test_a_lexicon_of_over_a_million_entries_is_held(spark):
+    """It was joined before, which wrote a hundred times the input."""
+    name = lambda n: F.translate(F.lpad(n.cast("string"), 8, "0"), "0123456789", "abcdefghij")
+    lexicon = spark.range(1_100_000).select(name(F.col("id")).alias("surface"), F.lit("").alias("latin"), F.lit(0.5).alias("cost"))
+    texts = spark.createDataFrame([(1, "aaaaaaabaaaaaaac x"), (2, "aajjjjjjaajjjjji")], "n int, text string")
+    cut = segments.segmented(texts, lexicon, "n", "text", tokens.PIECES)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert [[w["surface"] for w in r["words"]] for r in sorted(cut.collect())] == [["aaaaaaab", "aaaaaaac", " ", "x"], ["aajjjjjj", "aajjjjji"]]
