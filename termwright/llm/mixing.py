@@ -208,6 +208,20 @@ def schedule(blocks: DataFrame, plan: DataFrame, lane: int) -> DataFrame:
     return lanes.select("lane", F.posexplode(order).alias("at", "job")).select("job.*", (F.col("lane") * lane + F.col("at")).alias("slot"))
 
 
+def _told_apart(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` without ``__nameless``; of nameless rows with the same source and hash all but one get a new hash, by their number among
+    these. So rows without an id are as spread as others, and which hashes there are does not depend on where rows stand."""
+    nameless = rows.where("__nameless")
+    n = nameless.count()
+    if n == 0:
+        return rows.drop("__nameless")
+    alike = nameless.withColumn("__alike", F.concat_ws("|", "__h", "__src")).withColumn("__any", F.xxhash64("__at"))
+    numbered = shuffled_rank(alike, "__alike", "__any", ["__at"], bucket_bits(n))
+    new = shuffled_hash(seed, F.col("__rank"), F.col("__h").cast("string"), F.lit(""))
+    numbered = numbered.withColumn("__h", F.when(F.col("__rank") == 0, F.col("__h")).otherwise(new))
+    return written(rows.where("not __nameless").unionByName(numbered.select(rows.columns)).drop("__nameless"), "mix-apart")
+
+
 def pfair_mix(
     docs: DataFrame,
     weights: DataFrame | None = None,
@@ -237,9 +251,9 @@ def pfair_mix(
     Returns ``keep`` (all columns of ``docs`` if None) plus __mix, a struct of block, slot, release,
     deadline, offset (row in the block) and position (place in the whole order, gapless from 0).
     A null source is a source of its own; there may be any number of sources (a slot's cost
-    grows with those in its lane). Null texts are kept; null ids are told apart by their rows'
-    places; rows that agree in id, text and source are interchangeable. Other columns may have any name
-    but __mix. An empty table gives no rows.
+    grows with those in its lane). Null texts are kept. Places depend on ids, texts and sources only, not on
+    where rows stand: the same rows in other files get the same places. Rows that agree in all three (in text and
+    source, if they have no id) are interchangeable. Other columns may have any name but __mix. An empty table gives no rows.
     """
     if block_rows < 1 or lane < 1:
         raise ValueError("block_rows and lane must be 1 or more")
@@ -248,10 +262,11 @@ def pfair_mix(
     narrow = docs.select(
         F.struct(where.alias("at"), *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(carried)]).alias("__doc"),
         source_key(F.col(f"`{source_col}`")).alias("__src"),
-        shuffled_hash(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`") if text_col else None, where).alias("__h"),
+        shuffled_hash(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`") if text_col else None, F.lit("\x00")).alias("__h"),
         where.alias("__at"),
+        F.col(f"`{id_col}`").isNull().alias("__nameless"),
     )
-    narrow = written(narrow, "mix-rows")
+    narrow = _told_apart(written(narrow, "mix-rows"), seed)
     counts = narrow.groupBy("__src").agg(F.count(F.lit(1)).alias("__n"))
     plan = written(plan_of(counts, block_rows, lane, weights, alpha), "mix-plan")
     rows = plan.select(F.aggregate("sources", _long(0), lambda a, x: a + x["rows"]).alias("n")).first()["n"]

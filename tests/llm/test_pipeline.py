@@ -50,3 +50,30 @@ def test_encoding_keeps_the_schedule(spark, make_docs, tmp_path):
     assert [r["position"] for r in rows] == list(range(600)) and all(want[r["doc_id"]] == r["position"] for r in rows)
     share = sum(r["doc_id"] % 5 == 0 for r in rows[:120]) / 120
     assert abs(share - 1 / 3) < 0.1  # square roots of 120 and 480 rows
+
+
+def test_rows_without_ids_are_encoded_where_mixing_put_them(spark, make_docs, tmp_path):
+    """The schedule that mixing wrote is the one that encoding returns, however the table's files are cut in between."""
+    import hashlib
+
+    rows = [(None, f"text {i}", "b" if i % 5 == 0 else "a") for i in range(300)] + [(None, "copy", "a")] * 60 + [(None, None, "b"), (None, "", "b"), (None, "", "b")]
+    rows += [(i, f"text {i}", "a") for i in range(100)] + [(5, "text 5", None)] * 3
+    mixed = corpus_pipeline.mix(spark, make_docs(rows), SF)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    order = [r["text"] or "" for r in spark.read.parquet(str(tmp_path / "mixed")).select("text", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    assert sorted(order) == sorted(t or "" for _, t, _ in rows)
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    docs.orderBy("text").repartition(3).write.parquet(str(tmp_path / "dealt"))
+    for name in ("mixed", "dealt"):
+        corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / name)), SF).write.parquet(str(tmp_path / f"{name}-out"))
+        found = spark.read.parquet(str(tmp_path / f"{name}-out")).orderBy("position").collect()
+        assert [r["position"] for r in found] == list(range(len(rows)))
+        assert [r["decoded_sha256"] for r in found] == [hashlib.sha256(t.encode()).hexdigest() for t in order]
+
+
+def test_rows_without_ids_keep_their_own_hashes(make_docs):
+    """Copies without an id don't meet in one bucket of the shuffle."""
+    found = corpus_pipeline.mixing.pfair_mix(make_docs([(None, "same", "a")] * 500), block_rows=1)
+    assert sorted(r["position"] for r in found.select("__mix.position").collect()) == list(range(500))
+    narrow = make_docs([(None, "same", "a")] * 500).select(F.lit(1).cast("long").alias("__h"), F.lit("=a").alias("__src"), F.monotonically_increasing_id().cast("string").alias("__at"), F.lit(True).alias("__nameless"))
+    assert corpus_pipeline.mixing._told_apart(narrow, 7).select("__h").distinct().count() == 500
